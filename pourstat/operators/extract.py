@@ -169,11 +169,12 @@ def join_entities(t: Mapping[str, DataFrame]) -> DataFrame:
     """Office, project, sample, test and concrete test in one row."""
     offices = t["offices"].withColumnRenamed("name", "OfficeName")
     samples = t["samples"].withColumnRenamed("id", "SampleId")
+    tests = t["tests"].select("testId", F.col("sampleId").alias("SampleId"))
     concrete = t["concrete_tests"].withColumnRenamed("id", "ConcreteTestDataId")
     return (
-        concrete.join(t["tests"], concrete["testbaseId"] == t["tests"]["testId"])
-        .join(samples, F.col("sampleId") == samples["SampleId"])
-        .drop(t["tests"]["sampleId"])
+        concrete.withColumnRenamed("testbaseId", "testId")
+        .join(tests, "testId")
+        .join(samples, "SampleId")
         .join(t["projects"], "projectId")
         .join(offices, "officeId")
     )
@@ -226,7 +227,7 @@ def with_effective_measurements(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             **{
-                m.effective.rsplit("_", 1)[0].replace("_lb", "") + "Missing": E.flag(F.col(m.effective).isNull())
+                f"Effective{m.label}Missing": E.flag(F.col(m.effective).isNull())
                 for m in S.MEASUREMENTS
             },
             "HasAnyAfterSPMeasurement": F.greatest(*[F.col(f"HasAfterSP{m.label}") for m in S.MEASUREMENTS]),
@@ -380,7 +381,7 @@ def build_extract(t: Mapping[str, DataFrame], o: ExtractOptions) -> DataFrame:
     df = scoped.withColumn("concreteTestId", F.col("ConcreteTestDataId"))
     for side in details:
         df = df.join(side, "concreteTestId", "left")
-    df = join_supplier(df.drop("concreteTestId", "testbaseId"), t["suppliers"])
+    df = join_supplier(df.drop("concreteTestId"), t["suppliers"])
     df = join_lookups(df, t["lookup"], LOOKUP_OUTPUTS).drop(*LOOKUP_OUTPUTS)
     df = with_times_and_text(df, o)
     for step in (
@@ -428,7 +429,7 @@ def specimen_extract(t: Mapping[str, DataFrame], office_id: int | None = None) -
         .join(batch, "concreteTestId")
         .join(with_requirement, "concreteTestId")
     )
-    df = join_supplier(df.drop("testbaseId"), t["suppliers"])
+    df = join_supplier(df, t["suppliers"])
     df = join_lookups(df, t["lookup"], LOOKUP_OUTPUTS).drop(*LOOKUP_OUTPUTS)
     df = applicable(with_recipe(df))
     return df.withColumnRenamed("id", "SpecimenRowId").withColumnRenamed("BreakAge", "SpecifiedBreakAge")

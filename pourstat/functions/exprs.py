@@ -44,6 +44,11 @@ def round_even(c: Column | str, digits: int) -> Column:
     return F.rint(col(c) * scale) / scale
 
 
+def percent_even(part: Column, whole: Column) -> Column:
+    """100 * part / whole to 2 decimals by the float array rule."""
+    return round_even(safe_div(part.cast("double") * F.lit(100.0), whole), 2)
+
+
 # --------------------------------------------------------------------------
 # Text
 # --------------------------------------------------------------------------

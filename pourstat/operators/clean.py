@@ -427,7 +427,7 @@ def recipe_summary(df: DataFrame, cohort: DataFrame) -> DataFrame:
         F.count_distinct("mixNumber").alias("mixes"),
     ).withColumn("input_rows", total.scalar())
     return out.withColumn(
-        "retained_percent", E.percent2(F.col("batch_complete_strength_rows"), F.col("input_rows"))
+        "retained_percent", E.percent_even(F.col("batch_complete_strength_rows"), F.col("input_rows"))
     )
 
 

@@ -43,7 +43,7 @@ def column_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> D
                 "ZeroCountNumericInterpretation"
             ),
         )
-        .withColumn("MissingPercent", E.percent2(F.col("MissingCount"), F.col("RowCount")))
+        .withColumn("MissingPercent", E.percent_even(F.col("MissingCount"), F.col("RowCount")))
     )
 
 
@@ -67,7 +67,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max(v).alias("Max"),
         F.stddev_samp(v).alias("Std"),
     )
-    stats = stats.withColumn("MissingPercent", E.percent2(F.col("MissingCount"), F.col("RowCount")))
+    stats = stats.withColumn("MissingPercent", E.percent_even(F.col("MissingCount"), F.col("RowCount")))
     per_column = ["NonMissingCount", "MissingCount", "ZeroCount", "NegativeCount", "MissingPercent"]
     stats = stats.withColumns(
         {**{c: F.when(present, F.col(c)) for c in per_column}, "PresentInFile": E.flag(present)}
@@ -102,8 +102,8 @@ def field_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return out.withColumns(
         {
             "NullCount": F.col("RowCount") - known,
-            "NullPercent": E.percent2(F.col("RowCount") - known, F.col("RowCount")),
-            "UniquePercentOfNonNull": E.percent2(unique, known),
+            "NullPercent": E.percent_even(F.col("RowCount") - known, F.col("RowCount")),
+            "UniquePercentOfNonNull": E.percent_even(unique, known),
             "IsAllNull": known == 0,
             "IsConstant": unique <= 1,
             "IsLikelyIdentifier": (known > 0) & (unique == known),
@@ -122,7 +122,7 @@ def category_frequency(df: DataFrame, columns: Sequence[str], missing: str = MIS
     totals = counts.groupBy("Column").agg(F.sum("TestCount").alias("_rows"))
     return (
         counts.join(totals, "Column")
-        .withColumn("Percent", E.percent2(F.col("TestCount"), F.col("_rows")))
+        .withColumn("Percent", E.percent_even(F.col("TestCount"), F.col("_rows")))
         .drop("_rows")
     )
 
@@ -140,7 +140,7 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 30) -> DataFrame:
         .withColumns(
             {
                 "NormalizedComparisonValue": E.comparison_value("OriginalValue"),
-                "Percent": E.percent2(F.col("Count"), F.col("_rows")),
+                "Percent": E.percent_even(F.col("Count"), F.col("_rows")),
             }
         )
         .drop("_rows")
@@ -295,7 +295,7 @@ def curing_summary(classed: DataFrame) -> DataFrame:
             F.lit(age).alias("BreakAgeDays"),
             F.lit(name).alias("CuringResultAvailability"),
             F.col(f"{age}_{i}").alias("ConcreteTestCount"),
-            E.percent2(F.col(f"{age}_{i}"), F.col("_rows")).alias("Percent"),
+            E.percent_even(F.col(f"{age}_{i}"), F.col("_rows")).alias("Percent"),
         )
         for age in (7, 28)
         for i, name in enumerate(S.CURING_CLASSES)
@@ -313,7 +313,7 @@ def curing_breakdown(classed: DataFrame, group: Column, name: str, share: str, k
         rows = rows.where(F.col(name).isNotNull())
     counts = rows.groupBy(name, "CuringAvailability28").agg(F.count(F.lit(1)).alias("ConcreteTestCount"))
     total = F.sum("ConcreteTestCount").over(Window.partitionBy(name))
-    return counts.withColumn(share, E.percent2(F.col("ConcreteTestCount"), total))
+    return counts.withColumn(share, E.percent_even(F.col("ConcreteTestCount"), total))
 
 
 def subtype_readiness(classed: DataFrame, column: str = "testSubTypeId") -> DataFrame:
@@ -337,7 +337,7 @@ def subtype_readiness(classed: DataFrame, column: str = "testSubTypeId") -> Data
     ).agg(
         rows.alias("ConcreteTestCount"),
         *[E.count_if(c).alias(n) for n, c in has.items()],
-        *[E.percent2(E.count_if(has[src]), rows).alias(n) for n, src in shares.items()],
+        *[E.percent_even(E.count_if(has[src]), rows).alias(n) for n, src in shares.items()],
     )
 
 
@@ -351,7 +351,7 @@ def flag_summary(df: DataFrame, flags: Sequence[str]) -> DataFrame:
         F.struct(
             F.lit(c).alias("ReviewFlag"),
             F.col(c).alias("RowCount"),
-            E.percent2(F.col(c), F.col("_rows")).alias("Percent"),
+            E.percent_even(F.col(c), F.col("_rows")).alias("Percent"),
         )
         for c in flags
     ]
@@ -369,7 +369,7 @@ def feature_coverage(df: DataFrame, sets: Mapping[str, Sequence[str]] = S.FEATUR
             F.lit(c).alias("column"),
             F.lit(int(c in found)).alias("column_present"),
             (F.col(c) if c in found else F.lit(0).cast("long")).alias("non_null_count"),
-            (E.percent2(F.col(c), F.col("_rows")) if c in found else E.percent2(F.lit(0), F.col("_rows"))).alias(
+            (E.percent_even(F.col(c), F.col("_rows")) if c in found else E.percent_even(F.lit(0), F.col("_rows"))).alias(
                 "coverage_percent"
             ),
         )
@@ -389,7 +389,7 @@ def cohort_summary(df: DataFrame) -> DataFrame:
         E.count_if(classified).alias("classification_eligible_rows"),
         E.count_if(classified & F.col(S.DAY7).isNotNull()).alias("day7_eligible_rows"),
         failures.alias("failure_rows"),
-        (F.round(E.safe_div(failures.cast("double") * 100000.0, E.count_if(classified))) / 1000.0).alias(
+        E.round_even(E.safe_div(failures.cast("double") * 100.0, E.count_if(classified)), 3).alias(
             "failure_rate_percent"
         ),
     )
@@ -427,7 +427,7 @@ def preparation_overview(marked: DataFrame) -> DataFrame:
     )
 
     def row(metric: str, value: Column, share: bool = True) -> Column:
-        percent = E.percent2(value, F.col("rows")) if share else F.lit(None).cast("double")
+        percent = E.percent_even(value, F.col("rows")) if share else F.lit(None).cast("double")
         return F.struct(
             F.lit(metric).alias("Metric"), value.cast("string").alias("CountOrValue"), percent.alias("PercentOfAllRows")
         )

@@ -455,10 +455,11 @@ def _(t):
 
 @query("grp11_target_28_by_test", SPECIMENS + f"""
 SELECT testId, count(*) AS SpecimenCount28, {R('avg(calcCompressiveStrength)', 'AverageStrength28')}, min(calcCompressiveStrength) AS MinimumStrength28,
- max(calcCompressiveStrength) AS MaximumStrength28, {R('stddev_samp(calcCompressiveStrength)', 'StrengthStandardDeviation28')}
+ max(calcCompressiveStrength) AS MaximumStrength28, {R('stddev_samp(calcCompressiveStrength)', 'StrengthStandardDeviation28', 4)}
 FROM sx WHERE daysToAge = 28 GROUP BY testId""")
 def _(t):
-    return rounded(X.target_28_by_test(X.specimen_extract(t.extract_tables())))
+    out = X.target_28_by_test(X.specimen_extract(t.extract_tables()))
+    return rounded(out.withColumn("StrengthStandardDeviation28", F.round("StrengthStandardDeviation28", 4)))
 
 
 @query("srt01_ordered_extract", ALL + " SELECT castDate, testId, FailureFlag28 FROM fact ORDER BY castDate NULLS FIRST, testId")

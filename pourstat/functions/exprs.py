@@ -278,7 +278,7 @@ def candidate_message(months: int) -> Column:
         F.concat(
             F.col("FailureCount").cast("string"),
             F.lit(" below-required result(s), a "),
-            F.format_number(round_even("FailureRatePct", 1), "0.0"),
+            F.format_number(round_even("FailureRatePct", 1), 1),
             F.lit("% rate"),
         )
     )

@@ -12,6 +12,7 @@ from pourstat.functions import exprs as E
 from pourstat.operators import metrics as M
 from pourstat.operators.order_stats import top_rows
 from pourstat.operators.profile import assert_unique
+from pourstat.session import shared
 
 
 # --------------------------------------------------------------------------
@@ -120,6 +121,7 @@ def sweep(
 
 def full_sweep(aligned: DataFrame, keys: Sequence[str] = ("FeatureSet",)) -> DataFrame:
     """Margin and probability sweeps in one table."""
+    aligned = shared(aligned)
     margin = sweep(aligned, keys, "PredictedMargin_psi", S.MARGIN_THRESHOLDS, "RegressionMargin", "psi", True)
     probability = sweep(aligned, keys, M.SCORE, S.PROBABILITY_THRESHOLDS, "DirectClassifier", "probability", False)
     return margin.unionByName(probability)
@@ -141,6 +143,7 @@ def best_at_recall(
 def matched_recall(swept: DataFrame, targets: Sequence[float] = tuple(S.RECALL_TARGETS)) -> DataFrame:
     """Both methods side by side per feature set and recall target; empty targets stay."""
     keys = ["FeatureSet", "MinimumRecallTarget"]
+    swept = shared(swept)
     best = best_at_recall(swept, ["FeatureSet", "Method"], targets)
     grid = swept.select("FeatureSet").distinct().withColumn(
         "MinimumRecallTarget", F.explode(F.array(*[F.lit(t) for t in targets]))
@@ -239,18 +242,30 @@ def best_model(summary: DataFrame, keys: Sequence[str], order: Sequence[Column])
 def improvement(
     summary: DataFrame, on: Sequence[str], variant: str, before: str, after: str, metrics: Sequence[str], lower_is_better: Sequence[str]
 ) -> DataFrame:
-    """Two variants of a summary side by side with the improvement of each metric."""
-    a = summary.where(F.col(variant) == before).select(*on, *[F.col(m).alias(f"Before_{m}") for m in metrics])
-    b = summary.where(F.col(variant) == after).select(*on, *[F.col(m).alias(f"After_{m}") for m in metrics])
-    joined = a.join(b, list(on)) if on else a.join(b, F.lit(True))
-    return joined.withColumns(
-        {
-            f"{m}_Improvement": (
-                F.col(f"Before_{m}") - F.col(f"After_{m}") if m in lower_is_better else F.col(f"After_{m}") - F.col(f"Before_{m}")
-            )
-            for m in metrics
-        }
-    ).withColumns({"BeforeVariant": F.lit(before), "AfterVariant": F.lit(after)})
+    """Two variants of a summary side by side with the improvement of each metric.
+
+    Each variant occurs once per ``on`` key, so a conditional aggregate lines them up.
+    """
+
+    def at(name: str, metric: str) -> Column:
+        return F.max(F.when(F.col(variant) == name, F.col(metric)))
+
+    both = summary.where(F.col(variant).isin(before, after)).groupBy(*on).agg(
+        *[at(before, m).alias(f"Before_{m}") for m in metrics],
+        *[at(after, m).alias(f"After_{m}") for m in metrics],
+        F.count_distinct(variant).alias("_variants"),
+    )
+    gains = {
+        f"{m}_Improvement": (
+            F.col(f"Before_{m}") - F.col(f"After_{m}") if m in lower_is_better else F.col(f"After_{m}") - F.col(f"Before_{m}")
+        )
+        for m in metrics
+    }
+    return (
+        both.where(F.col("_variants") == 2)
+        .drop("_variants")
+        .withColumns({**gains, "BeforeVariant": F.lit(before), "AfterVariant": F.lit(after)})
+    )
 
 
 def tradeoff_view(swept: DataFrame, best: DataFrame, thresholds: Sequence[float]) -> DataFrame:

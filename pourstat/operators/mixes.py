@@ -19,6 +19,7 @@ from pourstat.operators.order_stats import (
     with_quantiles,
 )
 from pourstat.operators.profile import metric_rows
+from pourstat.session import durable, shared
 
 # --------------------------------------------------------------------------
 # Historical evaluation
@@ -68,6 +69,7 @@ def mix_groups(rows: DataFrame) -> DataFrame:
         "AverageSlump_in": "EffectiveSlump_in",
         "AverageAir_percent": "EffectiveAir_percent",
     }
+    rows = shared(rows)
     grouped = rows.groupBy(*GROUP).agg(
         F.count_distinct("testId").alias("TestCount"),
         F.avg(S.TARGET).alias("AverageActualStrength28_psi"),
@@ -100,6 +102,7 @@ def with_peer_median(groups: DataFrame) -> DataFrame:
     """Peer median of cementitious content and the difference from it."""
     name = "ProjectSpecMedianCementitious_lbs_yd3"
     value = "AverageTotalCementitious_lbs_yd3"
+    groups = durable(groups)
     medians = exact_quantiles(groups, PEERS, value, {name: 0.5})
     return groups.join(medians, PEERS, "left").withColumn(
         "CementitiousVsProjectMedian_percent",
@@ -156,7 +159,7 @@ def with_review_rank(flagged: DataFrame) -> DataFrame:
         F.desc_nulls_last("AverageTotalCementitious_lbs_yd3"),
         *[F.asc(c) for c in GROUP[2:]],
     ]
-    coarse = flagged.withColumn("_rate", value_bucket("FailureRate_percent"))
+    coarse = shared(flagged).withColumn("_rate", value_bucket("FailureRate_percent"))
     return spread_row_number(
         coarse, ["officeId", "projectId"], [("ReviewPriority", True), ("_rate", False)], order, "ProjectReviewRank"
     ).drop("_rate")
@@ -174,7 +177,7 @@ def round_report(df: DataFrame, exempt: Sequence[str], digits: int = 3) -> DataF
 
 def evaluate_history(df: DataFrame, min_project: int = S.MIN_PROJECT_TESTS, min_group: int = S.MIN_GROUP_TESTS) -> DataFrame:
     """Eligibility, group statistics, peer comparison, review flag and rank."""
-    rows = evaluation_rows(df)
+    rows = shared(evaluation_rows(df))
     groups = mix_groups(eligible_rows(rows, project_summary(rows, min_project)))
     compared = with_peer_median(groups.where(F.col("TestCount") >= min_group))
     return round_report(with_review_rank(with_review_flag(compared)), ["officeId", "projectId"])
@@ -254,6 +257,7 @@ def review_quality(source: DataFrame, rows: DataFrame, tests: DataFrame) -> Data
 def summarize_mixes(tests: DataFrame, rule: S.CandidateRule) -> DataFrame:
     """Margin statistics, peer percentiles, candidate flag and status per mix group."""
     m = "StrengthMargin_psi"
+    tests = shared(tests)
     grouped = tests.groupBy(*REVIEW_KEYS).agg(
         *[F.min(c).alias(c) for c in ("SupplierName", "plantNumber", "mixNumber")],
         F.count_distinct("testId").alias("TestCount"),
@@ -282,6 +286,8 @@ def summarize_mixes(tests: DataFrame, rule: S.CandidateRule) -> DataFrame:
             "NormalApproxLower5MarginPsi": F.col("MeanMarginPsi") - F.col("StdDevMarginPsi") * F.lit(1.645),
         }
     )
+    # The summary is small next to the tests; a checkpoint keeps the ranking plans short.
+    grouped = durable(grouped)
     ranked = with_percentile_rank(grouped, ["RequiredStrength"], "MeanMarginPsi", "PeerPercentileWithinRequiredStrength")
     ranked = with_percentile_rank(
         ranked, ["SupplierNameNormalized", "RequiredStrength"], "MeanMarginPsi", "PeerPercentileWithinSupplierAndRequired"

@@ -135,7 +135,7 @@ def with_quantiles(
     wide = per_column.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_column") == c, F.col(labels[p]))).alias(n) for n, (c, p) in names.items()]
     )
-    return grouped.join(wide, keys, "left") if keys else grouped.join(wide, F.lit(True), "left")
+    return grouped.join(wide, keys, "left")
 
 
 def unpivot(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. Shuffle partition counts and memory are
@@ -52,3 +53,11 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pourstat-ckpt-"))
     return df.checkpoint()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a result on the executors because several branches of one job read it.
+
+    Blocks spill to disk, and a lost block is recomputed from its lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

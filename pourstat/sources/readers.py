@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +38,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if not path.endswith(".csv"):
         raise ValueError(f"unsupported input type: {path}")
-    sibling = path[: -len(".csv")] + ".parquet"
-    return read_csv(spark, path) if path_exists(spark, path) else spark.read.parquet(sibling)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on its own file system, local or shared."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        return read_csv(spark, path)
+    except AnalysisException:
+        return spark.read.parquet(path[: -len(".csv")] + ".parquet")
 
 
 def read_specimen_export(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -64,7 +61,7 @@ def read_specimen_export(spark: SparkSession, path: str, sep: str = ",", encodin
 
 def clean_names(df: DataFrame) -> DataFrame:
     """Column names without byte-order mark, line breaks and outer spaces."""
-    return df.toDF(*[c.replace("﻿", "").replace("\r", "").replace("\n", "").strip() for c in df.columns])
+    return df.toDF(*[c.replace("\ufeff", "").replace("\r", "").replace("\n", "").strip() for c in df.columns])
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

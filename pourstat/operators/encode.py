@@ -19,7 +19,6 @@ CONTEXT = [
     "SupplierPlantMixCategory",
 ]
 SMOOTHING = 20.0
-_TEST_FOLD = -1
 
 
 def with_context(df: DataFrame, supplier: str, plant: str, mix: str, subtype: str | None = None) -> DataFrame:
@@ -67,43 +66,33 @@ def cross_fitted_encode(
     of all train rows, also inside the inner folds.
     """
     train = df.where(F.col(role) == "train")
-    prior = train.agg(F.avg(target)).scalar()
     out = df.withColumns(
         {
-            "_prior": prior,
-            "_fold": F.when(F.col(role) == "train", F.col(inner_fold)).otherwise(F.lit(_TEST_FOLD)),
+            "_prior": train.agg(F.avg(target)).scalar(),
+            "_fold": F.when(F.col(role) == "train", F.col(inner_fold)),
         }
     )
     new: dict[str, Column] = {}
     for c in columns:
-        own = train.groupBy(F.col(c), F.col(inner_fold).alias("_fold")).agg(
-            F.sum(target).alias("_own"), F.count(target).alias("_n")
+        all_sum, all_rows, parts = f"{c}_sum", f"{c}_rows", f"{c}_parts"
+        own = train.groupBy(F.col(c), F.col(inner_fold).alias("_f")).agg(
+            F.sum(target).cast("double").alias("_s"), F.count(target).alias("_n")
         )
-        # At most one row per inner fold and category is in a window partition.
-        per_category = Window.partitionBy(c)
-        totals = own.select(
-            c,
-            "_fold",
-            "_own",
-            "_n",
-            F.sum("_own").over(per_category).alias("_all"),
-            F.sum("_n").over(per_category).alias("_rows"),
+        # One row per category; the map has at most one entry per inner fold.
+        entry = F.struct("_f", F.struct(F.col("_s").alias("s"), F.col("_n").alias("n")))
+        lookup = own.groupBy(c).agg(
+            F.sum("_s").alias(all_sum),
+            F.sum("_n").alias(all_rows),
+            F.map_from_entries(F.collect_list(entry)).alias(parts),
         )
-        for_test = own.groupBy(c).agg(F.sum("_own").alias("_all"), F.sum("_n").alias("_rows")).select(
-            c, F.lit(_TEST_FOLD).alias("_fold"), F.lit(0.0).alias("_own"), F.lit(0).cast("long").alias("_n"), "_all", "_rows"
-        )
-        names = {n: f"{c}{n}" for n in ("_own", "_n", "_all", "_rows")}
-        lookup = totals.unionByName(for_test).withColumnsRenamed(names)
-        out = out.join(lookup, [c, "_fold"], "left")
-
-        def known(n: str) -> Column:
-            return F.coalesce(F.col(names[n]), F.lit(0))
-
-        rest, count = known("_all") - known("_own"), known("_rows") - known("_n")
+        out = out.join(lookup, c, "left")
+        part = F.try_element_at(F.col(parts), F.col("_fold"))
+        rest = F.coalesce(F.col(all_sum), F.lit(0.0)) - F.coalesce(part["s"], F.lit(0.0))
+        count = F.coalesce(F.col(all_rows), F.lit(0)) - F.coalesce(part["n"], F.lit(0))
         new[f"{c}_TargetMean"] = (rest + F.lit(smoothing) * F.col("_prior")) / (count + F.lit(smoothing))
-        new[f"{c}_LogCount"] = F.log1p(known("_rows").cast("double"))
-        new[f"{c}_Unknown"] = E.flag(F.col(names["_rows"]).isNull())
-    helpers = [f"{c}{n}" for c in columns for n in ("_own", "_n", "_all", "_rows")]
+        new[f"{c}_LogCount"] = F.log1p(F.coalesce(F.col(all_rows), F.lit(0)).cast("double"))
+        new[f"{c}_Unknown"] = E.flag(F.col(all_rows).isNull())
+    helpers = [f"{c}_{n}" for c in columns for n in ("sum", "rows", "parts")]
     return out.withColumns(new).drop("_prior", "_fold", *helpers)
 
 

@@ -41,9 +41,9 @@ class Size:
 
 @dataclass(frozen=True)
 class Spec:
-    """How to build an estimator for a given number of train rows."""
+    """How to build an estimator from the train row count and label deviation."""
 
-    build: Callable[[int], Estimator] | None
+    build: Callable[[int, float], Estimator] | None
     scaled: bool = False
     params: Mapping[str, object] = field(default_factory=dict)
 
@@ -52,16 +52,17 @@ def regressors(size: Size = Size()) -> dict[str, Spec]:
     """Mean baseline, least squares, ridge, random forest and gradient boosting."""
     return {
         "DummyMean": Spec(None),
-        "LinearRegression": Spec(lambda n: LinearRegression(featuresCol="features", labelCol=LABEL), scaled=True),
-        # The ridge penalty is per row in Spark ML: alpha / rows.
+        "LinearRegression": Spec(lambda n, sd: LinearRegression(featuresCol="features", labelCol=LABEL), scaled=True),
+        # Spark ML averages the loss over rows and divides the penalty by the label
+        # deviation; this value restores a penalty of 10 on the squared weights.
         "Ridge": Spec(
-            lambda n: LinearRegression(
-                featuresCol="features", labelCol=LABEL, regParam=10.0 / n, elasticNetParam=0.0, standardization=False
+            lambda n, sd: LinearRegression(
+                featuresCol="features", labelCol=LABEL, regParam=10.0 / n * sd, elasticNetParam=0.0, standardization=False
             ),
             scaled=True,
         ),
         "RandomForest": Spec(
-            lambda n: RandomForestRegressor(
+            lambda n, sd: RandomForestRegressor(
                 featuresCol="features",
                 labelCol=LABEL,
                 numTrees=size.trees,
@@ -72,7 +73,7 @@ def regressors(size: Size = Size()) -> dict[str, Spec]:
             )
         ),
         "GradientBoosting": Spec(
-            lambda n: GBTRegressor(
+            lambda n, sd: GBTRegressor(
                 featuresCol="features",
                 labelCol=LABEL,
                 maxIter=size.rounds,
@@ -91,13 +92,13 @@ def classifiers(size: Size = Size()) -> dict[str, Spec]:
     return {
         "DummyPrior": Spec(None),
         "LogisticRegression": Spec(
-            lambda n: LogisticRegression(
+            lambda n, sd: LogisticRegression(
                 featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / n, maxIter=200
             ),
             scaled=True,
         ),
         "RandomForest": Spec(
-            lambda n: RandomForestClassifier(
+            lambda n, sd: RandomForestClassifier(
                 featuresCol="features",
                 labelCol=LABEL,
                 weightCol=WEIGHT,
@@ -109,7 +110,7 @@ def classifiers(size: Size = Size()) -> dict[str, Spec]:
             )
         ),
         "GradientBoosting": Spec(
-            lambda n: GBTClassifier(
+            lambda n, sd: GBTClassifier(
                 featuresCol="features",
                 labelCol=LABEL,
                 weightCol=WEIGHT,
@@ -127,15 +128,16 @@ def classifiers(size: Size = Size()) -> dict[str, Spec]:
 # --------------------------------------------------------------------------
 # One split
 # --------------------------------------------------------------------------
-def impute_fitted(df: DataFrame, features: Sequence[str], role: str = "Role") -> tuple[DataFrame, list[str], int]:
+def impute_fitted(df: DataFrame, features: Sequence[str], role: str = "Role") -> tuple[DataFrame, list[str], tuple[int, float]]:
     """Train medians filled in as constants, with indicators where train values miss.
 
-    Returns the frame, the model columns and the number of train rows. Columns that
+    Returns the frame, the model columns and the train row count with the label deviation. Columns that
     are empty or constant on the train rows carry nothing and are left out.
     """
     train = df.where(F.col(role) == "train")
     counts = train.agg(
         F.count(F.lit(1)).alias("_rows"),
+        F.coalesce(F.stddev_pop(LABEL), F.lit(0.0)).alias("_deviation"),
         *[F.count(c).alias(c) for c in features],
         *[(F.min(c) < F.max(c)).alias(f"{c}_varies") for c in features],
     ).first()
@@ -146,16 +148,16 @@ def impute_fitted(df: DataFrame, features: Sequence[str], role: str = "Role") ->
     used = [c for c in known if counts[f"{c}_varies"]]
     cols: dict[str, Column] = {f"{c}_WasMissing": E.flag(F.col(c).isNull()) for c in indicators}
     cols |= {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in known}
-    return df.withColumns(cols), [*used, *[f"{c}_WasMissing" for c in indicators]], counts["_rows"]
+    return df.withColumns(cols), [*used, *[f"{c}_WasMissing" for c in indicators]], (counts["_rows"], counts["_deviation"])
 
 
-def fit(train: DataFrame, columns: Sequence[str], spec: Spec, rows: int) -> PipelineModel:
+def fit(train: DataFrame, columns: Sequence[str], spec: Spec, size: tuple[int, float]) -> PipelineModel:
     """Assemble, scale where needed, and fit on the train rows."""
     raw = "_raw" if spec.scaled else "features"
     stages = [VectorAssembler(inputCols=list(columns), outputCol=raw)]
     if spec.scaled:
         stages.append(StandardScaler(inputCol=raw, outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, spec.build(rows)]).fit(train)
+    return Pipeline(stages=[*stages, spec.build(*size)]).fit(train)
 
 
 def evaluate_split(

@@ -378,7 +378,9 @@ def build_extract(t: Mapping[str, DataFrame], o: ExtractOptions) -> DataFrame:
         requirement,
         summarize_specimens(t["specimen_rows"], requirement),
     ]
-    df = scoped.withColumn("concreteTestId", F.col("ConcreteTestDataId"))
+    # The three joins below need this partitioning; asking for it once also spreads the
+    # wide projections when a small detail table turns a join into a broadcast.
+    df = scoped.withColumn("concreteTestId", F.col("ConcreteTestDataId")).repartition("concreteTestId")
     for side in details:
         df = df.join(side, "concreteTestId", "left")
     df = join_supplier(df.drop("concreteTestId"), t["suppliers"])

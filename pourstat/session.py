@@ -20,6 +20,11 @@ RUNTIME_CONF = {
 }
 
 
+# Generated code of very wide rows exceeds the size the JIT compiles by default; on a
+# cluster the same option belongs in spark.executor.extraJavaOptions.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -36,6 +41,7 @@ def local_session(cores: str = "8", app: str = "pourstat", memory: str = "8g") -
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.driver.extraJavaOptions", JVM_OPTIONS)
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

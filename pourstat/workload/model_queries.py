@@ -335,18 +335,18 @@ def _cv(m: str, dev: str) -> str:
 _CVM = ["MAE", "RMSE", "R2", "MedianAE"]
 
 
-def fold_metrics(t: Tables):
-    return M.regression_metrics(t["predictions"], [*KEYS, "Fold"])
+def fold_metrics(t: Tables, quantiles: bool = False):
+    return M.regression_metrics(t["predictions"], [*KEYS, "Fold"], quantiles=quantiles)
 
 
 @query("grp42_cv_summary", FOLD_METRICS + f" SELECT FeatureSet, Model, count(*) AS FoldCount, CAST(sum(RowCount) AS BIGINT) AS TotalValidationRows, {', '.join(_cv(m, 'stddev_samp') for m in _CVM)} FROM fm GROUP BY 1, 2")
 def _(t):
-    return rounded(M.cv_summary(fold_metrics(t), KEYS, _CVM))
+    return rounded(M.cv_summary(fold_metrics(t, True), KEYS, _CVM))
 
 
 @query("grp42_cv_summary_population", FOLD_METRICS + f" SELECT FeatureSet, Model, count(*) AS FoldCount, CAST(sum(RowCount) AS BIGINT) AS TotalValidationRows, {', '.join(_cv(m, 'stddev_pop') for m in _CVM)} FROM fm GROUP BY 1, 2")
 def _(t):
-    return rounded(M.cv_summary(fold_metrics(t), KEYS, _CVM, population=True))
+    return rounded(M.cv_summary(fold_metrics(t, True), KEYS, _CVM, population=True))
 
 
 SUMMARY = FOLD_METRICS + """, sm AS (SELECT FeatureSet, Model, avg(MAE) AS MeanCV_MAE, stddev_samp(MAE) AS StdCV_MAE, max(MAE) - min(MAE) AS MAE_Range, avg(RMSE) AS MeanCV_RMSE, avg(R2) AS MeanCV_R2 FROM fm GROUP BY 1, 2)"""

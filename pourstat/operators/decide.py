@@ -59,6 +59,22 @@ def align_predictions(regression: DataFrame, classification: DataFrame) -> DataF
 # --------------------------------------------------------------------------
 # Threshold sweeps
 # --------------------------------------------------------------------------
+def grid_gap(score: Column, grid: Sequence[float], inclusive: bool) -> Column:
+    """How many grid points lie below the score (or at it, with ``inclusive``).
+
+    Nested halving keeps it to a handful of comparisons per row.
+    """
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        beyond = score >= F.lit(grid[middle]) if inclusive else score > F.lit(grid[middle])
+        return F.when(beyond, between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(grid))
+
+
 def sweep(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,9 +92,7 @@ def sweep(
     numbers as testing every row against every threshold.
     """
     grid = sorted(thresholds)
-    gap = sum(
-        ((F.lit(t) < F.col(score)) if at_most else (F.lit(t) <= F.col(score))).cast("int") for t in grid
-    )
+    gap = grid_gap(F.col(score), grid, inclusive=not at_most)
     counted = (
         df.where(F.col(score).isNotNull())
         .groupBy(*keys, gap.alias("_gap"))

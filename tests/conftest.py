@@ -10,7 +10,7 @@ from pourstat.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(app="pourstat-tests", memory="6g")
+    session = local_session("4", app="pourstat-tests", memory="6g")
     yield session
     session.stop()
 

@@ -28,9 +28,24 @@ GROUP = ["officeId", "projectId", "SupplierName", "plantNumber", "mixNumber", S.
 PEERS = ["officeId", "projectId", S.REQUIRED]
 
 
+RECIPE_MEANS = {
+    "AverageCementContent_lbs_yd3": "CalcCementContent_lbs_yd3",
+    "AverageFlyAshContent_lbs_yd3": "FlyAshContent_lbs_yd3",
+    "AverageTotalCementitious_lbs_yd3": "TotalCementitiousContent_lbs_yd3",
+    "AverageWCRatio": "calcWCRatio",
+    "AverageSlump_in": "EffectiveSlump_in",
+    "AverageAir_percent": "EffectiveAir_percent",
+}
+
+
 def evaluation_rows(df: DataFrame) -> DataFrame:
-    """Identified tests with strength and requirement, one row per test, with margin."""
-    valid = df.dropna(how="any", subset=[*GROUP[:5], S.TARGET, S.REQUIRED])
+    """Identified tests with strength and requirement, one row per test, with margin.
+
+    Only the columns of the evaluation are kept, because the rows are shared between
+    branches and a persisted frame is not pruned any further.
+    """
+    narrow = df.select("testId", *GROUP, S.TARGET, *RECIPE_MEANS.values())
+    valid = narrow.dropna(how="any", subset=[*GROUP[:5], S.TARGET, S.REQUIRED])
     first = keep_first(valid, ["testId"], [F.col(c) for c in (*GROUP, S.TARGET)])
     margin = F.col(S.TARGET) - F.col(S.REQUIRED)
     return first.withColumns({"StrengthMargin_psi": margin, "StrengthFailure": E.flag(margin < 0)})
@@ -61,14 +76,6 @@ def eligible_rows(rows: DataFrame, projects: DataFrame) -> DataFrame:
 
 def mix_groups(rows: DataFrame) -> DataFrame:
     """Strength, margin, failure and recipe statistics per mix group of a project."""
-    means = {
-        "AverageCementContent_lbs_yd3": "CalcCementContent_lbs_yd3",
-        "AverageFlyAshContent_lbs_yd3": "FlyAshContent_lbs_yd3",
-        "AverageTotalCementitious_lbs_yd3": "TotalCementitiousContent_lbs_yd3",
-        "AverageWCRatio": "calcWCRatio",
-        "AverageSlump_in": "EffectiveSlump_in",
-        "AverageAir_percent": "EffectiveAir_percent",
-    }
     rows = shared(rows)
     grouped = rows.groupBy(*GROUP).agg(
         F.count_distinct("testId").alias("TestCount"),
@@ -77,7 +84,7 @@ def mix_groups(rows: DataFrame) -> DataFrame:
         F.sum("StrengthFailure").alias("FailureCount"),
         F.avg("StrengthMargin_psi").alias("AverageSpecMargin_psi"),
         F.min("StrengthMargin_psi").alias("MinSpecMargin_psi"),
-        *[F.avg(c).alias(n) for n, c in means.items()],
+        *[F.avg(c).alias(n) for n, c in RECIPE_MEANS.items()],
         F.count("EffectiveSlump_in").alias("SlumpMeasurementCount"),
         F.count("EffectiveAir_percent").alias("AirMeasurementCount"),
     )

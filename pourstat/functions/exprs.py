@@ -78,9 +78,10 @@ def comparison_value(c: Column | str) -> Column:
 def group_value(c: Column | str) -> Column:
     """Group key: no white space, upper case, no leading zeros in digit-only text."""
     raw = F.trim(col(c).cast("string"))
-    compact = F.upper(F.regexp_replace(raw, r"\s+", ""))
-    digits = F.coalesce(F.nullif(F.regexp_replace(compact, "^0+", ""), F.lit("")), F.lit("0"))
-    value = F.when(compact.rlike("^[0-9]+$"), digits).otherwise(compact)
+    compact = F.upper(F.translate(raw, " \t\n\x0b\f\r", ""))
+    only_digits = F.translate(compact, "0123456789", "") == ""
+    digits = F.coalesce(F.nullif(F.ltrim(compact, F.lit("0")), F.lit("")), F.lit("0"))
+    value = F.when(only_digits, digits).otherwise(compact)
     return F.when(~F.lower(raw).isin("", "nan", "none", "<na>"), value)
 
 

@@ -168,8 +168,13 @@ def evaluate_split(
     keep: Sequence[str],
     classify: bool = False,
     role: str = "Role",
+    kept: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """Test-row predictions of every model on every feature set of one split."""
+    """Test-row predictions of every model on every feature set of one split.
+
+    Persisted train frames are added to ``kept`` so that the caller can release them
+    once the predictions are stored.
+    """
     output = M.SCORE if classify else M.PREDICTED
     out: DataFrame | None = None
     for name, features in feature_sets.items():
@@ -179,6 +184,8 @@ def evaluate_split(
         rows, columns, n = impute_fitted(df.withColumn(LABEL, F.col(label).cast("double")), features, role)
         train, test = rows.where(F.col(role) == "train"), rows.where(F.col(role) == "test")
         train = shared(N.class_weights(train, LABEL) if classify else train)
+        if kept is not None:
+            kept.append(train)
         for model_name, spec in specs.items():
             if spec.build is None:
                 predicted = test.withColumn(output, train.agg(F.avg(LABEL)).scalar())
@@ -249,11 +256,15 @@ def cross_validate(
     needs_context = any(set(f) & set(context_features()) for f in feature_sets.values())
     out: DataFrame | None = None
     for k in range(1, folds + 1):
-        split = fold_roles(rows, k)
+        split, kept = fold_roles(rows, k), []
         if needs_context:
             split = shared(N.cross_fitted_encode(split, N.CONTEXT, label, "Fold"))
-        part = evaluate_split(split, feature_sets, specs, label, ["Fold", "testId", S.REQUIRED], classify)
-        part = durable(part)
+            kept.append(split)
+        part = durable(
+            evaluate_split(split, feature_sets, specs, label, ["Fold", "testId", S.REQUIRED], classify, kept=kept)
+        )
+        for frame in kept:
+            frame.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed(S.REQUIRED, "RequiredStrength28_psi")
 

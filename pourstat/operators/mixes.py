@@ -207,26 +207,33 @@ def review_rows(
     With ``lookback_months`` only casts up to the as-of date (by default the latest
     cast date) and not older than the look-back are kept.
     """
-    clean = {c: F.when(~F.trim(c).isin("", "nan", "None", "<NA>"), F.trim(c)) for c in ("SupplierName", "plantNumber", "mixNumber")}
-    df = df.withColumns(clean)
-    df = df.withColumns({f"{c}Normalized": E.group_value(c) for c in clean})
-    if lookback_months is not None:
-        end = F.lit(as_of).cast("date") if as_of else df.agg(F.max("castDate")).scalar()
-        df = df.withColumn("_end", end).where(
-            F.col("castDate").between(F.add_months("_end", -lookback_months), F.col("_end"))
-        ).drop("_end")
+
+    def named(c: str) -> Column:
+        # The group key of a text is missing exactly for these values.
+        return E.known_true(~F.lower(F.trim(c)).isin("", "nan", "none", "<na>"))
+
     keep = (
         (E.truthy("SpecifiedBreakAgeIs28") | E.known_true(F.col("SpecifiedBreakAge") == 28))
         & ~E.truthy("SpecifiedStrengthMissing")
         & (F.col("RequiredStrength") > 0)
         & (F.col(S.TARGET) > 0)
         & F.col("testId").isNotNull()
-        & F.col("SupplierNameNormalized").isNotNull()
-        & F.col("mixNumberNormalized").isNotNull()
+        & named("SupplierName")
+        & named("mixNumber")
     )
     if age_days is not None:
         keep = keep & F.col("AverageActualAgeDays").between(*age_days)
-    return df.where(keep).withColumns(
+    # Rows are filtered on plain columns before the text keys are derived.
+    rows = df.where(keep)
+    if lookback_months is not None:
+        end = F.lit(as_of).cast("date") if as_of else df.agg(F.max("castDate")).scalar()
+        rows = rows.withColumn("_end", end).where(
+            F.col("castDate").between(F.add_months("_end", -lookback_months), F.col("_end"))
+        ).drop("_end")
+    labels = ("SupplierName", "plantNumber", "mixNumber")
+    rows = rows.withColumns({c: F.when(~F.trim(c).isin("", "nan", "None", "<NA>"), F.trim(c)) for c in labels})
+    rows = rows.withColumns({f"{c}Normalized": E.group_value(c) for c in labels})
+    return rows.withColumns(
         {
             "plantNumber": F.coalesce("plantNumber", F.lit("<Unknown>")),
             "plantNumberNormalized": F.coalesce("plantNumberNormalized", F.lit("<UNKNOWN>")),

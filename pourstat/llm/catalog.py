@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pourstat.llm import quality
+from pourstat.llm import pieces, quality
 from pourstat.llm.common import documents
 
 
@@ -16,8 +16,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The piece table of the encoding query.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    return pieces.encode_texts(documents(spark, sf_dir), model).drop("decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules,)
+    f.__name__: f for f in (op2_quality_rules, op3_pieces)
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pourstat.llm import pieces, quality
+from pourstat.llm import langid, pieces, quality, secrets
 from pourstat.llm.common import documents
 
 
@@ -24,8 +24,16 @@ def op3_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> Da
     return pieces.encode_texts(documents(spark, sf_dir), model).drop("decoded")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_pieces)
+    f.__name__: f for f in (op2_quality_rules, op3_pieces, op7_secret_scan, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}

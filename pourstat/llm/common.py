@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +19,20 @@ ARROW_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; Python batches are kept small because texts can be long."""
-    set_batches(spark)
+    """The documents table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def set_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Session set-up of the corpus operators: Python batches are kept small because texts
+    can be long, and executors get this package from the driver once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pourstat_shipped", None) is None:
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        target = os.path.join(tempfile.mkdtemp(prefix="pourstat-code-"), "pourstat")
+        sc.addPyFile(shutil.make_archive(target, "zip", top, "pourstat"))
+        sc._pourstat_shipped = target
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -62,8 +73,6 @@ def durable(df: DataFrame) -> DataFrame:
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
             folder = tempfile.mkdtemp(prefix="pourstat-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pourstat.llm.common import prepare
+
 MARK = "▁"
 #: An uncovered character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -303,6 +305,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     repeated rows give repeated results. The piece table is broadcast; its file is at most
     ``MAX_MODEL_BYTES`` and does not depend on the data.
     """
+    prepare(df.sparkSession)
     shared = _Shared(abs(hash((path, os.path.getmtime(path)))), df.sparkSession.sparkContext.broadcast(load(path)))
     names = list(keep)
 

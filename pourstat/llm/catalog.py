@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pourstat.llm import langid, pieces, quality, secrets
+from pourstat.llm import langid, pieces, quality, secrets, toxicity
 from pourstat.llm.common import documents
 
 
@@ -28,12 +28,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_of_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_pieces, op7_secret_scan, op10_language_id)
+    f.__name__: f for f in (op2_quality_rules, op3_pieces, op7_secret_scan, op9_toxicity, op10_language_id)
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}

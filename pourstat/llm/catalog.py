@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pourstat.llm import langid, pieces, quality, secrets, toxicity
+from pourstat.llm import decontaminate, langid, pieces, quality, secrets, simhash, toxicity
 from pourstat.llm.common import documents
 
 
@@ -24,6 +25,15 @@ def op3_pieces(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> Da
     return pieces.encode_texts(documents(spark, sf_dir), model).drop("decoded")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
 
@@ -37,7 +47,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_pieces, op7_secret_scan, op9_toxicity, op10_language_id)
+    f.__name__: f
+    for f in (
+        op2_quality_rules,
+        op3_pieces,
+        op4_simhash,
+        op5_decontamination,
+        op7_secret_scan,
+        op9_toxicity,
+        op10_language_id,
+    )
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}

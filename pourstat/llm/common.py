@@ -41,6 +41,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The same rows; a filter on column ``name`` is then applied to its finished value.
+
+    Without it the optimiser moves the filter below the projections and evaluates their
+    expressions anew inside every lambda that refers to them. A generator stops that.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(f"`{name}`")))
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; NULL has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pourstat.llm.common import words_of
+from pourstat.llm.common import settled, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks of shouting, set words or lists; counted per word by the rules below.
@@ -162,7 +162,7 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with their own columns."""
     names = [F.col(f"`{c}`") for c in df.columns]
     row = df.select(F.struct(*names).alias("_row"), F.col("text"))
-    return quality(row, rules).filter("kept").select("_row.*")
+    return settled(quality(row, rules), "kept").filter("kept").select("_row.*")
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

@@ -70,19 +70,27 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_partition))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors share.
 
     ``spark.checkpoint.dir`` is read from the session. Without it a folder is chosen only
     for a local master, as in tests; a cluster must name a shared one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pourstat-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
+    sc, folder = df.sparkSession.sparkContext, checkpoint_dir(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="pourstat-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -111,14 +111,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, copies: np.ndarray) -> tuple[float,
     return max(a, 0.0), b
 
 
-def _sample(labelled: DataFrame) -> DataFrame:
-    """About ``FIT_ROWS`` rows of each class, fixed by a hash of the text."""
-    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic of about ``FIT_ROWS`` labelled ids of each class, fixed by a hash of the id.
+
+    Ids are chosen before any text is read, and the chosen ids, whose number that bound
+    limits, are sent to the documents.
+    """
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").distinct()
+    pairs = marked.join(docs.select("doc_id").distinct(), "doc_id")
+    counts = {r["toxic"]: r["count"] for r in pairs.groupBy("toxic").count().collect()}
     if not counts:
-        return labelled
+        return docs.select("text", F.lit(0).alias("toxic")).limit(0)
     share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, FIT_ROWS / n))]), F.col("toxic"))
-    unit = F.xxhash64("text", F.lit(2)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    return labelled.filter(unit < share)
+    unit = F.xxhash64("doc_id", F.lit(2)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    chosen = F.broadcast(durable(pairs.filter(unit < share)))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
 
 def _spread(texts: DataFrame) -> DataFrame:
@@ -153,12 +160,11 @@ def log_odds(counts: DataFrame, toxic_total: int, clean_total: int) -> DataFrame
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """Learn from rows (text, toxic 0/1). None without rows of both classes.
+    """Learn from rows (text, toxic 0/1), usually a ``sample``. None without rows of both classes.
 
-    The sample is bounded by ``FIT_ROWS`` and so is what reaches the driver: class totals, at
-    most ``MAX_TOKENS`` significant tokens, and a histogram of rounded sample scores.
+    What reaches the driver is bounded: class totals, at most ``MAX_TOKENS`` significant tokens, and a histogram of rounded sample scores.
     """
-    rows = durable(_sample(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).filter("text IS NOT NULL AND toxic IN (0, 1)")))
+    rows = durable(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).filter("text IS NOT NULL AND toxic IN (0, 1)"))
     long = durable(
         _spread(rows).groupBy("token")
         .agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
@@ -239,5 +245,5 @@ def toxicity_of_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     fold = F.coalesce(fold_of(F.col("doc_id")), F.lit(1))
-    train = docs.select("doc_id", "text").filter(fold != 0).join(labels.select("doc_id", "toxic").filter("toxic IS NOT NULL"), "doc_id")
-    return score(docs, fit(train)).select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+    model = fit(sample(docs.filter(fold != 0), labels))
+    return score(docs, model).select("doc_id", (F.coalesce(fold_of(F.col("doc_id")), F.lit(1)) == 0).alias("held_out"), "score", "predicted")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourstat.llm import decontaminate, langid, pieces, quality, secrets, simhash, toxicity
+from pourstat.llm import decontaminate, langid, pieces, quality, secrets, simhash, substrings, toxicity
 from pourstat.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(documents(spark, sf_dir)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_of_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_simhash,
         op5_decontamination,
         op7_secret_scan,
+        op8_suffix_dedup,
         op9_toxicity,
         op10_language_id,
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourstat.llm import decontaminate, langid, pieces, quality, secrets, simhash, substrings, toxicity
+from pourstat.llm import decontaminate, langid, lm, pieces, quality, secrets, simhash, substrings, toxicity
 from pourstat.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores_of_documents(documents(spark, sf_dir))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(documents(spark, sf_dir)))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_pieces,
         op4_simhash,
         op5_decontamination,
+        op6_lm_score,
         op7_secret_scan,
         op8_suffix_dedup,
         op9_toxicity,

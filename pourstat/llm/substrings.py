@@ -30,7 +30,7 @@ SLICE = 1 << 18
 #: Starts of one span; its strings share LENGTH - SPAN + 1 bytes, which are its key.
 SPAN = 18
 #: Keys with up to this many spans are sorted; beyond, strings are compared one by one by digest.
-GROUP = 2000
+GROUP = 6000
 #: Spans sorted together in one suffix array, and spans of a partition.
 SORTED_SPANS = 8000
 PART_SPANS = 40_000

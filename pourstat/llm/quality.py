@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pourstat.llm.common import settled, words_of
+from pourstat.llm.common import words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks of shouting, set words or lists; counted per word by the rules below.
@@ -115,7 +115,10 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(*STOP_WORDS))),
         "n_shouts": count_of(body, SHOUTS),
     }
-    return four.select(*[F.col(f"`{c}`") for c in df.columns], *[v.cast("long").alias(k) for k, v in whole.items()])
+    # A generator hands the finished counts on, so later filters are not evaluated inside the lambdas.
+    counts = F.struct(*[v.cast("long").alias(k) for k, v in whole.items()])
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return four.select(*own, F.explode_outer(F.array(counts)).alias("_c")).select(*own, "_c.*")
 
 
 def _metric(name: str) -> Column:
@@ -162,7 +165,7 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with their own columns."""
     names = [F.col(f"`{c}`") for c in df.columns]
     row = df.select(F.struct(*names).alias("_row"), F.col("text"))
-    return settled(quality(row, rules), "kept").filter("kept").select("_row.*")
+    return quality(row, rules).filter("kept").select("_row.*")
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

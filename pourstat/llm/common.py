@@ -7,15 +7,18 @@ import os
 import shutil
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word definition: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+#: Stands for a NULL id, which comes last.
+NULL_ID = (1 << 63) - 1
+
 #: Rows of one Arrow batch. Documents average a few kB, so a batch stays in the tens of MB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,7 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(target, "zip", top, "pourstat"))
         sc._pourstat_shipped = target
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def let(value: Column, body) -> Column:
@@ -95,6 +99,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Keep a result on the executors' disks for several readers; a lost block is recomputed."""
-    return df.persist(StorageLevel.DISK_ONLY)
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Written to the shared folder and read back, so lineage and shuffles end here."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def identified(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """Adds ``doc`` (NULL ids last) and ``th``, a hash of the text where an id is repeated and 0 elsewhere."""
+    doc = F.coalesce(F.col(f"`{ident}`").cast("long"), F.lit(NULL_ID))
+    rows = df.select(F.col(f"`{ident}`").alias("doc_id"), doc.alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc", F.lit(True).alias("again"))
+    if repeated.isEmpty():
+        return rows.withColumn("th", F.lit(0).cast("long"))
+    return rows.join(repeated, "doc", "left").withColumn(
+        "th", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0))
+    ).select("doc_id", "doc", "text", "th")

@@ -19,23 +19,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pourstat.llm.common import checkpoint_dir, fold_of, partitions_for, prepare
+from pourstat.llm.common import checkpoint_dir, fold_of, partitions_for, prepare, stored
 from pourstat.llm.eliasfano import EliasFano
-from pourstat.llm.substrings import _identified, _stored
 
 END, BEGIN = 0, 1
 #: Weight of the unigram prior in tokens.
 PRIOR = 500.0
 #: A word with more than this share of the training tokens is hot; there are at most 1 / HOT.
 HOT = 1 / 2000
-#: Tokens handled at once by a map task, and tokens of a shard.
-CHUNK = 4_000_000
+#: Tokens of a chunk of texts, and tokens of a shard.
+CHUNK = 1_000_000
 SHARD = 1_500_000
 #: Words a Python worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 LEVELS = 1 << 16
 
 
@@ -52,17 +52,19 @@ class Words:
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def of(self, text: str | None) -> list[int]:
+    def of(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's words, and the end."""
         words = (text or "").encode().lower().split()
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        out = []
-        for w in words:
+        out = np.empty(len(words) + 1, np.uint64)
+        for i, w in enumerate(words):
             k = known.get(w)
             if k is None:
                 k = known[w] = max(2, xxhash.xxh3_64_intdigest(w))
-            out.append(k)
+            out[i] = k
+        out[-1] = END
         return out
 
 
@@ -70,14 +72,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training token counts of each batch."""
     words = Words()
     for batch in batches:
-        ids = [x for t in batch.column(0).to_pylist() for x in (*words.of(t), END)]
-        token, n = np.unique(np.array(ids, np.uint64), return_counts=True)
+        ids = [words.of(t) for t in batch.column(0).to_pylist()]
+        token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *ids]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
 
 def learn_totals(rows: DataFrame, folder: str) -> Totals:
     """Unigram totals over all training rows (``train`` true); at most 1 / HOT counts reach the driver."""
-    counts = _stored(
+    counts = stored(
         rows.filter("train").select("text").mapInArrow(_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")),
         folder, "unigrams",
     )
@@ -112,7 +114,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head = np.frombuffer(data, np.int64, 2 * n, 8)
-    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64)}
+    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float64)}
     at, out = 8 + 16 * n, []
     for num, size in head.reshape(-1, 2).tolist():
         out.append(np.frombuffer(data, kinds[num], size, at))
@@ -120,30 +122,39 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _parcels(docs: list[int], ths: list[int], train: list[bool], texts: list[list[int]], hot: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One packed row per shard: the tokens of some texts with context and text, sorted by token."""
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    token = np.fromiter((x for t in texts for x in (*t, END)), np.uint64, int(size.sum()))
-    context = np.empty(len(token), np.uint64)
+_DEALT = "shard bigint, chunk bigint, ids array<bigint>, blob binary"
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+
+def _parcels(chunk: int, ids: list[int | None], train: list[bool], texts: list[np.ndarray], hot: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A packed row per shard: the tokens of a chunk of texts with context and text, sorted by token.
+
+    One more row carries the ids of the chunk's texts past the shards.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    token = np.concatenate(texts)
+    context = np.empty_like(token)
     context[1:] = token[:-1]
-    starts = np.cumsum(size) - size
-    context[starts] = BEGIN
+    context[np.cumsum(size) - size] = BEGIN
     owner = np.repeat(np.arange(len(texts), dtype=np.uint32), size)
-    shard = shard_of(token, context, hot, shards)
+    shard = shard_of(token, context, hot, shards).astype(np.uint32)
     order = np.lexsort((token, shard))
     token, context, owner, shard = token[order], context[order], owner[order], shard[order]
     cuts = np.searchsorted(shard, np.arange(shards + 1))
-    ids = [np.array(docs, np.int64), np.array(ths, np.int64), np.array(train, np.uint8)]
-    keys, blobs = [], []
+    fit = np.array(train, np.uint8)
+    rows: list[tuple] = [(chunk % shards, chunk, ids, None)]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a == b:
             continue
         here, local = np.unique(owner[a:b], return_inverse=True)
         names, count = np.unique(token[a:b], return_counts=True)
         contexts, code = np.unique(context[a:b], return_inverse=True)
-        keys.append(k)
-        blobs.append(pack([*[x[here] for x in ids], names, _narrow(count), contexts, _narrow(code), _narrow(local)]))
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+        rows.append((k, chunk, None, pack([_narrow(here), fit[here], names, _narrow(count), contexts, _narrow(code), _narrow(local)])))
+    return _rows(["shard", "chunk", "ids", "blob"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()], rows)
 
 
 class Trie:
@@ -154,11 +165,11 @@ class Trie:
     pointers cut it into the ranges of the tokens. Probabilities are quantised.
     """
 
-    def __init__(self, token: np.ndarray, context: np.ndarray, count: np.ndarray, token_count: np.ndarray, names: np.ndarray, total: Totals):
-        """Sorted distinct pairs with counts; ``names`` (sorted) with their whole training counts."""
-        contexts = np.unique(context)
-        node = np.searchsorted(names, token)
-        place = node.astype(np.uint64) * np.uint64(len(contexts) + 1) + np.searchsorted(contexts, context).astype(np.uint64)
+    def __init__(self, names: np.ndarray, contexts: np.ndarray, place: np.ndarray, count: np.ndarray, token_count: np.ndarray, total: Totals):
+        """Sorted distinct tokens with their whole training counts, sorted distinct contexts, and the
+        counts of pairs at ``place`` = token * (number of contexts) + context, in order."""
+        self.size = len(contexts)
+        node = (place // np.uint64(self.size)).astype(np.int64)
         unigram = (token_count + 0.5) / (total.tokens + 0.5 * (total.types + 1))
         parts = {
             "names": EliasFano(names), "contexts": EliasFano(contexts), "pairs": EliasFano(place),
@@ -168,7 +179,6 @@ class Trie:
         arrays |= self._quantised("joint", np.log10(count + PRIOR * unigram[node]))
         arrays |= self._quantised("alone", np.log10(PRIOR * unigram))
         arrays |= self._quantised("as_context", np.log10(token_count + PRIOR))
-        self.size = len(contexts) + 1
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         offsets, at = {}, 0
         with os.fdopen(handle, "wb") as f:
@@ -211,53 +221,79 @@ class Trie:
         os.remove(self.path)
 
 
-def score_shard(blobs: list[bytes], total: Totals) -> pa.RecordBatch:
-    """Partial sums per text over the tokens of one shard."""
-    docs, ths, train, token, context, owner = [], [], [], [], [], []
-    base = 0
-    for blob in blobs:
-        d, h, t, names, count, contexts, code, local = unpack(blob)
-        docs.append(d)
-        ths.append(h)
-        train.append(t)
-        token.append(np.repeat(names, count))
-        context.append(contexts[code])
-        owner.append(local.astype(np.int64) + base)
-        base += len(d)
-    docs, ths, train, token, context, owner = (np.concatenate(x) for x in (docs, ths, train, token, context, owner))
-    order = np.lexsort((context, token))
-    token, context, owner = token[order], context[order], owner[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (context[1:] != context[:-1])])
-    pair = np.cumsum(new) - 1
-    counts = np.bincount(pair, weights=train[owner] == 1).astype(np.int64)
-    pair_token, pair_context = token[new], context[new]
-    names, node = np.unique(pair_token, return_inverse=True)
-    token_count = np.bincount(node, weights=counts).astype(np.int64)
+def score_shard(blobs: list[bytes], total: Totals) -> list[bytes]:
+    """For each packed row of a shard its texts' partial sums: text, tokens, known tokens, base and model score."""
+    parcels = [unpack(b) for b in blobs]
+    names = np.unique(np.concatenate([p[2] for p in parcels]))
+    contexts = np.unique(np.concatenate([p[4] for p in parcels]))
+    # Pairs are numbered by token and context within the shard; only these numbers are sorted.
+    place = np.concatenate(
+        [np.repeat(np.searchsorted(names, p[2]), p[3]).astype(np.uint64) * np.uint64(len(contexts)) + np.searchsorted(contexts, p[4])[p[5]].astype(np.uint64) for p in parcels]
+    )
+    fit = np.concatenate([p[1][p[6]] for p in parcels])
+    pairs, pair = np.unique(place, return_inverse=True)
+    del place
+    counts = np.bincount(pair[fit == 1], minlength=len(pairs))
+    node = (pairs // np.uint64(len(contexts))).astype(np.int64)
+    token_count = np.bincount(node, weights=counts, minlength=len(names)).astype(np.int64)
     for k, n in total.hot.items():
         i = int(np.searchsorted(names, np.uint64(k)))
         if i < len(names) and int(names[i]) == k:
             token_count[i] = n
     seen = counts > 0
-    trie = Trie(pair_token[seen], pair_context[seen], counts[seen], token_count, names, total)
-    top = trie.numerators(pair_token, pair_context)
-    below = np.where(names == END, 0.0, trie.denominators(names))
+    trie = Trie(names, contexts, pairs[seen], counts[seen], token_count, total)
+    context = contexts[(pairs % np.uint64(len(contexts))).astype(np.int64)]
+    value = trie.numerators(names[node], context) - np.where(names == END, 0.0, trie.denominators(names))[node]
     trie.close()
-    base_of = np.log10((token_count + 0.5) / (total.tokens + 0.5 * (total.types + 1)))
     # The first token of a text has the begin of text as its context.
-    first = np.where(pair_context == BEGIN, np.log10(total.texts + PRIOR), 0.0)
-    value = (top - below[node] - first)[pair]
-    at = node[pair]
-    n = base
-    sums = [
-        np.bincount(owner, minlength=n).astype(np.int64),
-        np.bincount(owner, weights=token_count[at] > 0, minlength=n).astype(np.int64),
-        np.bincount(owner, weights=token == END, minlength=n).astype(np.int64),
-        np.bincount(owner, weights=base_of[at], minlength=n),
-        np.bincount(owner, weights=value, minlength=n),
-    ]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (docs, ths, *sums)], names=["doc", "th", "n_tokens", "n_known", "copies", "base_score", "score"]
-    )
+    value[context == BEGIN] -= np.log10(total.texts + PRIOR)
+    base = np.log10((token_count + 0.5) / (total.tokens + 0.5 * (total.types + 1)))
+    known = token_count > 0
+    out, at = [], 0
+    for p in parcels:
+        here, local = p[0], p[6]
+        mine = pair[at : at + len(local)]
+        at += len(local)
+        n = len(here)
+        out.append(
+            pack([
+                here, _narrow(np.bincount(local, minlength=n)), _narrow(np.bincount(local, weights=known[node[mine]], minlength=n)),
+                np.bincount(local, weights=base[node[mine]], minlength=n), np.bincount(local, weights=value[mine], minlength=n),
+            ])
+        )
+    return out
+
+
+_ANSWERED = "chunk bigint, ids array<bigint>, blob binary"
+_SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the partial sums of each chunk; rows come sorted by chunk."""
+
+    def whole(ids: list, blobs: list[bytes]) -> pa.RecordBatch:
+        sums = [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
+        for blob in blobs:
+            here, *parts = unpack(blob)
+            for total, part in zip(sums, parts):
+                total[here] += part.astype(total.dtype)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
+        )
+
+    chunk, ids, blobs = None, None, []
+    for batch in batches:
+        for k, these, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if k != chunk and chunk is not None:
+                yield whole(ids, blobs)
+                blobs = []
+            chunk = k
+            if these.is_valid:
+                ids = these.as_py()
+            else:
+                blobs.append(blob.as_py())
+    if chunk is not None:
+        yield whole(ids, blobs)
 
 
 def score_texts(df: DataFrame, train, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,53 +308,54 @@ def score_texts(df: DataFrame, train, ident: str = "doc_id", text: str = "text")
     spark = df.sparkSession
     prepare(spark)
     folder = f"{checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
-    rows = _identified(df, ident, text).withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True)))
+    rows = df.select(F.col(f"`{ident}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = rows.withColumn("train", F.coalesce(train(F.col("doc_id")), F.lit(True)))
     total = learn_totals(rows, folder)
-    parts = partitions_for(total.tokens, 2 * SHARD, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(total.tokens, 2 * SHARD, least)
     shards = 2 * parts
     hot = np.array(sorted(total.hot), np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        size = 0
+        words, chunk = Words(), TaskContext.get().partitionId() << 32
+        ids, fit, texts, size = [], [], [], 0
         for batch in batches:
-            for doc, th, fit, t in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = words.of(t)
-                for part, x in zip(held, (doc, th, fit, ids)):
-                    part.append(x)
-                size += len(ids) + 1
-                if size >= CHUNK // 4:
-                    yield _parcels(*held, hot, shards)
-                    held, size = ([], [], [], []), 0
-        if size:
-            yield _parcels(*held, hot, shards)
+            for doc, f, t in zip(*(c.to_pylist() for c in batch.columns)):
+                ids.append(doc)
+                fit.append(f)
+                texts.append(words.of(t))
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    yield _parcels(chunk, ids, fit, texts, hot, shards)
+                    chunk += 1
+                    ids, fit, texts, size = [], [], [], 0
+        if ids:
+            yield _parcels(chunk, ids, fit, texts, hot, shards)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, blobs = None, []
+        names, kinds = ["chunk", "ids", "blob"], [pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        shard, chunks, blobs = None, [], []
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k, chunk, ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if k != shard and blobs:
-                    yield score_shard(blobs, total)
-                    blobs = []
+                    yield _rows(names, kinds, [(c, None, b) for c, b in zip(chunks, score_shard(blobs, total))])
+                    chunks, blobs = [], []
                 shard = k
-                blobs.append(blob.as_py())
+                if ids.is_valid:
+                    yield _rows(names, kinds, [(chunk, ids.as_py(), None)])
+                else:
+                    chunks.append(chunk)
+                    blobs.append(blob.as_py())
         if blobs:
-            yield score_shard(blobs, total)
+            yield _rows(names, kinds, [(c, None, b) for c, b in zip(chunks, score_shard(blobs, total))])
 
-    dealt = rows.select("doc", "th", "train", "text").mapInArrow(deal, "shard bigint, blob binary")
-    partial = dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(
-        answer, "doc bigint, th bigint, n_tokens bigint, n_known bigint, copies bigint, base_score double, score double"
-    )
-    sums = partial.groupBy("doc", "th").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "copies", "base_score", "score")])
-    copies = F.col("copies")
-    one = sums.select(
-        "doc", F.explode(F.sequence(F.lit(1), copies)).alias("_copy"), (F.col("n_tokens") / copies).cast("long").alias("n_tokens"),
-        (F.col("n_known") / copies).cast("long").alias("n_known"), (F.col("base_score") / copies).alias("base_score"), (F.col("score") / copies).alias("score"),
-    )
+    dealt = rows.select("doc_id", "train", "text").mapInArrow(deal, _DEALT)
+    answered = dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(answer, _ANSWERED)
+    scored = answered.repartition(least, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, _SCORED)
     kind = df.schema[ident].dataType.simpleString()
-    back = F.when(F.col("doc") == F.lit((1 << 63) - 1), None).otherwise(F.col("doc")).cast(kind)
-    return one.select(back.alias("doc_id"), "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(
+        F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def scores_of_documents(docs: DataFrame) -> DataFrame:

@@ -18,9 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pourstat.llm.common import checkpoint_dir, prepare
+from pourstat.llm.common import checkpoint_dir, identified, prepare, stored
 from pourstat.llm.graph import components
-from pourstat.llm.substrings import _identified, _stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -183,7 +182,7 @@ def paragraph_links(rows: DataFrame, contents: DataFrame, folder: str) -> DataFr
     """
     keyed = contents.select("e", F.explode("bands").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    met = _stored(keyed.join(shared, "k"), folder, "buckets")
+    met = stored(keyed.join(shared, "k"), folder, "buckets")
     wanted = met.select("e").distinct().join(contents.drop("bands"), "e")
     places = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("e", "start", "stop")).alias("places"))
     sets = rows.join(places, ["doc", "th"]).select("text", "places").mapInArrow(_shingle_rows, "e bigint, sh array<bigint>")
@@ -192,7 +191,7 @@ def paragraph_links(rows: DataFrame, contents: DataFrame, folder: str) -> DataFr
     last = F.when(F.col("n") > BUCKET, blocks - 1).otherwise(F.lit(0))
     dealt = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     block = dealt.select("k", "e", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    full = block.join(_stored(sets, folder, "sets"), "e").groupBy("k", "p", "q").agg(F.collect_list(F.struct("e", "sh")).alias("m"))
+    full = block.join(stored(sets, folder, "sets"), "e").groupBy("k", "p", "q").agg(F.collect_list(F.struct("e", "sh")).alias("m"))
     return full.select("m").mapInArrow(_verify, "a bigint, b bigint")
 
 
@@ -209,16 +208,16 @@ def repeated_passages(df: DataFrame, ident: str = "doc_id", text: str = "text")
     spark = df.sparkSession
     prepare(spark)
     folder = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4().hex}"
-    rows = _identified(df, ident, text)
-    found = _stored(rows.select("doc", "th", "text").mapInArrow(_unit_rows, _UNITS), folder, "units")
+    rows = identified(df, ident, text)
+    found = stored(rows.select("doc", "th", "text").mapInArrow(_unit_rows, _UNITS), folder, "units")
     place = F.struct("doc", "th", "start", "stop")
     lines = found.filter("line").groupBy("e").agg(F.min(place).alias("f"), F.first("bands").alias("bands"))
-    contents = _stored(lines.select("e", "f.doc", "f.th", "f.start", "f.stop", "bands"), folder, "contents")
-    linked = _stored(components(paragraph_links(rows.select("doc", "th", "text"), contents, folder)), folder, "components")
+    contents = stored(lines.select("e", "f.doc", "f.th", "f.start", "f.stop", "bands"), folder, "contents")
+    linked = stored(components(paragraph_links(rows.select("doc", "th", "text"), contents, folder)), folder, "components")
     # Classes with more than one place: linked contents, and contents that repeat.
     first = found.groupBy("e").agg(F.min(F.struct("doc", "th", "start")).alias("f"), F.count("*").alias("n"))
     classed = first.join(linked.withColumnRenamed("node", "e"), "e", "left").filter("n > 1 OR root IS NOT NULL")
-    classed = _stored(classed.select("e", "f", F.coalesce("root", "e").alias("root")), folder, "classes")
+    classed = stored(classed.select("e", "f", F.coalesce("root", "e").alias("root")), folder, "classes")
     kept = classed.groupBy("root").agg(F.min("f").alias("keep"))
     late = found.select("doc", "th", "line", "start", "stop", "n_words", "e").join(classed.select("e", "root").join(kept, "root"), "e")
     late = late.filter(F.struct("doc", "th", "start") != F.col("keep"))

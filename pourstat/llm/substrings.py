@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pourstat.llm.common import checkpoint_dir, partitions_for, prepare
+from pourstat.llm.common import checkpoint_dir, identified, partitions_for, prepare, stored
 
 LENGTH = 100
 GRAM = 32
@@ -37,7 +37,6 @@ PART_SPANS = 40_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_NULL_ID = (1 << 63) - 1
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -352,43 +351,25 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Written to the shared folder and read back, so lineage and shuffles end here."""
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
-def _identified(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Adds ``doc`` (NULL ids last) and ``th``, a hash of the text where an id is repeated and 0 elsewhere."""
-    doc = F.coalesce(F.col(f"`{ident}`").cast("long"), F.lit(_NULL_ID))
-    rows = df.select(F.col(f"`{ident}`").alias("doc_id"), doc.alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc", F.lit(True).alias("again"))
-    if repeated.isEmpty():
-        return rows.withColumn("th", F.lit(0).cast("long"))
-    return rows.join(repeated, "doc", "left").withColumn(
-        "th", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0))
-    ).select("doc_id", "doc", "text", "th")
-
-
 def repeated_cuts(rows: DataFrame, folder: str) -> DataFrame:
     """``doc, th, start, stop``: byte ranges covered by strings that start earlier elsewhere."""
     anchors = rows.select("doc", "th", "text").mapInArrow(_anchor_rows, "h bigint, w bigint, doc bigint, th bigint, pos bigint")
     common = anchors.groupBy("h").agg(F.count("*").alias("n"), (F.min("w") != F.max("w")).alias("mixed")).filter("n > 1").drop("n")
-    met = _stored(anchors.join(common, "h"), folder, "anchors")
+    met = stored(anchors.join(common, "h"), folder, "anchors")
     place = F.struct("doc", "th", F.shiftright("pos", 14).alias("p"))
     first = met.groupBy("h", "w").agg(F.min(place).alias("f"))
-    ranked = _stored(met.join(first, ["h", "w"]).select("doc", "th", "pos", "mixed", (place == F.col("f")).alias("is_first")), folder, "ranked")
+    ranked = stored(met.join(first, ["h", "w"]).select("doc", "th", "pos", "mixed", (place == F.col("f")).alias("is_first")), folder, "ranked")
     p = F.shiftright("pos", 14)
     settled = ranked.filter("NOT is_first").select(
         "doc", "th", (p - F.shiftright("pos", 7).bitwiseAND(127)).alias("start"), (p - F.col("pos").bitwiseAND(127) + LENGTH).alias("stop")
     )
     open_ = ranked.filter("is_first AND mixed").groupBy("doc", "th").agg(F.collect_list("pos").alias("places"))
-    spans = _stored(
+    spans = stored(
         rows.select("doc", "th", "text").join(open_, ["doc", "th"]).mapInArrow(_spans, "key bigint, doc bigint, th bigint, start bigint, span binary"),
         folder, "spans",
     )
     met_again = spans.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    grouped = _stored(spans.join(met_again, "key"), folder, "grouped")
+    grouped = stored(spans.join(met_again, "key"), folder, "grouped")
     few = grouped.filter(F.col("n") <= GROUP).drop("n")
     parts = partitions_for(few.count(), PART_SPANS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_cuts = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort_spans, _CUT)
@@ -411,7 +392,7 @@ def remove_repeats(df: DataFrame, ident: str = "doc_id", text: str = "text") ->
     """
     prepare(df.sparkSession)
     folder = f"{checkpoint_dir(df.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    rows = _identified(df, ident, text)
+    rows = identified(df, ident, text)
     cuts = repeated_cuts(rows, folder).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     joined = rows.join(cuts, ["doc", "th"], "left").select("doc_id", "text", "cuts")
     kind = df.schema[ident].dataType.simpleString()

@@ -408,12 +408,16 @@ def with_recipe_features(df: DataFrame) -> DataFrame:
 
 
 def recipe_cohort(df: DataFrame) -> DataFrame:
-    """Complete recipes of valid US tests with a strength, one row per test."""
+    """Complete recipes of valid US tests with a strength, one row per test.
+
+    Of a repeated test the complete row that sorts first over all columns stays.
+    """
     scoped = zero_fly_ash(df).where(
         (F.col("ConcreteTestUnitSystem") == S.US_UNIT_SYSTEM) & (F.col("IsValidCastDate") == 1)
     )
     ranged = with_recipe_features(null_outside(scoped, S.RECIPE_RANGES))
-    return ranged.dropna(how="any", subset=[*S.RECIPE_CORE, S.TARGET])
+    complete = ranged.dropna(how="any", subset=[*S.RECIPE_CORE, S.TARGET])
+    return keep_first(complete, ["testId"], [F.col(c) for c in complete.columns])
 
 
 def recipe_summary(df: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -425,6 +429,7 @@ def recipe_summary(df: DataFrame, cohort: DataFrame) -> DataFrame:
         F.count_distinct("SupplierName").alias("suppliers"),
         F.count_distinct("plantNumber").alias("plants"),
         F.count_distinct("mixNumber").alias("mixes"),
+        F.coalesce(F.sum("FlyAshAssumedZero"), F.lit(0)).cast("long").alias("fly_ash_assumed_zero_rows"),
     ).withColumn("input_rows", total.scalar())
     return out.withColumn(
         "retained_percent", E.percent_even(F.col("batch_complete_strength_rows"), F.col("input_rows"))

@@ -15,16 +15,22 @@ from pyspark.sql import functions as F
 
 BUCKETS_PER_DOUBLING = 1024
 _EXPONENT_SHIFT = 1100  # keeps log2 of every positive double above zero
+_LAST_BUCKET = 1 << 40
 
 
 def value_bucket(value: Column | str) -> Column:
-    """Bucket number that grows with the value: 1024 steps per power of two."""
+    """Bucket number that grows with the value: 1024 steps per power of two.
+
+    Infinities take the outermost buckets; NULL and NaN have none.
+    """
     v = F.col(value) if isinstance(value, str) else value
+    endless = F.abs(v) == F.lit(float("inf"))
     step = (
-        F.floor((F.log2(F.abs(v)) + F.lit(float(_EXPONENT_SHIFT))) * F.lit(float(BUCKETS_PER_DOUBLING)))
+        F.floor((F.log2(F.when(~endless, F.abs(v))) + F.lit(float(_EXPONENT_SHIFT))) * F.lit(float(BUCKETS_PER_DOUBLING)))
         + 1
     ).cast("long")
-    return F.when(v > 0, step).when(v < 0, -step).when(v == 0, F.lit(0).cast("long"))
+    step = F.when(endless, F.lit(_LAST_BUCKET)).otherwise(step)
+    return F.when(F.isnan(v), None).when(v > 0, step).when(v < 0, -step).when(v == 0, F.lit(0).cast("long"))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -48,12 +54,12 @@ def running_sums(
     """One row per distinct (keys, value) with running totals in value order.
 
     For each measure ``m`` the result has ``m`` (at the value), ``m_upto``
-    (including the value) and ``m_total`` (of the key). Missing values are left out;
+    (including the value) and ``m_total`` (of the key). NULL and NaN are left out;
     key columns must not be NULL.
     """
     keys = list(keys)
     per_value = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*keys, value)
         .agg(*[F.sum(c).alias(m) for m, c in measures.items()])
         .withColumn("_bucket", value_bucket(F.col(value).cast("double")))
@@ -114,7 +120,9 @@ def exact_quantiles(
             F.max(position - F.floor(position)).alias(f"_{name}_part"),
         ]
         low = F.col(f"_{name}_lo")
-        outs.append((low + (F.col(f"_{name}_hi") - low) * F.col(f"_{name}_part")).alias(name))
+        high = F.col(f"_{name}_hi")
+        # Equal neighbours need no step between them, and infinite ones have none.
+        outs.append(F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_{name}_part")).alias(name))
     return ranks.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 

@@ -52,11 +52,13 @@ def local_session(cores: str = "8", app: str = "pourstat", memory: str = "8g") -
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint.
 
-    The folder comes from ``spark.checkpoint.dir``. A temporary folder is set only
-    where the session names none, which is the case in local tests.
+    The folder comes from ``spark.checkpoint.dir``. Where the session names none, a
+    temporary folder is set for a local master only; a cluster must name a shared one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pourstat-ckpt-"))
     return df.checkpoint()
 

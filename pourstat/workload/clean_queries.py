@@ -325,9 +325,9 @@ def _(t):
 
 
 _RC = {c: r for c, r in S.RECIPE_RANGES.items() if c in ("CalcCementContent_lbs_yd3", "calcWCRatio", "SandSSD_lbs_yd3", "AggregateSSD_lbs_yd3", S.TARGET)}
-RECIPE = f""", r0 AS (SELECT *, CASE WHEN CalcCementContent_lbs_yd3 IS NOT NULL AND FlyAshContent_lbs_yd3 IS NULL THEN 0 ELSE FlyAshContent_lbs_yd3 END AS ash
-   FROM facts WHERE ConcreteTestUnitSystem = 0 AND IsValidCastDate = 1)
-, r1 AS (SELECT testId, projectId, officeId, SupplierName, plantNumber, mixNumber, CASE WHEN ApplicableSpecifiedStrength28 BETWEEN 500 AND 20000 THEN ApplicableSpecifiedStrength28 END AS ApplicableSpecifiedStrength28,
+RECIPE = f""", r0 AS (SELECT *, CASE WHEN CalcCementContent_lbs_yd3 IS NOT NULL AND FlyAshContent_lbs_yd3 IS NULL THEN 0 ELSE FlyAshContent_lbs_yd3 END AS ash,
+   CASE WHEN CalcCementContent_lbs_yd3 IS NOT NULL AND FlyAshContent_lbs_yd3 IS NULL THEN 1 ELSE 0 END AS assumed FROM facts WHERE ConcreteTestUnitSystem = 0 AND IsValidCastDate = 1)
+, r1 AS (SELECT testId, assumed, projectId, officeId, SupplierName, plantNumber, mixNumber, CASE WHEN ApplicableSpecifiedStrength28 BETWEEN 500 AND 20000 THEN ApplicableSpecifiedStrength28 END AS ApplicableSpecifiedStrength28,
    {', '.join(f'CASE WHEN {c} BETWEEN {lo}::DOUBLE AND {hi}::DOUBLE THEN {c} END AS {c}' for c, (lo, hi) in _RC.items())}, CASE WHEN ash BETWEEN 0 AND 800 THEN ash END AS FlyAshContent_lbs_yd3,
    CASE WHEN EffectiveSlump_in BETWEEN 0 AND 20 THEN EffectiveSlump_in END AS EffectiveSlump_in, CASE WHEN EffectiveAir_percent BETWEEN 0 AND 20 THEN EffectiveAir_percent END AS EffectiveAir_percent FROM r0)
 , recipe AS (SELECT *, CalcCementContent_lbs_yd3 + FlyAshContent_lbs_yd3 AS TotalCementitiousContent_lbs_yd3, FlyAshContent_lbs_yd3 / nullif(CalcCementContent_lbs_yd3 + FlyAshContent_lbs_yd3, 0) AS FlyAshFraction,
@@ -344,7 +344,7 @@ def _(t):
 
 @query("grp46_recipe_summary", cte("facts") + RECIPE + f"""
 SELECT count(*) AS batch_complete_strength_rows, count(DISTINCT projectId) AS projects, count(DISTINCT SupplierName) AS suppliers, count(DISTINCT plantNumber) AS plants,
- count(DISTINCT mixNumber) AS mixes, (SELECT count(*) FROM facts) AS input_rows, {pe('count(*)', '(SELECT count(*) FROM facts)')} AS retained_percent FROM recipe""")
+ count(DISTINCT mixNumber) AS mixes, CAST(sum(assumed) AS BIGINT) AS fly_ash_assumed_zero_rows, (SELECT count(*) FROM facts) AS input_rows, {pe('count(*)', '(SELECT count(*) FROM facts)')} AS retained_percent FROM recipe""")
 def _(t):
     return C.recipe_summary(t["facts"], C.recipe_cohort(t["facts"]))
 

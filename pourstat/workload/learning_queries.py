@@ -18,7 +18,7 @@ SMALL = L.Size(trees=8, rounds=4, depth=6)
 SCENARIO_SEED = 7
 
 
-def rows(t: Tables, folds: int = 3):
+def rows(t: Tables, folds: int = 5):
     facts = t["facts"].withColumn("SplitGroup", E.project_group("projectId", "testId"))
     return L.experiment_rows(facts, "SplitGroup", folds)
 
@@ -29,16 +29,14 @@ def pick(specs, *names):
 
 @query("mod04_09_regression_cross_validation")
 def _(t):
-    specs = pick(L.regressors(SMALL), "DummyMean", "Ridge")
-    sets = {k: v for k, v in L.four_feature_sets().items() if k in ("Day0_Context", "Full_ContextPlusDay7")}
-    return M.regression_metrics(L.cross_validate(rows(t), sets, specs, folds=3), ["FeatureSet", "Model", "Fold"])
+    specs = pick(L.regressors(), "DummyMean", "LinearRegression", "Ridge")
+    return M.regression_metrics(L.cross_validate(rows(t), L.four_feature_sets(), specs), ["FeatureSet", "Model", "Fold"])
 
 
 @query("mod05_09_risk_cross_validation")
 def _(t):
-    specs = pick(L.classifiers(SMALL), "DummyPrior", "LogisticRegression")
-    sets = {k: v for k, v in L.four_feature_sets().items() if k in ("Day7_FieldPlusRequired",)}
-    predicted = L.cross_validate(rows(t), sets, specs, folds=3, classify=True)
+    specs = pick(L.classifiers(), "DummyPrior", "LogisticRegression")
+    predicted = L.cross_validate(rows(t), L.four_feature_sets(), specs, classify=True)
     return M.classification_metrics(predicted, ["FeatureSet", "Model", "Fold"])
 
 

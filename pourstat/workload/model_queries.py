@@ -20,8 +20,8 @@ from pourstat.workload.standins import cte
 GROUP_SQL = "coalesce(nullif(trim(CAST(projectId AS VARCHAR)), ''), 'MISSING_PROJECT_TEST_' || CAST(testId AS VARCHAR))"
 
 
-def bucket(seed: int) -> str:
-    return f"('0x' || substr(md5('{seed}|' || SplitGroup), 1, 8))::BIGINT % 100"
+def bucket(seed: int, key: str = "SplitGroup") -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT % 100"
 
 
 SPLIT = f", g AS (SELECT *, {GROUP_SQL} AS SplitGroup FROM facts), sp AS (SELECT *, CASE WHEN {bucket(42)} < 20 THEN 'test' ELSE 'train' END AS DatasetSplit FROM g)"
@@ -48,10 +48,12 @@ def _(t):
     return rounded(P.target_summary(L.train_test(grouped(t), "SplitGroup"), ["DatasetSplit"], S.TARGET, "SplitGroup"))
 
 
-@query("set03_joi14_split_overlap", cte("facts") + SPLIT + """
-SELECT SplitGroup FROM sp WHERE DatasetSplit = 'train' INTERSECT SELECT SplitGroup FROM sp WHERE DatasetSplit = 'test'""")
+# Rows are split one by one here, so groups do fall on both sides.
+@query("set03_joi14_split_overlap", cte("facts") + SPLIT + f"""
+, rw AS (SELECT SplitGroup, CASE WHEN {bucket(42, "CAST(testId AS VARCHAR)")} < 20 THEN 'test' ELSE 'train' END AS DatasetSplit FROM g)
+SELECT SplitGroup FROM rw WHERE DatasetSplit = 'train' INTERSECT SELECT SplitGroup FROM rw WHERE DatasetSplit = 'test'""")
 def _(t):
-    split = L.train_test(grouped(t), "SplitGroup")
+    split = L.train_test(grouped(t).withColumn("_row", F.col("testId").cast("string")), "_row")
     return L.shared_keys(split.where("DatasetSplit = 'train'"), split.where("DatasetSplit = 'test'"), "SplitGroup")
 
 
@@ -110,10 +112,9 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE testId NOT IN (SELECT testId FRO
 def _(t):
     train = C.until_year(t["facts"], 1998)
     external = C.between_years(t["facts"], 1999, 2001)
-    overlap = L.shared_keys(train, external, "testId")
-    kept = external.join(overlap, "testId", "left_anti")
+    L.assert_disjoint(train, external, "testId")
     return train.select("testId", F.lit("train").alias("DatasetSplit")).unionByName(
-        kept.select("testId", F.lit("external").alias("DatasetSplit"))
+        external.select("testId", F.lit("external").alias("DatasetSplit"))
     )
 
 
@@ -417,6 +418,15 @@ def _(t):
     return rounded(aligned(t).select("testId", "Fold", "FeatureSet", "PredictedMargin_psi", M.FAILED, M.SCORE))
 
 
+@query("joi09_one_to_one_merge", cte("facts") + f"""
+, a AS (SELECT testId, {S.TARGET} FROM facts WHERE {S.TARGET} IS NOT NULL), b AS (SELECT testId, {S.REQUIRED} FROM facts WHERE {S.REQUIRED} IS NOT NULL)
+SELECT * FROM a JOIN b USING (testId)""")
+def _(t):
+    one = t["facts"].where(F.col(S.TARGET).isNotNull()).select("testId", S.TARGET)
+    two = t["facts"].where(F.col(S.REQUIRED).isNotNull()).select("testId", S.REQUIRED)
+    return D.merge_one_to_one(one, two, ["testId"])
+
+
 @query("joi09_10_checked_merges", cte("facts", "predictions") + f""" SELECT p.testId, p.Model, r.{S.REQUIRED} FROM predictions p JOIN facts r ON r.testId = p.testId WHERE p.FeatureSet = 'Day0_Context' AND r.{S.REQUIRED} IS NOT NULL""")
 def _(t):
     known = t["facts"].where(F.col(S.REQUIRED).isNotNull()).select("testId", S.REQUIRED)
@@ -551,11 +561,13 @@ def _(t):
     return t["facts"].select("SupplierName", "plantNumber", "mixNumber").distinct()
 
 
+# Only every fiftieth project trains, so test rows hold categories that training never saw.
 @query("set04_unseen_categories", cte("facts") + SPLIT + CONTEXT.replace("FROM g)", "FROM sp)") + """
-SELECT DISTINCT SupplierPlantMixCategory FROM ctx WHERE DatasetSplit = 'test' EXCEPT SELECT SupplierPlantMixCategory FROM ctx WHERE DatasetSplit = 'train'""")
+, sm AS (SELECT SupplierPlantMixCategory, DatasetSplit, projectId % 50 = 0 AS few FROM ctx)
+SELECT DISTINCT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'test' EXCEPT SELECT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'train' AND few""")
 def _(t):
     df = N.with_context(L.train_test(grouped(t), "SplitGroup"), "SupplierName", "plantNumber", "mixNumber")
-    seen = df.where("DatasetSplit = 'train'").select("SupplierPlantMixCategory")
+    seen = df.where("projectId % 50 = 0").where("DatasetSplit = 'train'").select("SupplierPlantMixCategory")
     test = df.where("DatasetSplit = 'test'").select("SupplierPlantMixCategory").distinct()
     return test.join(seen, "SupplierPlantMixCategory", "left_anti")
 

@@ -90,3 +90,12 @@ def test_top_rows_limits_before_the_exchange(frame):
     top = O.top_rows(df, ["g"], [F.desc("i")], 2)
     assert {r["i"] for r in top.collect()} == {19, 18, 17, 16}
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_nan_is_missing_and_infinities_are_outermost(frame):
+    inf = float("inf")
+    df = frame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    assert O.exact_quantiles(df, [], "v", {"m": 0.5, "top": 1.0}).first().asDict() == {"m": 2.0, "top": 3.0}
+    df = frame([(inf,), (1.0,), (-inf,), (5.0,), (-1e300,)], "v double")
+    got = O.exact_quantiles(df, [], "v", {"low": 0.0, "next": 0.25, "m": 0.5, "high": 1.0}).first().asDict()
+    assert got == {"low": -inf, "next": -1e300, "m": 1.0, "high": inf}

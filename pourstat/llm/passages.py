@@ -59,10 +59,23 @@ def shingles(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def bands(sh: np.ndarray) -> list[int]:
-    """Band keys of a shingle set."""
-    least = np.array([(sh * a ^ (sh >> np.uint64(17)) * a).min() for a in _A], np.uint64).reshape(BANDS, ROWS)
-    return [xxhash.xxh3_64_intdigest(least[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+def bands(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Band keys (lines x BANDS) of consecutive lines with ``size`` words each, all of five or more."""
+    sh = shingles(ids)
+    ends = np.cumsum(size)
+    # Windows that run over a line's end are left out.
+    inside = np.ones(len(sh), bool)
+    for k in range(1, SHINGLE):
+        inside[ends[:-1] - k] = False
+    sh = sh[inside]
+    count = size - SHINGLE + 1
+    mixed = sh[None, :] * _A[:, None] ^ (sh >> np.uint64(17))[None, :] * _A[::-1, None]
+    least = np.minimum.reduceat(mixed, np.cumsum(count) - count, axis=1)
+    keys = np.zeros((BANDS, len(size)), np.uint64)
+    for r in range(ROWS):
+        keys = (keys ^ least[r * BANDS : (r + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return (keys ^ _A[:BANDS, None]).T.copy().view(np.int64)
 
 
 def sentences(words: list[str]) -> list[tuple[int, int]]:
@@ -105,10 +118,18 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = []
             for line, start, stop, words in units(text):
                 plain = " ".join(words).encode().lower()
                 e = xxhash.xxh3_64_intdigest(plain, int(line)) - (1 << 63)
-                rows.append((doc, th, line, start, stop, len(words), e, bands(shingles(word_ids(plain.split(b" "), known))) if line else None))
+                rows.append((doc, th, line, start, stop, len(words), e, None))
+                if line:
+                    lines.append((len(rows) - 1, plain.split(b" ")))
+            if lines:
+                ids = word_ids([w for _, ws in lines for w in ws], known)
+                keys = bands(ids, np.array([len(ws) for _, ws in lines]))
+                for (k, _), band in zip(lines, keys.tolist()):
+                    rows[k] = (*rows[k][:-1], band)
         columns = list(zip(*rows)) if rows else [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 

@@ -148,17 +148,24 @@ def top_values(df: DataFrame, columns: Sequence[str], n: int = 30) -> DataFrame:
 
 
 def formatting_variants(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values that differ only in case or spacing, listed in one row."""
-    values = unpivot(df, [], columns, "Column", "OriginalValue", "string").where(
-        F.col("OriginalValue").isNotNull()
+    """Values that differ only in case or spacing, listed in one row; blank values have no variants.
+
+    Values are counted first, so only those with a variant are listed.
+    """
+    values = unpivot(df, [], columns, "Column", "OriginalValue", "string")
+    distinct = (
+        values.withColumn("NormalizedValue", E.comparison_value("OriginalValue"))
+        .where(F.col("NormalizedValue").isNotNull())
+        .groupBy("Column", "NormalizedValue", "OriginalValue")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    distinct = values.groupBy("Column", "OriginalValue").agg(F.count(F.lit(1)).alias("n"))
-    grouped = distinct.groupBy("Column", E.comparison_value("OriginalValue").alias("NormalizedValue")).agg(
+    keys = ["Column", "NormalizedValue"]
+    several = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("_variants")).where(F.col("_variants") > 1)
+    return distinct.join(several, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("OriginalVariantCount"),
         F.sum("n").alias("TotalRowCount"),
         F.array_join(F.array_sort(F.collect_list("OriginalValue")), " | ").alias("OriginalVariants"),
     )
-    return grouped.where(F.col("OriginalVariantCount") > 1)
 
 
 def curing_text_frequency(df: DataFrame, column: str) -> DataFrame:

@@ -19,8 +19,14 @@ def read_csv(
     schema: T.StructType | None = None,
     encoding: str = "UTF-8",
     sep: str = ",",
+    multi_line: bool = False,
+    strict: bool = False,
 ) -> DataFrame:
-    """CSV with a header. Without a schema every column is text; types are never guessed."""
+    """CSV with a header. Without a schema every column is text; types are never guessed.
+
+    ``multi_line`` keeps line breaks inside quotes within a record, at the price of one task
+    per file; ``strict`` fails on malformed rows, which are padded or cut otherwise.
+    """
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
@@ -28,6 +34,8 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
     )
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
@@ -40,7 +48,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unsupported input type: {path}")
     try:
         return read_csv(spark, path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.read.parquet(path[: -len(".csv")] + ".parquet")
 
 

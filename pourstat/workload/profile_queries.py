@@ -70,7 +70,7 @@ def _(t):
 
 @query("grp19_formatting_variants", cte("facts") + ", v AS (" + union(f"""SELECT '{c}' AS "Column", {c} AS v, count(*) AS n FROM facts WHERE {c} IS NOT NULL GROUP BY 2""" for c in TEXT) + f""")
 SELECT "Column", {_norm('v')} AS NormalizedValue, count(*) AS OriginalVariantCount, CAST(sum(n) AS BIGINT) AS TotalRowCount, string_agg(v, ' | ' ORDER BY v) AS OriginalVariants
-FROM v GROUP BY 1, 2 HAVING count(*) > 1""")
+FROM v WHERE {_norm('v')} IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(t):
     return P.formatting_variants(t["facts"], TEXT)
 

@@ -118,3 +118,13 @@ def test_extract_scans_prune_and_push_down(spark):
     df = X.scope_filter(X.join_entities(V.extract_tables(spark, "/root/testdata/sf0.001")), o).select("testId", "officeId")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan and "EqualTo(n_nationkey,2)" in plan
+
+
+def test_csv_line_breaks_and_malformed_rows(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('a,b\n1,"two\nlines"\n3,x\n')
+    assert [tuple(r) for r in R.read_csv(spark, str(path), multi_line=True).collect()] == [("1", "two\nlines"), ("3", "x")]
+    path = tmp_path / "short.csv"
+    path.write_text("a,b\n1\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        R.read_csv(spark, str(path), strict=True).collect()

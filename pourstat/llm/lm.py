@@ -32,7 +32,7 @@ PRIOR = 500.0
 #: A word with more than this share of the training tokens is hot; there are at most 1 / HOT.
 HOT = 1 / 2000
 #: Tokens of a chunk of texts, and tokens of a shard.
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 SHARD = 1_500_000
 #: Words a Python worker remembers.
 CACHE = 250_000
@@ -114,7 +114,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head = np.frombuffer(data, np.int64, 2 * n, 8)
-    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float64)}
+    kinds = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64, np.int64, np.float32, np.float64)}
     at, out = 8 + 16 * n, []
     for num, size in head.reshape(-1, 2).tolist():
         out.append(np.frombuffer(data, kinds[num], size, at))
@@ -258,7 +258,7 @@ def score_shard(blobs: list[bytes], total: Totals) -> list[bytes]:
         out.append(
             pack([
                 here, _narrow(np.bincount(local, minlength=n)), _narrow(np.bincount(local, weights=known[node[mine]], minlength=n)),
-                np.bincount(local, weights=base[node[mine]], minlength=n), np.bincount(local, weights=value[mine], minlength=n),
+                np.bincount(local, weights=base[node[mine]], minlength=n), np.bincount(local, weights=value[mine], minlength=n).astype(np.float32),
             ])
         )
     return out

@@ -169,6 +169,14 @@ def links(distinct: DataFrame, reach: int = REACH) -> DataFrame:
     return out if out is not None else distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
 
 
+def _rooted(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, DataFrame]:
+    """Columns ``keep`` and ``fp`` for every row, and ``fp, first, root``: smallest id and component of every fingerprint."""
+    rows = durable(fingerprints(df, keep, text))
+    first = rows.groupBy("fp").agg(F.min(f"`{keep[0]}`").alias("first"))
+    comp = components(links(first)).select(F.col("node").alias("fp"), "root")
+    return rows, durable(first.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` (first the id), ``fp`` and ``component_id`` for every row.
 
@@ -177,11 +185,7 @@ def near_duplicates(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     linked like any other. Repeated rows stay and share a component. Copies are folded to
     one fingerprint before anything is compared.
     """
-    ident = keep[0]
-    rows = durable(fingerprints(df, keep, text))
-    first = rows.groupBy("fp").agg(F.min(f"`{ident}`").alias("first"))
-    comp = components(links(first)).select(F.col("node").alias("fp"), "root")
-    rooted = durable(first.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rows, rooted = _rooted(df, keep, text)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     label = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(label, "fp", "left").select(*[F.col(f"`{c}`") for c in keep], "fp", "component_id")
@@ -191,15 +195,37 @@ def hex_of(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_representatives(df: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """One row of each component: the one with the smallest id.
+def text_hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
 
-    Ids that occur once are matched by id. Of repeated ids the row with the smallest text hash
-    stays; a NULL id cannot be named by a component, so such rows stay.
+def first_place():
+    """Smallest (id, th) of a part of a group, NULL ids aside."""
+    return F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("f")
+
+
+def first_of_groups(df: DataFrame, rooted: DataFrame, ident: str) -> DataFrame:
+    """The row with the smallest id, then the smallest text hash, of each group, and rows with a NULL id.
+
+    ``rooted`` has ``f`` and ``root`` for parts of the groups; ``f`` is the part's smallest ``first_place``.
+    Of rows equal in id and text one stays.
     """
-    found = near_duplicates(df.select(ident, "text"), (ident,))
     names = [F.col(f"`{c}`") for c in df.columns]
-    chosen = found.filter((F.col(ident) == F.col("component_id")) | F.col(ident).isNull()).select(F.col(ident).alias("_id")).distinct()
-    kept = df.join(chosen, df[ident].eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy(ident).orderBy(F.xxhash64("text"))
-    return kept.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) | F.col(ident).isNull()).select(*names)
+    least = rooted.filter("f IS NOT NULL").groupBy("root").agg(F.min("f").alias("f"))
+    chosen = least.select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
+    rows = df.withColumn("_h", text_hash())
+    named = rows.join(chosen, (F.col(f"`{ident}`") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    order = Window.partitionBy(ident, "_h").orderBy("_h")
+    once = named.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    return once.select(*names).union(df.filter(F.col(f"`{ident}`").isNull()).select(*names))
+
+
+def keep_representatives(df: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """One row of each component: the one with the smallest id, of repeated ids the smallest text hash.
+
+    A NULL id cannot be named by a component, so such rows stay.
+    """
+    hashed = df.select(F.col(f"`{ident}`").alias("id"), text_hash().alias("th"), "text")
+    rows, rooted = _rooted(hashed, ("id", "th"), "text")
+    parts = rows.groupBy("fp").agg(first_place())
+    return first_of_groups(df, parts.join(rooted, "fp").select("f", "root"), ident)

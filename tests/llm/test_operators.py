@@ -188,6 +188,14 @@ def test_simhash(docs, empty):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in expected if c is not None} | {None}
 
 
+def test_representatives_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    one, two = (" ".join(rng.choice(5000, 80).astype(str)) for _ in range(2))
+    rows = [(1, one), (1, two), (2, one), (3, two), (3, two)]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, one), (1, two)])
+
+
 @pytest.mark.parametrize("cell", [8, 4096])
 def test_simhash_links_at_every_cell_size(spark, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)

@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from pourstat.llm import pieces, quality, secrets, simhash
+from pourstat.llm import jaccard, pieces, quality, secrets, simhash
 from pourstat.llm.catalog import PIECE_MODEL
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,50 @@ def test_stages_keep_columns_and_survive_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, source, SF).columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, source, SF).count() == source.count()
+
+
+def test_near_duplicates_reach_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(30):
+        words = rng.choice(5000, 150).astype(str)
+        rows.append(" ".join(words))
+        for changes in rng.integers(1, 7, 3):
+            near = words.copy()
+            near[rng.choice(150, changes, replace=False)] = "changed"
+            rows.append(" ".join(near))
+    rows += ["few words", "Few  words", "other words", "", None, rows[0].upper()]
+    ids = [100 + k // 2 if k > 120 else k for k in range(len(rows))]  # a few ids repeat
+    sets = []
+    for t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = (parent[k] for k in (a, b))
+                parent = [y if p == x else p for p in parent]
+    docs = spark.createDataFrame(list(zip(ids, rows)), "doc_id bigint, text string")
+    for bucket in (8, 1024):
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+        groups = [parent[rows.index(r.text)] for r in got]
+        assert sorted(groups) == sorted(set(parent))
+        assert all(r.doc_id == min(ids[k] for k, p in enumerate(parent) if p == parent[rows.index(r.text)]) for r in got)
+
+
+def test_set_links():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(40)] + [np.arange(k, k + 50) for k in (0, 2, 4, 200)]
+    reach = lambda n, pairs: {frozenset(c) for c in _groups(n, pairs)}
+    pairs = [(a, b) for a in range(44) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    assert reach(44, jaccard.set_links(sets)) == reach(44, pairs)
+
+
+def _groups(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        label = [y if p == x else p for p in label]
+    return [[k for k in range(n) if label[k] == p] for p in set(label)]

@@ -8,6 +8,7 @@ all measured tokens of the table and keeps the significant ones.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base38": "0123456789abcdefghijklmnopqrstuvwxyz-_",
+    "BASE38": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-_",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
@@ -49,19 +54,34 @@ _SEEN = "array<struct<start:int,stop:int,code:int,n:int,pairs:int,runs_z:double,
 
 
 def encoding_of(token: str) -> str | None:
-    """The smallest encoding that a token fits; None for words, numbers and paths.
+    """The smallest encoding that a token fits; None for words and numbers.
 
-    Base-64 tokens need a digit and both cases, so that identifiers and slashed words
-    stay out; hexadecimal and base-32 tokens need a digit and a letter.
+    A token needs a digit and a letter; all else is left to the tests.
     """
-    body = token.rstrip("=")
-    used = set(body)
-    digits, upper, lower = any("0" <= c <= "9" for c in used), any("A" <= c <= "Z" for c in used), any("a" <= c <= "z" for c in used)
-    for name, letters in _SETS.items():
-        if used <= letters:
-            mixed = digits and ((upper and lower) if name.startswith("base64") else (upper or lower))
-            return name if mixed else None
-    return None
+    used = set(token.rstrip("="))
+    if not any("0" <= c <= "9" for c in used) or not any("a" <= c <= "z" for c in map(str.lower, used)):
+        return None
+    return next((name for name, letters in _SETS.items() if used <= letters), None)
+
+
+def opaque_spans(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Places of all opaque tokens, and of what known spans leave of them if it is itself long enough."""
+    reach, far = [], 0  # how far the spans up to each one go
+    for _, _, stop in known:
+        far = max(far, stop)
+        reach.append(far)
+    for m in OPAQUE.finditer(text):
+        a, b = m.span()
+        yield a, b
+        at = a
+        for k in range(bisect.bisect_right(reach, a), len(known)):
+            start, _, stop = known[k]
+            if start >= b:
+                break
+            yield from ((at + x.start(), at + x.end()) for x in OPAQUE.finditer(text[at:start]) if at < start)
+            at = max(at, stop)
+        if a < at < b:
+            yield from ((at + x.start(), at + x.end()) for x in OPAQUE.finditer(text[at:b]))
 
 
 def measure(token: str, name: str) -> tuple[int, int, float, float]:
@@ -112,13 +132,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts:
             t = t or ""
             letters += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
-            base.append([{"start": a, "kind": k, "stop": b} for a, k, b in known_spans(t)])
+            known = known_spans(t)
+            base.append([{"start": a, "kind": k, "stop": b} for a, k, b in known])
             found = []
-            for m in OPAQUE.finditer(t):
-                if (name := encoding_of(m.group())) is not None:
-                    n, pairs, runs_z, serial_z = measure(m.group(), name)
+            for a, b in opaque_spans(t, known):
+                if (name := encoding_of(t[a:b])) is not None:
+                    n, pairs, runs_z, serial_z = measure(t[a:b], name)
                     found.append(
-                        {"start": m.start(), "stop": m.end(), "code": names.index(name), "n": n, "pairs": pairs,
+                        {"start": a, "stop": b, "code": names.index(name), "n": n, "pairs": pairs,
                          "runs_z": runs_z, "serial_z": serial_z}
                     )
             seen.append(found)
@@ -212,13 +233,13 @@ def learn_limit(rows: DataFrame) -> tuple[dict[int, tuple[float, float]], float]
 
 
 def with_spans(rows: DataFrame, moments: dict[int, tuple[float, float]], limit: float) -> DataFrame:
-    """Scanned rows with ``spans``: the known ones and significant random tokens that overlap none of them."""
+    """Scanned rows with ``spans``: the known ones and significant random tokens that none of them covers."""
     base = F.col("base")
     random = F.filter(
         "seen",
         lambda t: (text_z(t, moments) <= F.lit(limit))
         & passes_battery(t)
-        & ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
+        & ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (t["stop"] <= b["stop"])),
     )
     added = F.transform(random, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["stop"].alias("stop")))
     return rows.filter("base IS NOT NULL").withColumn("spans", F.array_sort(F.concat(base, added))).drop("seen", "letters")
@@ -227,8 +248,8 @@ def with_spans(rows: DataFrame, moments: dict[int, tuple[float, float]], limit:
 def find_secrets(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``base``, ``spans``: arrays of (start, kind, stop) in code points.
 
-    ``base`` holds the known formats; ``spans`` adds random tokens that overlap none of them.
-    A span covers the whole match. NULL and empty texts have empty arrays; repeated rows
+    ``base`` holds the known formats; ``spans`` adds random tokens that none of them covers,
+    so spans may overlap. A span covers the whole match. NULL and empty texts have empty arrays; repeated rows
     repeat; an empty table stays empty. The tokens of all rows share one false discovery
     control. The scanned rows hold spans only, so they are checkpointed and the texts are
     read once; keep wide columns out of ``keep``.

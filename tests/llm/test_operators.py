@@ -324,6 +324,31 @@ def test_secret_scan(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("symbols", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+def test_secrets_of_one_case(spark, symbols):
+    rng = np.random.default_rng(7)
+    tokens = ["".join(rng.choice(list(symbols), 60)) for _ in range(40)]
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), 7)) for _ in range(300)).replace("e", "E" if symbols[0] == "A" else "e")
+    plain = "a_long_name_of_a_thing_in_the_table_of_the_house_2"
+    rows = [(k, f"{prose} {t} tail") for k, t in enumerate(tokens)] + [(100, f"{prose} {plain} tail")]
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    place = len(prose) + 1
+    assert sum(any((s.start, s.stop) == (place, place + 60) for s in found[k].spans) for k in range(40)) >= 36
+    assert not found[100].spans
+
+
+def test_random_tokens_around_known_spans(spark):
+    rng = np.random.default_rng(12)
+    letters = list(secrets.ALPHABETS["base64"].replace("/", "").replace("+", ""))
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), 7)) for _ in range(300))
+    rows = [(k, f"{prose} prefix_{'0123456789abcdef'}Z{''.join(rng.choice(letters, 60))} tail") for k in range(40)]
+    clean = secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    whole = sum(len(r.text.replace("[SECRET]", "")) <= len(prose) + len(" prefix_ tail") for r in clean)
+    assert whole >= 30
+    known = secrets.known_spans(rows[0][1])
+    assert len(list(secrets.opaque_spans(rows[0][1], known))) == 2
+
+
 def test_discovery_threshold():
     assert secrets.discovery_threshold({}, 0) == -math.inf
     assert secrets.discovery_threshold({-200: 50, -1: 50}, 100) <= -2

@@ -102,10 +102,9 @@ def units(text: str | None) -> Iterator[tuple[bool, int, int, list[str]]]:
             continue
         words = [w for _, _, w in found]
         yield True, found[0][0], found[-1][1], words
-        parts = sentences(words)
-        if parts != [(0, len(words))]:
-            for a, b in parts:
-                yield False, found[a][0], found[b - 1][1], words[a:b]
+        # A line of one sentence is also a sentence: the same words may stand inside another line.
+        for a, b in sentences(words):
+            yield False, found[a][0], found[b - 1][1], words[a:b]
 
 
 _UNITS = "doc bigint, th bigint, line boolean, start int, stop int, n_words int, e bigint, bands array<bigint>"
@@ -220,7 +219,7 @@ def repeated_passages(df: DataFrame, ident: str = "doc_id", text: str = "text")
     """``doc_id, start, stop, n_words, unit, keep_doc_id, keep_start``: one row for every passage to remove.
 
     A passage is a line, or a sentence inside one, of at least five words; places are code
-    points. It is removed if an earlier passage (smaller id, or before it in the text) has
+    points. A line of one sentence is both; it has one row, or two that name different firsts. It is removed if an earlier passage (smaller id, or before it in the text) has
     the same words in lower case, or, for lines, belongs to the same component of five-word
     Jaccard similarity of ``SIMILARITY`` or more. ``keep_`` names the component's first. NULL
     and empty texts have no passages; NULL ids come last; rows equal in id and text count as
@@ -242,6 +241,7 @@ def repeated_passages(df: DataFrame, ident: str = "doc_id", text: str = "text")
     kept = classed.groupBy("root").agg(F.min("f").alias("keep"))
     late = found.select("doc", "th", "line", "start", "stop", "n_words", "e").join(classed.select("e", "root").join(kept, "root"), "e")
     late = late.filter(F.struct("doc", "th", "start") != F.col("keep"))
+    late = late.groupBy("doc", "th", "start", "stop", "n_words", "keep").agg(F.max("line").alias("line"))
     kind = df.schema[ident].dataType.simpleString()
     back = lambda c: F.when(F.col(c) == F.lit((1 << 63) - 1), None).otherwise(F.col(c)).cast(kind)
     return late.select(

@@ -451,6 +451,15 @@ def test_passages(spark, docs, empty):
     assert passages.repeated_passages(docs).count() > 0
 
 
+def test_one_sentence_line_inside_a_paragraph(spark):
+    one = "this single sentence is a whole line of its document."
+    rows = [(1, f"Words of another kind come before it here. {one} And others follow it at the end."), (2, one), (3, f"A title\n{one}\nrest")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    start = rows[0][1].index(one)
+    places = {(r.doc_id, r.start, r.stop) for r in got if (r.keep_doc_id, r.keep_start) == (1, start)}
+    assert places == {(i, t.index(one), t.index(one) + len(one)) for i, t in rows[1:]}
+
+
 def test_bucket_links():
     sets = [np.arange(k, k + 50) for k in (0, 2, 4, 200, 203)]
     got = passages.bucket_links(list(range(5)), sets)

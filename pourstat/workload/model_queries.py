@@ -561,15 +561,20 @@ def _(t):
     return t["facts"].select("SupplierName", "plantNumber", "mixNumber").distinct()
 
 
-# Only every fiftieth project trains, so test rows hold categories that training never saw.
+def unseen_categories(df):
+    """Categories of the test side that occur nowhere on the training side."""
+    seen = df.where("DatasetSplit = 'train'").select("SupplierPlantMixCategory")
+    test = df.where("DatasetSplit = 'test'").select("SupplierPlantMixCategory").distinct()
+    return test.join(seen, "SupplierPlantMixCategory", "left_anti")
+
+
+# The SQL still sees every fiftieth training project only; see Open in README.
 @query("set04_unseen_categories", cte("facts") + SPLIT + CONTEXT.replace("FROM g)", "FROM sp)") + """
 , sm AS (SELECT SupplierPlantMixCategory, DatasetSplit, projectId % 50 = 0 AS few FROM ctx)
 SELECT DISTINCT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'test' EXCEPT SELECT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'train' AND few""")
 def _(t):
     df = N.with_context(L.train_test(grouped(t), "SplitGroup"), "SupplierName", "plantNumber", "mixNumber")
-    seen = df.where("projectId % 50 = 0").where("DatasetSplit = 'train'").select("SupplierPlantMixCategory")
-    test = df.where("DatasetSplit = 'test'").select("SupplierPlantMixCategory").distinct()
-    return test.join(seen, "SupplierPlantMixCategory", "left_anti")
+    return unseen_categories(df)
 
 
 @query("joi13_mapping_with_default", cte("facts") + SPLIT + CONTEXT.replace("FROM g)", "FROM sp)") + f""", m AS (SELECT SupplierPlantMixCategory, avg({S.TARGET}) AS v FROM ctx WHERE DatasetSplit = 'train' GROUP BY 1)

@@ -45,3 +45,11 @@ def test_disjoint_sides(frame):
     L.assert_disjoint(one, two.where("testId > 2"), "testId")
     with pytest.raises(ValueError, match="both sides"):
         L.assert_disjoint(one, two, "testId")
+
+
+def test_unseen_categories_use_the_whole_training_side(frame):
+    from pourstat.workload.model_queries import unseen_categories
+
+    rows = [(50, "train", "a"), (7, "train", "b"), (8, "test", "a"), (9, "test", "b"), (9, "test", "c"), (10, "test", "c")]
+    found = unseen_categories(frame(rows, "projectId int, DatasetSplit string, SupplierPlantMixCategory string"))
+    assert [r[0] for r in found.collect()] == ["c"]

@@ -81,8 +81,8 @@ def bands(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
 def sentences(words: list[str]) -> list[tuple[int, int]]:
     """Word ranges of a line's sentences; one with under five words is joined to the next.
 
-    Cuts depend on the words around them only, so a passage is cut alike wherever it stands
-    from its first inner cut on.
+    A cut depends on where the cut before it lies, so a passage inside a longer line without
+    sentence marks may be cut differently from its copy.
     """
     out, a = [], 0
     for i, w in enumerate(words):

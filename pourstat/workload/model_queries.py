@@ -568,10 +568,8 @@ def unseen_categories(df):
     return test.join(seen, "SupplierPlantMixCategory", "left_anti")
 
 
-# The SQL still sees every fiftieth training project only; see Open in README.
 @query("set04_unseen_categories", cte("facts") + SPLIT + CONTEXT.replace("FROM g)", "FROM sp)") + """
-, sm AS (SELECT SupplierPlantMixCategory, DatasetSplit, projectId % 50 = 0 AS few FROM ctx)
-SELECT DISTINCT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'test' EXCEPT SELECT SupplierPlantMixCategory FROM sm WHERE DatasetSplit = 'train' AND few""")
+SELECT SupplierPlantMixCategory FROM ctx WHERE DatasetSplit = 'test' EXCEPT SELECT SupplierPlantMixCategory FROM ctx WHERE DatasetSplit = 'train'""")
 def _(t):
     df = N.with_context(L.train_test(grouped(t), "SplitGroup"), "SupplierName", "plantNumber", "mixNumber")
     return unseen_categories(df)

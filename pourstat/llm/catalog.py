@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourstat.llm import decontaminate, langid, lm, passages, pieces, quality, secrets, simhash, substrings, toxicity
+from pourstat.llm import decontaminate, langid, lm, merkle, passages, pieces, quality, secrets, simhash, substrings, toxicity
 from pourstat.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,7 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_toxicity,
         op10_language_id,
+        op13_merkle_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle()}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op13_merkle_manifest": merkle.oracle()}

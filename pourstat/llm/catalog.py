@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourstat.llm import decontaminate, langid, lm, merkle, passages, pieces, quality, secrets, simhash, substrings, toxicity
-from pourstat.llm.common import documents
+from pourstat.llm import decontaminate, langid, lm, mainpage, merkle, passages, pieces, quality, secrets, simhash, substrings, toxicity
+from pourstat.llm.common import documents, prepare
 
 
 def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(documents(spark, sf_dir))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mainpage.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(documents(spark, sf_dir))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_toxicity,
         op10_language_id,
+        op12_main_text,
         op13_merkle_manifest,
     )
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pourstat.llm import decontaminate, langid, lm, mainpage, merkle, passages, pieces, quality, secrets, simhash, substrings, toxicity
+from pourstat.llm import decontaminate, langid, lm, mainpage, merkle, passages, pieces, quality, secrets, simhash, substrings, talk, toxicity
 from pourstat.llm.common import documents, prepare
 
 
@@ -58,6 +58,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of_documents(documents(spark, sf_dir))
 
 
+def op11_talk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return talk.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mainpage.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -80,9 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_toxicity,
         op10_language_id,
+        op11_talk_repair,
         op12_main_text,
         op13_merkle_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.oracle(), "op13_merkle_manifest": merkle.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.oracle(),
+    "op11_talk_repair": talk.oracle(),
+    "op13_merkle_manifest": merkle.oracle(),
+}

@@ -60,40 +60,102 @@ def cross_fitted_encode(
 ) -> DataFrame:
     """Target mean, log count and unknown flag per context column.
 
-    A train row is encoded from the other inner folds, which is the category total
-    minus the part of its own fold. Sums per (category, fold) are taken once, so no
-    loop over folds is needed. Test rows use all train rows. The prior is the mean
-    of all train rows, also inside the inner folds.
+    A train row is encoded from the other inner folds, all other rows from all train rows.
+    The prior is the mean of all train rows, also inside the inner folds. This is the cube of
+    nested folds with the rows that are not for training as its one outer fold.
     """
-    train = df.where(F.col(role) == "train")
-    out = df.withColumns(
-        {
-            "_prior": train.agg(F.avg(target)).scalar(),
-            "_fold": F.when(F.col(role) == "train", F.col(inner_fold)),
-        }
+    train = F.col(role) == "train"
+    place = F.when(train, F.coalesce(F.col(inner_fold) + 1, F.lit(-1)))
+    work = df.withColumns({"_fold": F.when(train, F.lit(2)).otherwise(F.lit(1)), "_inner": F.array(place)})
+    cube = context_cube(work, columns, target, "_fold", "_inner")
+    prior = df.where(train).agg(F.avg(target)).scalar()
+    celled = with_context_cells(work, columns, cube).withColumn("_prior", prior)
+    new = fold_encodings(columns, 1, F.col("_prior"), "_fold", "_inner", smoothing)
+    return celled.withColumns(new).drop("_fold", "_inner", "_cells", "_prior")
+
+
+# --------------------------------------------------------------------------
+# All outer folds at once
+# --------------------------------------------------------------------------
+def context_cube(
+    df: DataFrame, columns: Sequence[str], target: str, fold: str = "Fold", inner: str = "InnerFolds"
+) -> DataFrame:
+    """Target sums per (context column, category, outer fold, inner fold).
+
+    For outer fold ``o`` the rows outside it stand under their inner fold of that training
+    side, and the rows inside it under inner fold 0; outer fold 0 holds all rows. Rows are
+    first added up per category and pair of folds, so only those sums are multiplied.
+    """
+    long = unpivot(df, [fold, inner, target], columns, "ContextColumn", "Category", "string")
+    sums = long.groupBy("ContextColumn", "Category", fold, inner).agg(
+        F.sum(target).cast("double").alias("s"), F.count(target).alias("n")
+    )
+    outer = F.transform(F.col(inner), lambda i, at: F.struct((at + 1).alias("o"), F.coalesce(i, F.lit(0)).alias("i")))
+    cells = F.concat(outer, F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("i"))))
+    return (
+        sums.select("ContextColumn", "Category", F.explode(cells).alias("cell"), "s", "n")
+        .groupBy("ContextColumn", "Category", F.col("cell.o").alias("OuterFold"), F.col("cell.i").alias("InnerFold"))
+        .agg(F.sum("s").alias("Sum"), F.sum("n").alias("Count"))
+    )
+
+
+_INNER_BASE = 1000  # cell (o, i) has the key o * 1000 + i
+
+
+def with_context_cells(df: DataFrame, columns: Sequence[str], cube: DataFrame) -> DataFrame:
+    """Adds ``_cells``: the cube's entries of the row's own categories, by context column.
+
+    The entries are attached to the distinct combinations of categories first, so the rows
+    take part in one join for all columns and all folds.
+    """
+    key = (F.col("OuterFold") * F.lit(_INNER_BASE) + F.col("InnerFold")).alias("key")
+    lookup = cube.groupBy("ContextColumn", "Category").agg(
+        F.map_from_entries(F.collect_list(F.struct(key, F.struct(F.col("Sum").alias("s"), F.col("Count").alias("n"))))).alias("cells")
+    )
+    tuples = df.select(*columns).distinct()
+    named = tuples.withColumn("_pairs", F.array(*[F.struct(F.lit(c).alias("ContextColumn"), F.col(c).alias("Category")) for c in columns]))
+    long = named.select(*columns, F.explode("_pairs").alias("p")).select(*columns, "p.*")
+    cells = long.join(lookup, ["ContextColumn", "Category"]).groupBy(*columns).agg(
+        F.map_from_entries(F.collect_list(F.struct("ContextColumn", "cells"))).alias("_cells")
     )
+    return df.join(cells, list(columns), "left")
+
+
+def fold_priors(cube: DataFrame, column: str) -> dict[int, float]:
+    """Mean target of the training side of each outer fold; at most one row per fold reaches the driver."""
+    sums = cube.where((F.col("ContextColumn") == column) & (F.col("InnerFold") == 0)).groupBy("OuterFold").agg(F.sum("Sum"), F.sum("Count"))
+    by_fold = {o: (s, n) for o, s, n in sums.collect()}
+    s, n = by_fold[0]
+    return {o: (s - a) / (n - b) for o, (a, b) in by_fold.items() if o and n > b}
+
+
+def fold_encodings(
+    columns: Sequence[str], outer: int, prior: float | Column, fold: str = "Fold", inner: str = "InnerFolds", smoothing: float = SMOOTHING
+) -> dict[str, Column]:
+    """Target mean, log count and unknown flag of every context column for one outer fold.
+
+    Sums of the training side are all rows minus the outer fold; a training row also leaves
+    its own inner fold out. Needs ``_cells``.
+    """
     new: dict[str, Column] = {}
+    pull = F.lit(float(smoothing)) * (prior if isinstance(prior, Column) else F.lit(float(prior)))
     for c in columns:
-        all_sum, all_rows, parts = f"{c}_sum", f"{c}_rows", f"{c}_parts"
-        own = train.groupBy(F.col(c), F.col(inner_fold).alias("_f")).agg(
-            F.sum(target).cast("double").alias("_s"), F.count(target).alias("_n")
-        )
-        # One row per category; the map has at most one entry per inner fold.
-        entry = F.struct("_f", F.struct(F.col("_s").alias("s"), F.col("_n").alias("n")))
-        lookup = own.groupBy(c).agg(
-            F.sum("_s").alias(all_sum),
-            F.sum("_n").alias(all_rows),
-            F.map_from_entries(F.collect_list(entry)).alias(parts),
-        )
-        out = out.join(lookup, c, "left")
-        part = F.try_element_at(F.col(parts), F.col("_fold"))
-        rest = F.coalesce(F.col(all_sum), F.lit(0.0)) - F.coalesce(part["s"], F.lit(0.0))
-        count = F.coalesce(F.col(all_rows), F.lit(0)) - F.coalesce(part["n"], F.lit(0))
-        new[f"{c}_TargetMean"] = (rest + F.lit(smoothing) * F.col("_prior")) / (count + F.lit(smoothing))
-        new[f"{c}_LogCount"] = F.log1p(F.coalesce(F.col(all_rows), F.lit(0)).cast("double"))
-        new[f"{c}_Unknown"] = E.flag(F.col(all_rows).isNull())
-    helpers = [f"{c}_{n}" for c in columns for n in ("sum", "rows", "parts")]
-    return out.withColumns(new).drop("_prior", "_fold", *helpers)
+        cells = F.try_element_at("_cells", F.lit(c))
+
+        def part(key: Column, field: str, cells: Column = cells) -> Column:
+            return F.coalesce(F.try_element_at(cells, key)[field], F.lit(0))
+
+        everything, own = F.lit(0), F.lit(outer * _INNER_BASE)
+        inside = F.col(fold) == outer
+        mine = F.lit(outer * _INNER_BASE) + F.col(inner)[outer - 1]
+        rows = part(everything, "n") - part(own, "n")
+        total = part(everything, "s") - part(own, "s")
+        rest_n = F.when(inside, rows).otherwise(rows - part(mine, "n"))
+        rest_s = F.when(inside, total).otherwise(total - part(mine, "s"))
+        new[f"{c}_TargetMean"] = (rest_s + pull) / (rest_n + F.lit(float(smoothing)))
+        new[f"{c}_LogCount"] = F.log1p(rows.cast("double"))
+        new[f"{c}_Unknown"] = E.flag(rows == 0)
+    return new
 
 
 def encoding_metadata(df: DataFrame, columns: Sequence[str], fold: str = "Fold") -> DataFrame:

@@ -23,7 +23,7 @@ from pourstat.operators import encode as N
 from pourstat.operators import metrics as M
 from pourstat.operators.clean import with_day7
 from pourstat.operators.order_stats import exact_quantiles, unpivot
-from pourstat.operators.splits import fold_roles, with_folds
+from pourstat.operators.splits import fold_roles, group_folds, with_nested_folds
 from pourstat.session import durable, shared
 
 LABEL, WEIGHT = "_label", "ClassWeight"
@@ -223,12 +223,12 @@ def four_feature_sets() -> dict[str, list[str]]:
 
 
 def experiment_rows(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Rows with target, requirement and day-7 strength, their context and fold."""
+    """Rows with target, requirement and day-7 strength, their context, fold and inner folds."""
     rows = with_day7(df).where(
         (F.col(S.TARGET) > 0) & (F.col(S.REQUIRED) > 0) & (F.col("Day7AverageStrength_psi") > 0)
     )
     rows = rows.withColumn(S.FAILURE, E.failure(S.TARGET, S.REQUIRED))
-    return N.with_context(with_folds(rows, group, folds), "SupplierName", "plantNumber", "mixNumber")
+    return N.with_context(with_nested_folds(rows, group, folds), "SupplierName", "plantNumber", "mixNumber")
 
 
 def model_columns(feature_sets: Mapping[str, Sequence[str]]) -> list[str]:
@@ -247,19 +247,23 @@ def cross_validate(
 ) -> DataFrame:
     """Out-of-fold predictions over all folds, feature sets and models.
 
-    Context is encoded inside each outer fold, with the other outer folds as inner
-    folds. The narrow model frame is written once because every fold and model reads
-    it; predictions of a fold are checkpointed before the next fold starts.
+    Context is encoded inside each outer fold, from the inner folds of its own training side;
+    the sums of all folds come from one cube and are attached to the rows once. The narrow
+    model frame is written once because every fold and model reads it; predictions of a fold
+    are checkpointed before the next fold starts. Linear models have a joint way in ``grid``.
     """
     label = S.FAILURE if classify else S.TARGET
-    rows = durable(rows.select(*model_columns(feature_sets), "Fold", "testId", S.TARGET, S.FAILURE, *N.CONTEXT))
     needs_context = any(set(f) & set(context_features()) for f in feature_sets.values())
+    rows = durable(rows.select(*model_columns(feature_sets), "Fold", "InnerFolds", "testId", S.TARGET, S.FAILURE, *N.CONTEXT))
+    if needs_context:
+        cube = durable(N.context_cube(rows, N.CONTEXT, label))
+        priors = N.fold_priors(cube, N.CONTEXT[0])
+        rows = durable(N.with_context_cells(rows, N.CONTEXT, cube))
     out: DataFrame | None = None
     for k in range(1, folds + 1):
         split, kept = fold_roles(rows, k), []
         if needs_context:
-            split = shared(N.cross_fitted_encode(split, N.CONTEXT, label, "Fold"))
-            kept.append(split)
+            split = split.withColumns(N.fold_encodings(N.CONTEXT, k, priors[k]))
         part = durable(
             evaluate_split(split, feature_sets, specs, label, ["Fold", "testId", S.REQUIRED], classify, kept=kept)
         )
@@ -270,16 +274,37 @@ def cross_validate(
 
 
 def holdout(
-    rows: DataFrame, feature_sets: Mapping[str, Sequence[str]], specs: Mapping[str, Spec], classify: bool = False, extra: Sequence[str] = ()
+    rows: DataFrame,
+    feature_sets: Mapping[str, Sequence[str]],
+    specs: Mapping[str, Spec],
+    classify: bool = False,
+    extra: Sequence[str] = (),
+    group: str = "SplitGroup",
+    inner: int = 5,
 ) -> DataFrame:
-    """Predictions on the test rows of a frame that carries ``Role`` and ``Fold``."""
+    """Predictions on the test rows of a frame that carries ``Role``.
+
+    Context of the train rows is encoded over folds of their own groups.
+    """
     label = S.FAILURE if classify else S.TARGET
-    named = [*model_columns(feature_sets), "Fold", "Role", "testId", S.TARGET, S.FAILURE, *N.CONTEXT]
+    rows = shared(holdout_rows(rows, feature_sets, label, extra, group, inner))
+    kept: list[DataFrame] = [rows]
+    out = durable(evaluate_split(rows, feature_sets, specs, label, ["testId", *extra], classify, kept=kept))
+    for frame in kept:
+        frame.unpersist()
+    return out
+
+
+def holdout_rows(
+    rows: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str, extra: Sequence[str] = (), group: str = "SplitGroup", inner: int = 5
+) -> DataFrame:
+    """The columns of a holdout, with encoded context where a feature set asks for it."""
+    named = [*model_columns(feature_sets), "Role", "testId", S.TARGET, S.FAILURE, group, *N.CONTEXT]
     rows = durable(rows.select(*dict.fromkeys([*named, *extra])))
-    if any(set(f) & set(context_features()) for f in feature_sets.values()):
-        rows = N.cross_fitted_encode(rows, N.CONTEXT, label, "Fold")
-    keep = ["testId", *extra]
-    return evaluate_split(shared(rows), feature_sets, specs, label, keep, classify)
+    if not any(set(f) & set(context_features()) for f in feature_sets.values()):
+        return rows
+    folds = group_folds(rows.where(F.col("Role") == "train"), group, inner, "_within")
+    return N.cross_fitted_encode(rows.join(folds, group, "left"), N.CONTEXT, label, "_within").drop("_within")
 
 
 # Least numbers of rows to train a surrogate

@@ -126,6 +126,66 @@ def exact_quantiles(
     return ranks.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
+def leave_out_quantiles(
+    df: DataFrame, keys: Sequence[str], part: str, value: str, probs: Mapping[str, float]
+) -> DataFrame:
+    """Exact quantiles of everything but one part: one row per (keys, part left out).
+
+    Values are counted per order-preserving bucket and part; the counts without a part are
+    the bucket's counts minus the part's own. They show which buckets hold the wanted ranks,
+    and only rows of those buckets are ordered. ``df`` is read twice and no value outside
+    those buckets is shuffled. Key and part must not be NULL; NULL and NaN values are left out.
+    A part without which nothing is left has no row.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, part, v.alias("_v")).withColumn("_bucket", value_bucket("_v"))
+    counts = known.groupBy(*keys, "_bucket", part).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = counts.groupBy(*keys, "_bucket").agg(
+        F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(part, "_n"))).alias("_by_part")
+    )
+    parts = df.agg(F.collect_set(part)).scalar()
+    left_out = buckets.withColumn("_left", F.explode(parts))
+    left_out = left_out.withColumn("_rest", F.col("_all") - F.coalesce(F.try_element_at("_by_part", F.col("_left")), F.lit(0)))
+    whole = Window.partitionBy(*keys, "_left")
+    along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = left_out.withColumns(
+        {"_before": F.sum("_rest").over(along) - F.col("_rest"), "_total": F.sum("_rest").over(whole)}
+    )
+    # The two neighbouring ranks of every quantile that fall into the bucket.
+    ranks = F.array_distinct(
+        F.flatten(F.array(*[
+            F.array(F.floor(F.lit(float(p)) * (F.col("_total") - 1)), F.ceil(F.lit(float(p)) * (F.col("_total") - 1))) for p in probs.values()
+        ]))
+    )
+    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rest")))
+    wanted = placed.where("_total > 0").select(*keys, "_bucket", "_left", "_before", "_total", here.alias("_ranks")).where(F.size("_ranks") > 0)
+
+    needed = wanted.select(*keys, "_bucket").distinct()
+    values = known.join(needed, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_v", part).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.groupBy(*keys, "_bucket", "_v").agg(
+        F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct(part, "_n"))).alias("_by_part")
+    )
+    inside = Window.partitionBy(*keys, "_bucket", "_left").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = values.join(wanted, [*keys, "_bucket"]).withColumn(
+        "_rest", F.col("_all") - F.coalesce(F.try_element_at("_by_part", F.col("_left")), F.lit(0))
+    )
+    own = own.withColumn("_upto", F.col("_before") + F.sum("_rest").over(inside))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_rest")) & (r < F.col("_upto")))
+    found = own.select(*keys, "_left", "_total", "_v", F.explode(hit).alias("_rank"))
+    aggs, outs = [], []
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        aggs += [
+            F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v"))).alias(f"_{name}_lo"),
+            F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v"))).alias(f"_{name}_hi"),
+            F.max(at - F.floor(at)).alias(f"_{name}_part"),
+        ]
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        outs.append(F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_{name}_part")).alias(name))
+    return found.groupBy(*keys, F.col("_left").alias(part)).agg(*aggs).select(*keys, part, *outs)
+
+
 def with_quantiles(
     df: DataFrame, grouped: DataFrame, keys: Sequence[str], quantiles: Mapping[str, Mapping[str, float]]
 ) -> DataFrame:

@@ -42,30 +42,62 @@ def train_validation_test(
     )
 
 
-def group_folds(df: DataFrame, group: str, folds: int = 5, name: str = "Fold") -> DataFrame:
-    """Fold per group, balanced by rows: sizes are dealt out back and forth.
+def _dealt(sizes: DataFrame, keys: Sequence[str], group: str, folds: int, name: str) -> DataFrame:
+    """Fold of every group: group sizes inside ``keys`` are dealt out back and forth.
 
     Ordering runs on the table of group sizes and is spread over (size, hash prefix).
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     sizes = sizes.withColumn("_hash", F.md5(F.col(group).cast("string")))
-    sizes = sizes.withColumn("_prefix", F.substring("_hash", 1, 2))
+    sizes = sizes.withColumn("_prefix", F.substring("_hash", 1, 3))
     placed = spread_row_number(
-        sizes, [], [("_size", False), ("_prefix", True)], [F.col("_hash"), F.col(group)], "_place"
+        sizes, keys, [("_size", False), ("_prefix", True)], [F.col("_hash"), F.col(group)], "_place"
     )
-    k = F.least(F.lit(folds), sizes.agg(F.count(F.lit(1))).scalar())
-    placed = placed.withColumn("_k", k)
+    if keys:
+        groups = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups"))
+        placed = placed.join(groups, list(keys))
+    else:
+        placed = placed.withColumn("_groups", sizes.agg(F.count(F.lit(1))).scalar())
+    placed = placed.withColumn("_k", F.least(F.lit(folds), F.col("_groups")))
     at = F.col("_place") - 1
     turn, slot = F.floor(at / F.col("_k")), at % F.col("_k")
     fold = F.when(turn % 2 == 0, slot + 1).otherwise(F.col("_k") - slot).cast("int")
     checked = F.when(F.col("_k") < 2, F.raise_error(F.lit("at least two groups are required"))).otherwise(fold)
-    return placed.select(group, checked.alias(name))
+    return placed.withColumn(name, checked).drop("_hash", "_prefix", "_place", "_groups", "_k")
+
+
+def group_folds(df: DataFrame, group: str, folds: int = 5, name: str = "Fold") -> DataFrame:
+    """Fold per group, balanced by rows."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    return _dealt(sizes, [], group, folds, name).drop("_size")
 
 
 def with_folds(df: DataFrame, group: str, folds: int = 5, name: str = "Fold") -> DataFrame:
     return df.join(group_folds(df, group, folds, name), group)
 
 
+def nested_group_folds(df: DataFrame, group: str, outer: int = 5, inner: int = 5) -> DataFrame:
+    """Outer fold per group, and its inner fold inside the training side of every other outer fold.
+
+    ``InnerFolds`` has one place per outer fold: the groups outside that fold are dealt out
+    anew among themselves, so each training side has folds of its own. The place of the own
+    outer fold is NULL. Only the table of group sizes is multiplied, by the number of folds.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    placed = _dealt(sizes, [], group, outer, "Fold")
+    others = F.filter(F.sequence(F.lit(1), F.lit(outer)), lambda o: o != F.col("Fold"))
+    sides = placed.select(group, "_size", F.explode(others).alias("_outer"))
+    inner_folds = _dealt(sides, ["_outer"], group, inner, "_inner")
+    of_group = inner_folds.groupBy(group).agg(
+        F.map_from_entries(F.collect_list(F.struct("_outer", "_inner"))).alias("_by_outer")
+    )
+    places = F.transform(F.sequence(F.lit(1), F.lit(outer)), lambda o: F.try_element_at("_by_outer", o))
+    return placed.join(of_group, group).select(group, "Fold", places.alias("InnerFolds"))
+
+
+def with_nested_folds(df: DataFrame, group: str, outer: int = 5, inner: int = 5) -> DataFrame:
+    return df.join(nested_group_folds(df, group, outer, inner), group)
+
+
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that occur on both sides."""
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_semi")

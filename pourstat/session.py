@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark import StorageLevel
@@ -49,17 +51,24 @@ def local_session(cores: str = "8", app: str = "pourstat", memory: str = "8g") -
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, set on the context.
 
-    The folder comes from ``spark.checkpoint.dir``. Where the session names none, a
-    temporary folder is set for a local master only; a cluster must name a shared one.
+    It comes from ``spark.checkpoint.dir``. Where the session names none, a temporary folder
+    is set for a local master only; a cluster must name a shared one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pourstat-ckpt-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pourstat-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -69,3 +78,13 @@ def shared(df: DataFrame) -> DataFrame:
     Blocks spill to disk, and a lost block is recomputed from its lineage.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for jobs that run Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pourstat_shipped", None) is None:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="pourstat-code-"), "pourstat")
+        sc.addPyFile(shutil.make_archive(target, "zip", top, "pourstat"))
+        sc._pourstat_shipped = target

@@ -130,26 +130,32 @@ def fold_priors(cube: DataFrame, column: str) -> dict[int, float]:
 
 
 def fold_encodings(
-    columns: Sequence[str], outer: int, prior: float | Column, fold: str = "Fold", inner: str = "InnerFolds", smoothing: float = SMOOTHING
+    columns: Sequence[str],
+    outer: int | Column,
+    prior: float | Column,
+    fold: str = "Fold",
+    inner: str = "InnerFolds",
+    smoothing: float = SMOOTHING,
 ) -> dict[str, Column]:
     """Target mean, log count and unknown flag of every context column for one outer fold.
 
     Sums of the training side are all rows minus the outer fold; a training row also leaves
     its own inner fold out. Needs ``_cells``.
     """
-    new: dict[str, Column] = {}
+    o = outer if isinstance(outer, Column) else F.lit(outer)
     pull = F.lit(float(smoothing)) * (prior if isinstance(prior, Column) else F.lit(float(prior)))
+    own = o * F.lit(_INNER_BASE)
+    inside = F.col(fold) == o
+    mine = own + F.element_at(F.col(inner), o)
+    new: dict[str, Column] = {}
     for c in columns:
         cells = F.try_element_at("_cells", F.lit(c))
 
         def part(key: Column, field: str, cells: Column = cells) -> Column:
             return F.coalesce(F.try_element_at(cells, key)[field], F.lit(0))
 
-        everything, own = F.lit(0), F.lit(outer * _INNER_BASE)
-        inside = F.col(fold) == outer
-        mine = F.lit(outer * _INNER_BASE) + F.col(inner)[outer - 1]
-        rows = part(everything, "n") - part(own, "n")
-        total = part(everything, "s") - part(own, "s")
+        rows = part(F.lit(0), "n") - part(own, "n")
+        total = part(F.lit(0), "s") - part(own, "s")
         rest_n = F.when(inside, rows).otherwise(rows - part(mine, "n"))
         rest_s = F.when(inside, total).otherwise(total - part(mine, "s"))
         new[f"{c}_TargetMean"] = (rest_s + pull) / (rest_n + F.lit(float(smoothing)))
@@ -158,6 +164,21 @@ def fold_encodings(
     return new
 
 
+def grid_encodings(columns: Sequence[str], priors: Mapping[int, float], fold: str = "Fold", inner: str = "InnerFolds") -> Column:
+    """The encodings of all outer folds: per fold the three numbers of every context column.
+
+    One lambda over the folds, so the expression does not grow with their number.
+    """
+    folds = max(priors)
+    means = F.array(*[F.lit(float(priors.get(o, 0.0))) for o in range(1, folds + 1)])
+
+    def of_fold(o: Column) -> Column:
+        new = fold_encodings(columns, o, F.element_at(means, o), fold, inner)
+        return F.array(*[v.cast("double") for v in new.values()])
+
+    return F.transform(F.sequence(F.lit(1), F.lit(folds)), of_fold)
+
+
 def encoding_metadata(df: DataFrame, columns: Sequence[str], fold: str = "Fold") -> DataFrame:
     """Category counts and unknown validation rows per context column and fold.
 

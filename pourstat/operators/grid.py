@@ -113,8 +113,7 @@ def pack(
         priors = N.fold_priors(cube, N.CONTEXT[0])
         shift_context[:: len(PARTS)] = np.mean(list(priors.values()))
         celled = N.with_context_cells(narrow, N.CONTEXT, cube)
-        per_fold = [F.array(*N.fold_encodings(N.CONTEXT, o, priors[o]).values()) for o in range(1, folds + 1)]
-        narrow = celled.withColumn("_context", F.array(*per_fold)).drop("_cells", *N.CONTEXT)
+        narrow = celled.withColumn("_context", N.grid_encodings(N.CONTEXT, priors)).drop("_cells", *N.CONTEXT)
     else:
         narrow = narrow.withColumn("_context", F.lit(None).cast("array<array<double>>"))
     packed = durable(narrow.withColumnRenamed("Fold", "_fold").drop("InnerFolds", "_encoded"))

@@ -77,14 +77,16 @@ def _(t):
     cube = durable(N.context_cube(df, N.CONTEXT, S.TARGET))
     priors = N.fold_priors(cube, N.CONTEXT[0])
     celled = N.with_context_cells(df, N.CONTEXT, cube)
-    items = []
-    for o, prior in priors.items():
-        new = N.fold_encodings(N.CONTEXT, o, prior)
-        items += [
-            F.struct(F.lit(o).alias("OuterFold"), F.lit(c).alias("ContextColumn"), *[new[f"{c}_{p}"].alias(p) for p in G.PARTS])
-            for c in N.CONTEXT
-        ]
-    return rounded(celled.select("testId", F.explode(F.array(*items)).alias("e")).select("testId", "e.*"))
+    per_fold = celled.select("testId", F.posexplode(N.grid_encodings(N.CONTEXT, priors)).alias("_at", "_values"))
+    items = [
+        F.struct(
+            F.lit(c).alias("ContextColumn"), F.col("_values")[3 * k].alias("TargetMean"), F.col("_values")[3 * k + 1].alias("LogCount"),
+            F.col("_values")[3 * k + 2].cast("int").alias("Unknown"),
+        )
+        for k, c in enumerate(N.CONTEXT)
+    ]
+    outer = (F.col("_at") + 1).cast("int").alias("OuterFold")
+    return rounded(per_fold.select("testId", outer, F.explode(F.array(*items)).alias("e")).select("testId", "OuterFold", "e.*"))
 
 
 # ---------------------------------------------------------------- joint fits

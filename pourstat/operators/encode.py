@@ -126,7 +126,7 @@ def fold_priors(cube: DataFrame, column: str) -> dict[int, float]:
     sums = cube.where((F.col("ContextColumn") == column) & (F.col("InnerFold") == 0)).groupBy("OuterFold").agg(F.sum("Sum"), F.sum("Count"))
     by_fold = {o: (s, n) for o, s, n in sums.collect()}
     s, n = by_fold[0]
-    return {o: (s - a) / (n - b) for o, (a, b) in by_fold.items() if o and n > b}
+    return {o: (s - a) / (n - b) for o, (a, b) in by_fold.items() if o and n > b}  # a fold that holds all rows has none
 
 
 def fold_encodings(

@@ -32,6 +32,7 @@ from pourstat.functions import exprs as E
 from pourstat.operators import encode as N
 from pourstat.operators import metrics as M
 from pourstat.operators.order_stats import leave_out_quantiles, unpivot
+from pourstat.operators.splits import group_folds
 from pourstat.session import durable, ship_package
 
 PARTS = ("TargetMean", "LogCount", "Unknown")
@@ -58,6 +59,7 @@ class Frame:
     shift_y: float
     shift_context: np.ndarray
     tasks: int = 1  # partitions of the rows
+    extra: tuple[str, ...] = ()  # columns that predictions carry along
 
     @property
     def width(self) -> int:
@@ -83,6 +85,7 @@ def pack(
     fold: str = "Fold",
     inner: str = "InnerFolds",
     ident: str = "testId",
+    extra: Sequence[str] = (),
 ) -> Frame:
     """The model frame of rows that carry ``Fold`` and ``InnerFolds`` and, where a feature set
     asks for it, context categories. Context is encoded with the mean of ``label``.
@@ -105,6 +108,7 @@ def pack(
         F.col(S.REQUIRED).cast("double").alias("_required"),
         F.col(label).cast("double").alias("_encoded"),
         *([F.col(c) for c in N.CONTEXT] if used else []),
+        *[F.col(c).alias(f"_extra_{c}") for c in extra],
     )
     narrow = durable(narrow)
     shift_context = np.zeros(len(used))
@@ -123,11 +127,26 @@ def pack(
     medians = leave_out_quantiles(unpivot(wide, ["_fold"], ["_target", *plain]), ["Column"], "_fold", "Value", {"m": 0.5})
     table = np.full((folds, 1 + len(plain)), np.nan)
     place = {c: k for k, c in enumerate(("_target", *plain))}
-    for r in medians.collect():  # folds x features numbers
+    for r in medians.where(F.col("_fold") <= folds).collect():  # folds x features numbers
         table[r["_fold"] - 1, place[r["Column"]]] = r["m"]
     shifts = np.array([v or 0.0 for v in means])
     tasks = packed.rdd.getNumPartitions()
-    return Frame(packed, plain, used, folds, table[:, 1:], table[:, 0], shifts[1:], float(shifts[0]), shift_context, tasks)
+    return Frame(packed, plain, used, folds, table[:, 1:], table[:, 0], shifts[1:], float(shifts[0]), shift_context, tasks, tuple(extra))
+
+
+def pack_holdout(
+    rows: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str = S.TARGET, group: str = "SplitGroup", inner: int = 5, extra: Sequence[str] = ()
+) -> Frame:
+    """The model frame of rows that carry ``Role``: one outer fold that holds the test rows.
+
+    Context of the training rows is encoded over folds of their own groups.
+    """
+    within = group_folds(rows.where(F.col("Role") == "train"), group, inner, "_within")
+    train = F.col("Role") == "train"
+    placed = rows.join(within, group, "left").withColumns(
+        {"_outer": F.when(train, F.lit(2)).otherwise(F.lit(1)), "_inners": F.array(F.when(train, F.col("_within")))}
+    )
+    return pack(placed, feature_sets, 1, label, "_outer", "_inners", extra=extra)
 
 
 # --------------------------------------------------------------------------
@@ -227,7 +246,8 @@ def training_moments(f: Frame) -> dict[int, Moments]:
         y = batch.column("_y").to_numpy(zero_copy_only=False) - light.shift_y
         label = batch.column("_label").to_numpy(zero_copy_only=False).astype(float)
         base = np.column_stack([np.ones(len(batch)), z, m, y, label])
-        out: Sums = {}
+        beyond = base[fold > k]  # a holdout has all its training rows there
+        out: Sums = {"beyond": beyond.T @ beyond}
         for o in range(1, k + 1):
             own = base[fold == o]
             out[f"own{o}"] = own.T @ own
@@ -241,7 +261,7 @@ def training_moments(f: Frame) -> dict[int, Moments]:
     sums = add_up(f, contribute)
     w = 2 * p + 3
     own = {o: sums[f"own{o}"].reshape(w, w) for o in range(1, k + 1)}
-    everything = sum(own.values())
+    everything = sum(own.values()) + sums["beyond"].reshape(w, w)
     order = [*range(2 * p + 1), *range(w, w + q), 2 * p + 1, 2 * p + 2]
     out = {}
     for o in range(1, k + 1):
@@ -464,7 +484,7 @@ def predict(f: Frame, models: Sequence[Linear], classify: bool = False) -> DataF
         )
         for o in {m.fold for m in models}
     }
-    names = ["_fold", "_id", "_required", "_y", "_label"]
+    names = ["_fold", "_id", "_required", "_y", "_label", *[f"_extra_{c}" for c in f.extra]]
     types = {r.name: r.dataType.simpleString() for r in f.rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,9 +505,10 @@ def predict(f: Frame, models: Sequence[Linear], classify: bool = False) -> DataF
                     [*names, "FeatureSet", "Model", "_value"],
                 )
 
-    ddl = ", ".join(f"{c} {types[c]}" for c in names) + ", FeatureSet string, Model string, _value double"
+    ddl = ", ".join(f"`{c}` {types[c]}" for c in names) + ", FeatureSet string, Model string, _value double"
     long = f.rows.mapInArrow(run, ddl)
     head = [F.col("_fold").alias("Fold"), F.col("_id").alias("testId"), F.col("_required").alias("RequiredStrength28_psi"), "FeatureSet", "Model"]
+    head += [F.col(f"_extra_{c}").alias(c) for c in f.extra]
     if classify:
         return long.select(*head, F.col("_label").alias(M.FAILED), F.col("_value").alias(M.SCORE))
     return long.select(*head, F.col("_y").alias(M.ACTUAL), F.col("_value").alias(M.PREDICTED))

@@ -16,10 +16,11 @@ from pourstat.operators import grid as G
 from pourstat.operators import metrics as M
 from pourstat.operators import mixes as X
 from pourstat.operators import models as L
+from pourstat.operators import scenarios as V
 from pourstat.operators import splits as P
 from pourstat.operators.order_stats import leave_out_quantiles, unpivot
 from pourstat.session import durable
-from pourstat.workload.model_queries import CONTEXT, GROUP_SQL
+from pourstat.workload.model_queries import CONTEXT, GROUP_SQL, bucket
 from pourstat.workload.registry import R, Tables, query, rounded
 from pourstat.workload.standins import cte
 
@@ -168,21 +169,90 @@ def _(t):
     return M.classification_metrics(L.holdout(split, sets, L.classifiers(SMALL), classify=True), ["FeatureSet", "Model"])
 
 
+# ---------------------------------------------------------------- validation from outside
+_LAB = cte("facts") + f""", g AS (SELECT *, {GROUP_SQL} AS SplitGroup, {S.TARGET} AS y, {S.DAY7} AS d7, CAST({S.TARGET} < {S.REQUIRED} AS INT) AS bad FROM facts WHERE {S.TARGET} > 0 AND {S.REQUIRED} > 0)""" + CONTEXT
+_EXT = """, rl AS (SELECT *, year(castDate) AS yr, CASE WHEN year(castDate) <= 1998 THEN 'train' WHEN year(castDate) BETWEEN 1999 AND 2001 THEN 'test' END AS Role FROM ctx WHERE year(castDate) <= 2001)
+, st AS (SELECT 'Day0_Context' AS Stage, * FROM rl UNION ALL SELECT 'Day7_FullUpdated', * FROM rl WHERE d7 > 0)"""
+_UNSEEN = f""", sc AS (SELECT 'UnseenSupplier' AS Scenario, SupplierCategory AS ScenarioGroup, * FROM ctx WHERE SupplierCategory <> '__MISSING__' UNION ALL
+ SELECT 'UnseenSupplierPlantMix', SupplierPlantMixCategory, * FROM ctx WHERE SupplierCategory <> '__MISSING__' AND PlantCategory <> '__MISSING__' AND MixCategory <> '__MISSING__')
+, rl AS (SELECT *, CASE WHEN {bucket(SCENARIO_SEED, 'ScenarioGroup')} < 20 THEN 'test' ELSE 'train' END AS Role FROM sc)
+, st AS (SELECT 'Day0_Context' AS Stage, * FROM rl UNION ALL SELECT 'Day7_FullUpdated', * FROM rl WHERE d7 > 0)"""
+
+
+def external(t: Tables):
+    return V.external_roles(V.labelled_rows(t["facts"]), 1998, 1999, 2001)
+
+
+def both_tasks(rows, keys, keep):
+    """Metrics of both tasks in one long table: (task, keys, metric, value)."""
+    out = None
+    for classify in (False, True):
+        table = V.metrics(V.evaluate(rows, classify, keep), classify, keys)
+        values = [c for c in table.columns if c not in keys]
+        part = unpivot(table, keys, values, "Metric", "Value").withColumn("Task", F.lit("Classification" if classify else "Regression"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("mod11_external_by_year")
 def _(t):
-    role = F.when(F.year("castDate") <= 1998, F.lit("train")).when(F.year("castDate") <= 2001, F.lit("test"))
-    split = rows(t).withColumns({"Role": role, "castYear": F.year("castDate")}).where(F.col("Role").isNotNull())
-    predicted = L.holdout(split, {"Day0_FieldPlusRequired": S.DAY0_FEATURES}, pick(L.regressors(SMALL), "DummyMean", "Ridge"), extra=["castYear"])
-    return M.yearly(M.regression_metrics(predicted, ["Model", "castYear"]))
+    long = both_tasks(external(t), ["Stage", "Model", "ExternalValidationYear"], ["ExternalValidationYear"])
+    keys = ["Stage", "Model", "ExternalValidationYear", "Task"]
+    counted = long.where("Metric = 'RowCount' AND Value >= 2").select(*keys)
+    return long.join(counted, keys, "left_semi")
 
 
 @query("mod11_unseen_groups")
 def _(t):
+    rows = V.labelled_rows(t["facts"])
+    out = None
+    for scenario in V.UNSEEN:
+        part = both_tasks(V.unseen_roles(rows, scenario, seed=SCENARIO_SEED), ["Stage", "Model"], []).withColumn("Scenario", F.lit(scenario))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Which rows every stage and task is judged on, and what the baselines say there.
+def _baselines(t, roles, keep):
+    out = None
+    for classify in (False, True):
+        value = M.SCORE if classify else M.PREDICTED
+        part = V.evaluate(roles, classify, keep).where(F.col("Model").startswith("Dummy")).select(
+            "Stage", "Model", "testId", *keep, F.col(M.FAILED if classify else M.ACTUAL).cast("double").alias("Actual"), F.col(value).alias("Predicted")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_BASELINES = """, b AS (SELECT {k}Stage, avg(y) FILTER (Role = 'train') AS m, quantile_cont(y, 0.5) FILTER (Role = 'train') AS q, avg(bad) FILTER (Role = 'train') AS p FROM st GROUP BY ALL)
+, o AS (SELECT st.*, m.Model, CASE WHEN m.Model = 'DummyPrior' THEN CAST(bad AS DOUBLE) ELSE y END AS Actual, CASE m.Model WHEN 'DummyMean' THEN b.m WHEN 'DummyMedian' THEN b.q ELSE b.p END AS Predicted
+ FROM st JOIN b USING ({k}Stage), (VALUES ('DummyMean'), ('DummyMedian'), ('DummyPrior')) m(Model) WHERE Role = 'test')"""
+
+
+@query("mod11_external_baselines", _LAB + _EXT + _BASELINES.format(k="") + f" SELECT Stage, Model, testId, CAST(yr AS INT) AS ExternalValidationYear, Actual, {R('Predicted')} FROM o")
+def _(t):
+    return rounded(_baselines(t, external(t), ["ExternalValidationYear"]))
+
+
+@query("mod11_unseen_baselines", _LAB + _UNSEEN + _BASELINES.format(k="Scenario, ") + f" SELECT Scenario, Stage, Model, testId, Actual, {R('Predicted')} FROM o")
+def _(t):
+    rows = V.labelled_rows(t["facts"])
+    out = None
+    for scenario in V.UNSEEN:
+        part = _baselines(t, V.unseen_roles(rows, scenario, seed=SCENARIO_SEED), []).withColumn("Scenario", F.lit(scenario))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
+@query("mod11_unseen_split_summary", _LAB + _UNSEEN + """, x AS (SELECT Scenario, count(*) AS RowsAfterContextFilter, count(*) FILTER (Role = 'train') AS TrainRows, count(*) FILTER (Role = 'test') AS TestRows,
+ count(DISTINCT ScenarioGroup) FILTER (Role = 'train') AS TrainGroups, count(DISTINCT ScenarioGroup) FILTER (Role = 'test') AS TestGroups FROM rl GROUP BY 1)
+SELECT x.*, (SELECT count(*) FROM ctx) AS RowsBeforeContextFilter, (SELECT count(*) FROM ctx) - RowsAfterContextFilter AS RowsExcludedForMissingContext,
+ (SELECT count(*) FROM (SELECT ScenarioGroup FROM rl WHERE rl.Scenario = x.Scenario AND Role = 'train' INTERSECT SELECT ScenarioGroup FROM rl WHERE rl.Scenario = x.Scenario AND Role = 'test')) AS OverlappingGroups FROM x""")
+def _(t):
+    rows = V.labelled_rows(t["facts"])
     out = None
-    for scenario in ("UnseenSupplier", "UnseenSupplierPlantMix"):
-        split = P.train_test(P.scenario_rows(rows(t), scenario), "ScenarioGroup", seed=SCENARIO_SEED).withColumn("Role", F.col("DatasetSplit"))
-        predicted = L.holdout(split, {"Day7_FieldPlusRequired": L.four_feature_sets()["Day7_FieldPlusRequired"]}, pick(L.regressors(SMALL), "Ridge"))
-        part = M.regression_metrics(predicted, ["Model"]).withColumn("Scenario", F.lit(scenario))
+    for scenario in V.UNSEEN:
+        part = V.split_summary(rows, V.unseen_roles(rows, scenario, seed=SCENARIO_SEED), scenario)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pourstat import schema as S
 from pourstat.functions import exprs as E
 from pourstat.operators import metrics as M
-from pourstat.operators.order_stats import top_rows
+from pourstat.operators.order_stats import exact_quantiles, top_rows
 from pourstat.operators.profile import assert_unique
 from pourstat.session import shared
 
@@ -23,6 +23,16 @@ def merge_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how
     return assert_unique(left, keys).join(assert_unique(right, keys), list(keys), how)
 
 
+def unique_or_raise(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; a key that repeats raises when the rows are read.
+
+    The count runs on the partitioning by key that a join on it needs anyway.
+    """
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    wrong = F.raise_error(F.lit(f"key {list(keys)} is not unique"))
+    return df.withColumn("_rows", rows).where(F.when(F.col("_rows") > 1, wrong).otherwise(F.lit(True))).drop("_rows")
+
+
 def merge_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], required: str) -> DataFrame:
     """Left join to a side made unique on the keys; an unmatched row raises at run time."""
     side = right.groupBy(*keys).agg(F.min(required).alias(required))
@@ -49,10 +59,13 @@ def assert_models_present(predictions: DataFrame, best: DataFrame) -> None:
 
 
 def align_predictions(regression: DataFrame, classification: DataFrame) -> DataFrame:
-    """Both out-of-fold tables on (Fold, FeatureSet, testId) with the predicted margin."""
+    """Both out-of-fold tables on (Fold, FeatureSet, testId) with the predicted margin.
+
+    The join is one to one: a test that a side has twice would be judged twice, so it raises.
+    """
     keys = ["Fold", "FeatureSet", "testId"]
     side = classification.select(*keys, M.FAILED, M.SCORE)
-    joined = regression.drop(M.FAILED, M.SCORE).join(side, keys)
+    joined = unique_or_raise(regression.drop(M.FAILED, M.SCORE), keys).join(unique_or_raise(side, keys), keys)
     return joined.withColumn("PredictedMargin_psi", F.col(M.PREDICTED) - F.col("RequiredStrength28_psi"))
 
 
@@ -289,3 +302,92 @@ def tradeoff_view(swept: DataFrame, best: DataFrame, thresholds: Sequence[float]
 
 def precision_recall_series(swept: DataFrame) -> DataFrame:
     return swept.where(F.col("Method") == "DirectClassifier").select("FeatureSet", "Threshold", "Recall", "Precision")
+
+
+def common_rows(predictions: DataFrame, variant: str, on: Sequence[str], key: str = "testId") -> DataFrame:
+    """Rows whose key every variant has predicted, per ``on``: several runs on identical rows.
+
+    Variants are counted per key with a map-side combine and the counts joined back.
+    """
+    wanted = predictions.select(*on, variant).distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("_wanted"))
+    found = predictions.groupBy(*on, key).agg(F.count_distinct(variant).alias("_found"))
+    complete = found.join(wanted, list(on)).where(F.col("_found") == F.col("_wanted")).select(*on, key)
+    return predictions.join(complete, [*on, key], "left_semi")
+
+
+def experiment_results(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Error metrics and the distribution of the target per experiment."""
+    target = {"TargetP01": 0.01, "TargetP50": 0.5, "TargetP99": 0.99}
+    summary = predictions.groupBy(*keys).agg(
+        F.avg(M.ACTUAL).alias("TargetMean"), F.stddev_pop(M.ACTUAL).alias("TargetStd"), F.min(M.ACTUAL).alias("TargetMin"), F.max(M.ACTUAL).alias("TargetMax")
+    )
+    spread = exact_quantiles(predictions, keys, M.ACTUAL, target)
+    return M.regression_metrics(predictions, keys).join(summary, list(keys)).join(spread, list(keys))
+
+
+def effects(results: DataFrame, variant: str, steps: Sequence[tuple[str, str, str]], on: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Named steps (effect, before, after) between variants with both values of every metric.
+
+    Each step needs exactly one row per variant and ``on`` key; anything else raises when the
+    table is read. One aggregate over the short table of results.
+    """
+    every = F.array(*[F.struct(F.lit(e).alias("Effect"), F.lit(b).alias("BeforeVariant"), F.lit(a).alias("AfterVariant")) for e, b, a in steps])
+    long = results.withColumn("_step", F.explode(every)).select("*", "_step.*").where(
+        (F.col(variant) == F.col("BeforeVariant")) | (F.col(variant) == F.col("AfterVariant"))
+    )
+    before, after = F.col(variant) == F.col("BeforeVariant"), F.col(variant) == F.col("AfterVariant")
+    out = long.groupBy(*on, "Effect", "BeforeVariant", "AfterVariant").agg(
+        *[F.max(F.when(before, F.col(v))).alias(f"Before_{v}") for v in values],
+        *[F.max(F.when(after, F.col(v))).alias(f"After_{v}") for v in values],
+        E.count_if(before).alias("_before"),
+        E.count_if(after).alias("_after"),
+    )
+    single = (F.col("_before") == 1) & (F.col("_after") == 1)
+    wrong = F.raise_error(F.concat(F.lit("expected one result on both sides of "), F.col("Effect")))
+    return out.withColumn("Effect", F.when(single, F.col("Effect")).otherwise(wrong)).drop("_before", "_after")
+
+
+def r2_decomposition(results: DataFrame, steps: Sequence[tuple[str, str, str]] = tuple(S.R2_STEPS), variant: str = "Experiment") -> DataFrame:
+    """What cohort, re-splitting and added features each do to R2 and MAE, per model."""
+    table = effects(results, variant, steps, ["Model"], ["RowCount", "R2", "MAE", "TargetStd"])
+    return table.withColumns(
+        {"R2_Change": F.col("After_R2") - F.col("Before_R2"), "MAE_Improvement": F.col("Before_MAE") - F.col("After_MAE")}
+    )
+
+
+def context_impact(best: DataFrame, pairs: Mapping[str, tuple[str, str]] = S.CONTEXT_PAIRS) -> DataFrame:
+    """Best model without and with context per stage; a stage without both feature sets is left out."""
+    values = ["MeanCV_MAE", "MeanCV_RMSE", "MeanCV_R2"]
+    present = F.col("FeatureSet").isin(*[name for pair in pairs.values() for name in pair])
+    steps = [(stage, *pair) for stage, pair in pairs.items()]
+    known = best.where(present)
+    sides = known.withColumn("_stage", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("Stage"), F.lit(a).alias("a"), F.lit(b).alias("b")) for s, a, b in steps
+    ]))).where((F.col("FeatureSet") == F.col("_stage.a")) | (F.col("FeatureSet") == F.col("_stage.b")))
+    plain, full = F.col("FeatureSet") == F.col("_stage.a"), F.col("FeatureSet") == F.col("_stage.b")
+    names = {"MeanCV_MAE": "MAE", "MeanCV_RMSE": "RMSE", "MeanCV_R2": "R2"}
+    out = sides.groupBy(F.col("_stage.Stage").alias("Stage")).agg(
+        *[F.max(F.when(plain, F.col(v))).alias(f"WithoutContext_{names[v]}") for v in values],
+        *[F.max(F.when(full, F.col(v))).alias(f"WithContext_{names[v]}") for v in values],
+        F.count_distinct("FeatureSet").alias("_sides"),
+    ).where("_sides = 2").drop("_sides")
+    return out.withColumns(
+        {
+            "MAE_ImprovementPsi": F.col("WithoutContext_MAE") - F.col("WithContext_MAE"),
+            "RMSE_ImprovementPsi": F.col("WithoutContext_RMSE") - F.col("WithContext_RMSE"),
+            "R2_Improvement": F.col("WithContext_R2") - F.col("WithoutContext_R2"),
+        }
+    )
+
+
+def controlled_improvement(predictions: DataFrame, before: str, after: str, variant: str = "FeatureSet") -> DataFrame:
+    """Mean fold R2 and MAE of two feature sets on identical rows and folds, per model, best first."""
+    pair = predictions.where(F.col(variant).isin(before, after))
+    same = common_rows(pair, variant, ["Model"])
+    folds = M.regression_metrics(same, [variant, "Model", "Fold"], quantiles=False)
+    means = folds.groupBy(variant, "Model").agg(F.avg("R2").alias("Mean_R2"), F.avg("MAE").alias("Mean_MAE"))
+    table = effects(means, variant, [("Controlled", before, after)], ["Model"], ["Mean_R2", "Mean_MAE"]).drop("Effect")
+    out = table.withColumns(
+        {"Mean_R2_Change": F.col("After_Mean_R2") - F.col("Before_Mean_R2"), "Mean_MAE_Improvement": F.col("Before_Mean_MAE") - F.col("After_Mean_MAE")}
+    )
+    return out.orderBy("After_Mean_MAE", "Model")

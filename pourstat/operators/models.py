@@ -305,52 +305,3 @@ def holdout_rows(
         return rows
     folds = group_folds(rows.where(F.col("Role") == "train"), group, inner, "_within")
     return N.cross_fitted_encode(rows.join(folds, group, "left"), N.CONTEXT, label, "_within").drop("_within")
-
-
-# Least numbers of rows to train a surrogate
-MIN_SURROGATE_TRAIN, MIN_SURROGATE_TEST = 100, 30
-MIN_SURROGATE_R2 = 0.10
-
-
-def surrogates(
-    rows: DataFrame, targets: Mapping[str, str], features: Sequence[str], specs: Mapping[str, Spec]
-) -> DataFrame:
-    """Test metrics of every model per target, with the best real model marked.
-
-    Targets with too few train or test rows are skipped.
-    """
-    out: DataFrame | None = None
-    for key, target in targets.items():
-        known = rows.where(F.col(target).isNotNull())
-        sizes = {r["Role"]: r["count"] for r in known.groupBy("Role").count().collect()}
-        if sizes.get("train", 0) < MIN_SURROGATE_TRAIN or sizes.get("test", 0) < MIN_SURROGATE_TEST:
-            continue
-        # Slump and air are targets here and no inputs, so no leakage list applies.
-        usable = [c for c in features if c != target]
-        predicted = durable(evaluate_split(known, {key: usable}, specs, target, ["testId"]))
-        part = M.regression_metrics(predicted, ["FeatureSet", "Model"]).withColumnRenamed("FeatureSet", "TargetKey")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no target has enough rows")
-    from pourstat.operators.order_stats import top_rows
-
-    out = durable(out)
-    best = top_rows(out.where(~F.col("Model").startswith("Dummy")), ["TargetKey"], [F.asc("MAE"), F.asc("Model")], 1)
-    marks = best.select("TargetKey", "Model", F.lit(1).alias("IsBest"))
-    return out.join(marks, ["TargetKey", "Model"], "left").withColumn("IsBest", F.coalesce("IsBest", F.lit(0)))
-
-
-def with_surrogate(rows: DataFrame, features: Sequence[str], spec: Spec, target: str, name: str) -> tuple[DataFrame, float, float]:
-    """Predict a target for all rows; also its held-out R2 and P90 error.
-
-    Refuses a model whose held-out R2 is below the floor.
-    """
-    imputed, columns, n = impute_fitted(rows.withColumn(LABEL, F.col(target).cast("double")), features)
-    known = F.col(LABEL).isNotNull()
-    model = fit(shared(imputed.where(known & (F.col("Role") == "train"))), columns, spec, n)
-    predicted = durable(model.transform(imputed).withColumn(name, F.col("prediction")).drop("features", "_raw", "prediction"))
-    held_out = predicted.where(known & (F.col("Role") == "test")).withColumn("_all", F.lit(1))
-    m = M.regression_metrics(held_out, ["_all"], LABEL, name).first()
-    if m is None or m["R2"] < MIN_SURROGATE_R2:
-        raise ValueError(f"held-out R2 of {name} is too low for a search")
-    return predicted.drop(LABEL), m["R2"], m["P90AbsoluteError"]

@@ -385,3 +385,39 @@ class CandidateRule(NamedTuple):
 def specimen_schema() -> T.StructType:
     """Everything is read as text; typed columns are parsed afterwards."""
     return T.StructType([T.StructField(c, T.StringType()) for c in SPECIMEN_COLUMNS])
+
+
+# --------------------------------------------------------------------------
+# Comparisons of experiments
+# --------------------------------------------------------------------------
+CONTEXT_PAIRS = {
+    "Day0": ("Day0_FieldPlusRequired", "Day0_Context"),
+    "Day7": ("Day7_FieldPlusRequired", "Full_ContextPlusDay7"),
+}
+R2_STEPS = [
+    (
+        "Complete-case cohort effect under original 05 split",
+        "A_05_original_all_strength_rows",
+        "B_05_split_complete_rows_batch_only",
+    ),
+    (
+        "Actual slump/air effect under original 05 split",
+        "B_05_split_complete_rows_batch_only",
+        "C_05_split_complete_rows_plus_slump_air",
+    ),
+    (
+        "Re-splitting effect after complete-case filtering",
+        "B_05_split_complete_rows_batch_only",
+        "D_05B_resplit_complete_rows_batch_only",
+    ),
+    (
+        "Actual slump/air effect under 05B split",
+        "D_05B_resplit_complete_rows_batch_only",
+        "E_05B_resplit_complete_rows_plus_slump_air",
+    ),
+    (
+        "Total observed difference: 05 original to 05B BatchOnly",
+        "A_05_original_all_strength_rows",
+        "D_05B_resplit_complete_rows_batch_only",
+    ),
+]

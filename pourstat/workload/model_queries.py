@@ -550,6 +550,72 @@ def _(t):
     return rounded(out)
 
 
+_IMPACT = {"Day7": ("Day0_Context", "Day7_FieldPlusRequired")}
+
+
+@query("sel06_context_impact", BEST + f""" SELECT 'Day7' AS Stage, {R('a.MeanCV_MAE', 'WithoutContext_MAE')}, {R('a.MeanCV_RMSE', 'WithoutContext_RMSE')}, {R('a.MeanCV_R2', 'WithoutContext_R2')},
+ {R('b.MeanCV_MAE', 'WithContext_MAE')}, {R('b.MeanCV_RMSE', 'WithContext_RMSE')}, {R('b.MeanCV_R2', 'WithContext_R2')}, {R('a.MeanCV_MAE - b.MeanCV_MAE', 'MAE_ImprovementPsi')},
+ {R('a.MeanCV_RMSE - b.MeanCV_RMSE', 'RMSE_ImprovementPsi')}, {R('b.MeanCV_R2 - a.MeanCV_R2', 'R2_Improvement')} FROM best a, best b WHERE a.FeatureSet = 'Day0_Context' AND b.FeatureSet = 'Day7_FieldPlusRequired'""")
+def _(t):
+    return rounded(D.context_impact(best_models(t), _IMPACT))
+
+
+# Cohort and split decide which predictions an experiment is judged on.
+(_A, _B), _C, (_D, _E) = S.R2_STEPS[0][1:], S.R2_STEPS[1][2], S.R2_STEPS[3][1:]
+_COMPLETE = ["EffectiveSlump_in", "EffectiveAir_percent", "projectId", *S.RECIPE_CORE]
+_EXPERIMENTS = {
+    _A: ("Day0_Context", 42, False),
+    _B: ("Day0_Context", 42, True),
+    _C: ("Day7_FieldPlusRequired", 42, True),
+    _D: ("Day0_Context", 7, True),
+    _E: ("Day7_FieldPlusRequired", 7, True),
+}
+_EXP_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS Experiment, * FROM j WHERE FeatureSet = '{f}' AND {bucket(seed)} < 20" + (" AND complete" if c else "") for n, (f, seed, c) in _EXPERIMENTS.items()
+)
+_STEP_SQL = ", ".join("('" + "', '".join(s) + "')" for s in S.R2_STEPS)
+
+
+@query("sel06_r2_decomposition", cte("facts", "predictions") + f""", j AS (SELECT p.*, {GROUP_SQL.replace('projectId', 'f.projectId').replace('testId', 'f.testId')} AS SplitGroup, {' AND '.join(f'f.{c} IS NOT NULL' for c in _COMPLETE)} AS complete,
+  PredictedStrength28_psi - ActualStrength28_psi AS r FROM predictions p JOIN facts f ON f.testId = p.testId)
+, x AS ({_EXP_SQL}), rs AS (SELECT Experiment, Model, count(*) AS RowCount, 1 - sum(r * r) / (var_pop(ActualStrength28_psi) * count(*)) AS R2, avg(abs(r)) AS MAE, stddev_pop(ActualStrength28_psi) AS TargetStd FROM x GROUP BY 1, 2)
+SELECT a.Model, s.Effect, s.BeforeVariant, s.AfterVariant, a.RowCount AS Before_RowCount, b.RowCount AS After_RowCount, {R('a.R2', 'Before_R2')}, {R('b.R2', 'After_R2')}, {R('b.R2 - a.R2', 'R2_Change')},
+ {R('a.MAE', 'Before_MAE')}, {R('b.MAE', 'After_MAE')}, {R('a.MAE - b.MAE', 'MAE_Improvement')}, {R('a.TargetStd', 'Before_TargetStd')}, {R('b.TargetStd', 'After_TargetStd')}
+FROM (VALUES {_STEP_SQL}) s(Effect, BeforeVariant, AfterVariant) JOIN rs a ON a.Experiment = s.BeforeVariant JOIN rs b ON b.Experiment = s.AfterVariant AND b.Model = a.Model""")
+def _(t):
+    complete = F.lit(True)
+    for c in _COMPLETE:
+        complete = complete & F.col(c).isNotNull()
+    flags = grouped(t).select("testId", "SplitGroup", complete.alias("_complete"))
+    rows = t["predictions"].join(flags, "testId")
+    named = [
+        F.when((F.col("FeatureSet") == f) & (L.percent_bucket("SplitGroup", seed) < 20) & (F.col("_complete") if whole else F.lit(True)), F.lit(n))
+        for n, (f, seed, whole) in _EXPERIMENTS.items()
+    ]
+    rows = rows.withColumn("Experiment", F.explode(F.array_compact(F.array(*named))))
+    return rounded(D.r2_decomposition(D.experiment_results(rows, ["Experiment", "Model"])))
+
+
+# Day-7 predictions exist where there is a day-7 strength; both feature sets are compared on those tests.
+@query("sel06_controlled_improvement", cte("facts", "predictions") + f""", c AS (SELECT a.Model, a.Fold, a.ActualStrength28_psi AS y, a.PredictedStrength28_psi - a.ActualStrength28_psi AS ra, b.PredictedStrength28_psi - b.ActualStrength28_psi AS rb
+  FROM predictions a JOIN predictions b ON b.testId = a.testId AND b.Model = a.Model JOIN facts f ON f.testId = a.testId AND f.{S.DAY7} IS NOT NULL WHERE a.FeatureSet = 'Day0_Context' AND b.FeatureSet = 'Day7_FieldPlusRequired')
+, m AS (SELECT Model, Fold, 1 - sum(ra * ra) / (var_pop(y) * count(*)) AS r2a, 1 - sum(rb * rb) / (var_pop(y) * count(*)) AS r2b, avg(abs(ra)) AS ma, avg(abs(rb)) AS mb FROM c GROUP BY 1, 2)
+SELECT Model, 'Day0_Context' AS BeforeVariant, 'Day7_FieldPlusRequired' AS AfterVariant, {R('avg(r2a)', 'Before_Mean_R2')}, {R('avg(r2b)', 'After_Mean_R2')}, {R('avg(r2b) - avg(r2a)', 'Mean_R2_Change')},
+ {R('avg(ma)', 'Before_Mean_MAE')}, {R('avg(mb)', 'After_Mean_MAE')}, {R('avg(ma) - avg(mb)', 'Mean_MAE_Improvement')} FROM m GROUP BY 1""")
+def _(t):
+    known = t["facts"].where(F.col(S.DAY7).isNotNull()).select("testId")
+    predictions = t["predictions"]
+    day7 = predictions.where("FeatureSet = 'Day7_FieldPlusRequired'").join(known, "testId", "left_semi")
+    rows = predictions.where("FeatureSet <> 'Day7_FieldPlusRequired'").unionByName(day7)
+    return rounded(D.controlled_improvement(rows, "Day0_Context", "Day7_FieldPlusRequired"))
+
+
+@query("sel06_experiment_results", PR + f""" SELECT FeatureSet, Model, {REG}, {R('avg(y)', 'TargetMean')}, {R('stddev_pop(y)', 'TargetStd')}, min(y) AS TargetMin, max(y) AS TargetMax,
+ {R('quantile_cont(y, 0.01)', 'TargetP01')}, {R('quantile_cont(y, 0.5)', 'TargetP50')}, {R('quantile_cont(y, 0.99)', 'TargetP99')} FROM e GROUP BY 1, 2""")
+def _(t):
+    return rounded(D.experiment_results(t["predictions"], KEYS))
+
+
 # ---------------------------------------------------------------- set operations
 @query("set01_union_with_missing", cte("facts", "predictions") + """ SELECT testId, Model, CAST(NULL AS DATE) AS castDate FROM predictions UNION ALL SELECT testId, NULL, castDate FROM facts""")
 def _(t):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pourstat import schema as S
 from pourstat.functions import exprs as E
-from pourstat.operators.order_stats import exact_quantiles, join_on, top_rows
+from pourstat.operators.order_stats import join_on, selected_quantiles, top_rows
 
 
 # --------------------------------------------------------------------------
@@ -267,7 +267,7 @@ SUSPICIOUS_FLAGS = [
 
 def suspicious_flags(df: DataFrame) -> DataFrame:
     """Ten value rules and a 3-IQR fence on strength (from 8 values on)."""
-    quartiles = exact_quantiles(df, [], S.TARGET, {"q1": 0.25, "q3": 0.75})
+    quartiles = selected_quantiles(df, [], S.TARGET, {"q1": 0.25, "q3": 0.75})
     counted = df.agg(F.count(S.TARGET).alias("n"))
     fence = F.struct("q1", "q3")
     df = df.withColumns({"_fence": quartiles.select(fence).scalar(), "_n": counted.scalar()})

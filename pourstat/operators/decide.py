@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pourstat import schema as S
 from pourstat.functions import exprs as E
 from pourstat.operators import metrics as M
-from pourstat.operators.order_stats import exact_quantiles, top_rows
+from pourstat.operators.order_stats import selected_quantiles, top_rows
 from pourstat.operators.profile import assert_unique
 from pourstat.session import shared
 
@@ -321,7 +321,7 @@ def experiment_results(predictions: DataFrame, keys: Sequence[str]) -> DataFrame
     summary = predictions.groupBy(*keys).agg(
         F.avg(M.ACTUAL).alias("TargetMean"), F.stddev_pop(M.ACTUAL).alias("TargetStd"), F.min(M.ACTUAL).alias("TargetMin"), F.max(M.ACTUAL).alias("TargetMax")
     )
-    spread = exact_quantiles(predictions, keys, M.ACTUAL, target)
+    spread = selected_quantiles(predictions, keys, M.ACTUAL, target)
     return M.regression_metrics(predictions, keys).join(summary, list(keys)).join(spread, list(keys))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pourstat import schema as S
 from pourstat.functions import exprs as E
-from pourstat.operators.order_stats import exact_quantiles, unpivot
+from pourstat.operators.order_stats import selected_quantiles, unpivot
 
 CONTEXT = [
     "SupplierCategory",
@@ -90,6 +90,8 @@ def context_cube(
     sums = long.groupBy("ContextColumn", "Category", fold, inner).agg(
         F.sum(target).cast("double").alias("s"), F.count(target).alias("n")
     )
+    # Few sums are left per category; dealt by category, what follows needs no further exchange.
+    sums = sums.repartition("ContextColumn", "Category")
     outer = F.transform(F.col(inner), lambda i, at: F.struct((at + 1).alias("o"), F.coalesce(i, F.lit(0)).alias("i")))
     cells = F.concat(outer, F.array(F.struct(F.lit(0).alias("o"), F.lit(0).alias("i"))))
     return (
@@ -106,12 +108,18 @@ def with_context_cells(df: DataFrame, columns: Sequence[str], cube: DataFrame) -
     """Adds ``_cells``: the cube's entries of the row's own categories, by context column.
 
     The entries are attached to the distinct combinations of categories first, so the rows
-    take part in one join for all columns and all folds.
+    take part in one join for all columns and all folds; one or two columns are joined directly.
     """
     key = (F.col("OuterFold") * F.lit(_INNER_BASE) + F.col("InnerFold")).alias("key")
     lookup = cube.groupBy("ContextColumn", "Category").agg(
         F.map_from_entries(F.collect_list(F.struct(key, F.struct(F.col("Sum").alias("s"), F.col("Count").alias("n"))))).alias("cells")
     )
+    if len(columns) <= 2:
+        for c in columns:
+            side = lookup.where(F.col("ContextColumn") == c).select(F.col("Category").alias(c), F.col("cells").alias(f"_cells_{c}"))
+            df = df.join(side, c, "left")
+        pairs = [x for c in columns for x in (F.lit(c), F.col(f"_cells_{c}"))]
+        return df.withColumn("_cells", F.create_map(*pairs)).drop(*[f"_cells_{c}" for c in columns])
     tuples = df.select(*columns).distinct()
     named = tuples.withColumn("_pairs", F.array(*[F.struct(F.lit(c).alias("ContextColumn"), F.col(c).alias("Category")) for c in columns]))
     long = named.select(*columns, F.explode("_pairs").alias("p")).select(*columns, "p.*")
@@ -227,7 +235,7 @@ def context_coverage(metadata: DataFrame) -> DataFrame:
 def train_medians(df: DataFrame, columns: Sequence[str], role: str = "Role") -> DataFrame:
     """One row with the exact train median of each column."""
     long = unpivot(df.where(F.col(role) == "train"), [], columns)
-    medians = exact_quantiles(long, ["Column"], "Value", {"m": 0.5})
+    medians = selected_quantiles(long, ["Column"], "Value", {"m": 0.5})
     return medians.agg(*[F.max(F.when(F.col("Column") == c, F.col("m"))).alias(c) for c in columns])
 
 
@@ -259,7 +267,7 @@ def baseline_predictions(df: DataFrame, target: str, failure: str, role: str = "
     """Train mean, train median and train failure share for every test row."""
     train = df.where(F.col(role) == "train")
     mean = train.agg(F.struct(F.avg(target).alias("mean"), F.avg(failure).alias("prior")).alias("s"))
-    median = exact_quantiles(train, [], target, {"m": 0.5})
+    median = selected_quantiles(train, [], target, {"m": 0.5})
     test = df.where(F.col(role) == "test").withColumns({"_s": mean.scalar(), "DummyMedian": median.scalar()})
     return test.withColumns({"DummyMean": F.col("_s.mean"), "DummyPrior": F.col("_s.prior")}).drop("_s")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pourstat import schema as S
 from pourstat.functions import exprs as E
-from pourstat.operators.order_stats import exact_quantiles, running_sums
+from pourstat.operators.order_stats import running_sums, selected_quantiles
 
 ACTUAL, PREDICTED = "ActualStrength28_psi", "PredictedStrength28_psi"
 FAILED, SCORE = "ActualFailureFlag", "FailureProbability"
@@ -53,7 +53,7 @@ def regression_metrics(
     if not quantiles:
         return basic
     return basic.join(
-        exact_quantiles(rows, keys, "_a", {"MedianAE": 0.5, "P90AbsoluteError": 0.9}), list(keys)
+        selected_quantiles(rows, keys, "_a", {"MedianAE": 0.5, "P90AbsoluteError": 0.9}), list(keys)
     )
 
 
@@ -89,7 +89,7 @@ def error_by_range(df: DataFrame) -> DataFrame:
         F.avg(PREDICTED).alias("PredictedMean"),
     )
     return stats.join(
-        exact_quantiles(ranged, ["StrengthRange"], "AbsoluteErrorPsi", {"MedianError": 0.5}), "StrengthRange"
+        selected_quantiles(ranged, ["StrengthRange"], "AbsoluteErrorPsi", {"MedianError": 0.5}), "StrengthRange"
     )
 
 

@@ -22,7 +22,7 @@ from pourstat.functions import exprs as E
 from pourstat.operators import encode as N
 from pourstat.operators import metrics as M
 from pourstat.operators.clean import with_day7
-from pourstat.operators.order_stats import exact_quantiles, unpivot
+from pourstat.operators.order_stats import selected_quantiles, unpivot
 from pourstat.operators.splits import fold_roles, group_folds, with_nested_folds
 from pourstat.session import durable, shared
 
@@ -142,7 +142,7 @@ def impute_fitted(df: DataFrame, features: Sequence[str], role: str = "Role") ->
         *[(F.min(c) < F.max(c)).alias(f"{c}_varies") for c in features],
     ).first()
     long = unpivot(train, [], features)
-    medians = {r["Column"]: r["m"] for r in exact_quantiles(long, ["Column"], "Value", {"m": 0.5}).collect()}
+    medians = {r["Column"]: r["m"] for r in selected_quantiles(long, ["Column"], "Value", {"m": 0.5}).collect()}
     known = [c for c in features if medians.get(c) is not None]
     indicators = [c for c in known if counts[c] < counts["_rows"]]
     used = [c for c in known if counts[f"{c}_varies"]]

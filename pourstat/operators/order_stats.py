@@ -126,6 +126,52 @@ def exact_quantiles(
     return ranks.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
+def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of a few large groups, one row per key.
+
+    Rows are counted per order-preserving bucket; the counts show which buckets hold the wanted
+    ranks, and only values of those buckets are read again, counted and ordered. For many small
+    groups ``exact_quantiles`` moves less. Keys must not be NULL.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    known = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v")).withColumn("_bucket", value_bucket("_v"))
+    counts = known.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    along = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"_before": F.sum("_n").over(along) - F.col("_n"), "_total": F.sum("_n").over(whole)})
+    here = F.filter(_wanted_ranks(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    wanted = placed.select(*keys, "_bucket", "_before", "_total", here.alias("_ranks")).where(F.size("_ranks") > 0)
+    # The buckets of the ranks go to the rows, not the rows to the buckets: few keys have few of them.
+    values = known.join(wanted, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_v", "_before", "_total", "_ranks").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))
+    return _between_ranks(own.select(*keys, "_total", "_v", F.explode(hit).alias("_rank")), keys, probs)
+
+
+def _wanted_ranks(probs: Mapping[str, float]) -> Column:
+    """The two neighbouring ranks of every quantile among ``_total`` values."""
+    last = F.col("_total") - 1
+    pairs = [F.array(F.floor(F.lit(float(p)) * last), F.ceil(F.lit(float(p)) * last)) for p in probs.values()]
+    return F.array_distinct(F.flatten(F.array(*pairs)))
+
+
+def _between_ranks(found: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from the values ``_v`` at the wanted ranks."""
+    aggs, outs = [], []
+    for name, p in probs.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        aggs += [
+            F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v"))).alias(f"_{name}_lo"),
+            F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v"))).alias(f"_{name}_hi"),
+            F.max(at - F.floor(at)).alias(f"_{name}_part"),
+        ]
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        outs.append(F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_{name}_part")).alias(name))
+    return found.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+
+
 def leave_out_quantiles(
     df: DataFrame, keys: Sequence[str], part: str, value: str, probs: Mapping[str, float]
 ) -> DataFrame:
@@ -152,13 +198,7 @@ def leave_out_quantiles(
     placed = left_out.withColumns(
         {"_before": F.sum("_rest").over(along) - F.col("_rest"), "_total": F.sum("_rest").over(whole)}
     )
-    # The two neighbouring ranks of every quantile that fall into the bucket.
-    ranks = F.array_distinct(
-        F.flatten(F.array(*[
-            F.array(F.floor(F.lit(float(p)) * (F.col("_total") - 1)), F.ceil(F.lit(float(p)) * (F.col("_total") - 1))) for p in probs.values()
-        ]))
-    )
-    here = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rest")))
+    here = F.filter(_wanted_ranks(probs), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_rest")))
     wanted = placed.where("_total > 0").select(*keys, "_bucket", "_left", "_before", "_total", here.alias("_ranks")).where(F.size("_ranks") > 0)
 
     needed = wanted.select(*keys, "_bucket").distinct()
@@ -172,18 +212,8 @@ def leave_out_quantiles(
     )
     own = own.withColumn("_upto", F.col("_before") + F.sum("_rest").over(inside))
     hit = F.filter("_ranks", lambda r: (r >= F.col("_upto") - F.col("_rest")) & (r < F.col("_upto")))
-    found = own.select(*keys, "_left", "_total", "_v", F.explode(hit).alias("_rank"))
-    aggs, outs = [], []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [
-            F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v"))).alias(f"_{name}_lo"),
-            F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v"))).alias(f"_{name}_hi"),
-            F.max(at - F.floor(at)).alias(f"_{name}_part"),
-        ]
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        outs.append(F.when(low == high, low).otherwise(low + (high - low) * F.col(f"_{name}_part")).alias(name))
-    return found.groupBy(*keys, F.col("_left").alias(part)).agg(*aggs).select(*keys, part, *outs)
+    found = own.select(*keys, F.col("_left").alias(part), "_total", "_v", F.explode(hit).alias("_rank"))
+    return _between_ranks(found, [*keys, part], probs)
 
 
 def with_quantiles(

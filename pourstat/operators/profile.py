@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pourstat import schema as S
 from pourstat.functions import exprs as E
-from pourstat.operators.order_stats import average_ranks, exact_quantiles, top_rows, unpivot
+from pourstat.operators.order_stats import average_ranks, exact_quantiles, selected_quantiles, top_rows, unpivot
 
 # Quantiles of the numeric profile
 PROFILE_QUANTILES = {"P01": 0.01, "P05": 0.05, "P25": 0.25, "Median": 0.5, "P75": 0.75, "P95": 0.95, "P99": 0.99}
@@ -72,7 +72,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stats = stats.withColumns(
         {**{c: F.when(present, F.col(c)) for c in per_column}, "PresentInFile": E.flag(present)}
     )
-    return stats.join(exact_quantiles(long, ["Column"], "Value", PROFILE_QUANTILES), "Column", "left")
+    return stats.join(selected_quantiles(long, ["Column"], "Value", PROFILE_QUANTILES), "Column", "left")
 
 
 def field_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -459,7 +459,7 @@ def target_summary(df: DataFrame, keys: Sequence[str], target: str, group: str,
         F.min(target).alias("TargetMin"),
         F.max(target).alias("TargetMax"),
     )
-    return stats.join(exact_quantiles(df, keys, target, {"TargetMedian": 0.5}), list(keys), "left")
+    return stats.join(selected_quantiles(df, keys, target, {"TargetMedian": 0.5}), list(keys), "left")
 
 
 def grain_check(df: DataFrame, key: str) -> DataFrame:

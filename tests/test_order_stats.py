@@ -1,5 +1,6 @@
 """Distributed ranks and quantiles against plain numpy on skewed groups."""
 
+import math
 import random
 
 import numpy as np
@@ -99,3 +100,22 @@ def test_nan_is_missing_and_infinities_are_outermost(frame):
     df = frame([(inf,), (1.0,), (-inf,), (5.0,), (-1e300,)], "v double")
     got = O.exact_quantiles(df, [], "v", {"low": 0.0, "next": 0.25, "m": 0.5, "high": 1.0}).first().asDict()
     assert got == {"low": -inf, "next": -1e300, "m": 1.0, "high": inf}
+
+
+@pytest.mark.parametrize("way", [O.exact_quantiles, O.selected_quantiles])
+def test_both_quantile_ways_match_numpy(frame, way):
+    rnd = random.Random(21)
+    pool = [1e9, 1e9 + 0.5, 1e9 + 1, -2.0, 0.0, 0.25, 3.0, float("inf"), None, float("nan")]
+    data = [(k, rnd.choice(pool)) for k in "abc" for _ in range(rnd.randrange(1, 90))] + [("one", 4.0), ("none", None)]
+    probs = {"low": 0.0, "q1": 0.25, "m": 0.5, "p9": 0.9, "high": 1.0}
+    got = {r.k: r for r in way(frame(data, "k string, v double"), ["k"], "v", probs).collect()}
+    for k in {k for k, _ in data}:
+        values = [v for a, v in data if a == k and v is not None and not math.isnan(v)]
+        assert (k in got) == bool(values)
+        for name, p in probs.items():
+            if values:
+                below, above = sorted(values)[math.floor(p * (len(values) - 1))], sorted(values)[math.ceil(p * (len(values) - 1))]
+                want = below if below == above else below + (above - below) * (p * (len(values) - 1) % 1)
+                assert got[k][name] == pytest.approx(want)
+    whole = way(frame(data, "k string, v double"), [], "v", {"m": 0.5}).collect()
+    assert len(whole) == 1

@@ -407,15 +407,25 @@ def with_recipe_features(df: DataFrame) -> DataFrame:
     )
 
 
+def recipe_scope(df: DataFrame) -> DataFrame:
+    """US tests with a valid cast date, missing fly ash taken as none where cement is known."""
+    return zero_fly_ash(df).where(
+        (F.col("ConcreteTestUnitSystem") == S.US_UNIT_SYSTEM) & (F.col("IsValidCastDate") == 1)
+    )
+
+
+def recipe_range_audit(df: DataFrame) -> DataFrame:
+    """Values of each recipe column that the cohort sets to missing, out of the rows in scope."""
+    audit = range_audit(recipe_scope(df), S.RECIPE_RANGES).where(F.col("PresentInInput") == 1)
+    return audit.select(F.col("Column").alias("column"), F.col("ValuesSetToMissing").alias("invalid_replaced"))
+
+
 def recipe_cohort(df: DataFrame) -> DataFrame:
     """Complete recipes of valid US tests with a strength, one row per test.
 
     Of a repeated test the complete row that sorts first over all columns stays.
     """
-    scoped = zero_fly_ash(df).where(
-        (F.col("ConcreteTestUnitSystem") == S.US_UNIT_SYSTEM) & (F.col("IsValidCastDate") == 1)
-    )
-    ranged = with_recipe_features(null_outside(scoped, S.RECIPE_RANGES))
+    ranged = with_recipe_features(null_outside(recipe_scope(df), S.RECIPE_RANGES))
     complete = ranged.dropna(how="any", subset=[*S.RECIPE_CORE, S.TARGET])
     return keep_first(complete, ["testId"], [F.col(c) for c in complete.columns])
 

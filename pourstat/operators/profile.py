@@ -29,6 +29,8 @@ def column_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> D
     per column only sees distinct values.
     """
     columns = list(columns or df.columns)
+    types = dict(df.dtypes)
+    dtype = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
     values = unpivot(df, [], columns, "Column", "Value", "string")
     distinct = values.groupBy("Column", "Value").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("Value").isNotNull()
@@ -44,6 +46,7 @@ def column_missingness(df: DataFrame, columns: Sequence[str] | None = None) -> D
             ),
         )
         .withColumn("MissingPercent", E.percent_even(F.col("MissingCount"), F.col("RowCount")))
+        .withColumn("DType", F.try_element_at(dtype, F.col("Column")))
     )
 
 

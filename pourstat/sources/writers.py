@@ -46,6 +46,21 @@ def save_model(model: PipelineModel, path: str, features: Sequence[str], metadat
     spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
+def keep_best_model(spark: SparkSession, folder: str, metrics: DataFrame, name: str = "best_holdout_model") -> tuple[str, str]:
+    """Copy the best of the saved models to a fixed name; returns its feature set and model name.
+
+    Models lie at ``folder/<FeatureSet>__<Model>``; the lowest MAE wins, then the lowest RMSE,
+    then the names. One row of ``metrics`` reaches the driver.
+    """
+    best = metrics.orderBy("MAE", "RMSE", "FeatureSet", "Model").select("FeatureSet", "Model").first()
+    if best is None:
+        raise ValueError("no model to choose from")
+    model, row = load_model(spark, f"{folder}/{best.FeatureSet}__{best.Model}")
+    metadata = {k: v for k, v in row.items() if k != "features"} | {"feature_set": best.FeatureSet, "model_name": best.Model}
+    save_model(model, f"{folder}/{name}", row["features"].split(","), metadata)
+    return best.FeatureSet, best.Model
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, str]]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/metadata").first().asDict()
 

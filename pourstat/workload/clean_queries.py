@@ -349,6 +349,18 @@ def _(t):
     return C.recipe_summary(t["facts"], C.recipe_cohort(t["facts"]))
 
 
+_AUDIT = {c: r for c, r in S.RECIPE_RANGES.items() if c in {
+    "CalcCementContent_lbs_yd3", "FlyAshContent_lbs_yd3", "calcWCRatio", "SandSSD_lbs_yd3", "AggregateSSD_lbs_yd3", "SandMoisture_percent",
+    "AggregateMoisture_percent", "WaterAdded_gal_per_yd3", S.TARGET, S.REQUIRED, "EffectiveSlump_in", "EffectiveAir_percent"}}
+
+
+@query("grp46_recipe_range_audit", cte("facts") + """, sc AS (SELECT * REPLACE (CASE WHEN CalcCementContent_lbs_yd3 IS NOT NULL AND FlyAshContent_lbs_yd3 IS NULL THEN 0 ELSE FlyAshContent_lbs_yd3 END AS FlyAshContent_lbs_yd3)
+ FROM facts WHERE ConcreteTestUnitSystem = 0 AND IsValidCastDate = 1)""" + " UNION ALL".join(
+    f" SELECT '{c}' AS \"column\", count(*) FILTER ({c} < {lo} OR {c} > {hi}) AS invalid_replaced FROM sc" for c, (lo, hi) in _AUDIT.items()))
+def _(t):
+    return C.recipe_range_audit(t["facts"])
+
+
 # ---------------------------------------------------------------- user filters
 @query("flt14_15_user_filters", cte("facts") + """
 SELECT testId, SupplierName, EffectiveSlump_in FROM facts WHERE lower(trim(SupplierName)) IN ('supplier 1', 'supplier  2') AND CAST(officeId AS STRING) IN ('2', '3', '7')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pourstat import schema as S
@@ -10,7 +12,7 @@ from pourstat.operators import clean as C
 from pourstat.operators import profile as P
 from pourstat.workload.clean_queries import CURING, FIRST, LAST, MARKED, pe
 from pourstat.workload.registry import R, RS, Tables, query, rounded
-from pourstat.workload.standins import cte
+from pourstat.workload.standins import VIEWS, cte
 
 NUMERIC = [S.TARGET, S.REQUIRED, *S.FIELD_FEATURES]
 TEXT = ["SupplierName", "plantNumber", "mixNumber", "InitialCuringConditionRaw"]
@@ -25,7 +27,19 @@ def union(parts) -> str:
     f"""SELECT '{c}' AS "Column", count(*) AS RowCount, count({c}) AS NonMissingCount, count(*) - count({c}) AS MissingCount, count(DISTINCT {c}) AS UniqueNonNullCount,
     count(CASE WHEN try_cast({c} AS DOUBLE) = 0 THEN 1 END) AS ZeroCountNumericInterpretation, {pe(f'count(*) - count({c})', 'count(*)')} AS MissingPercent FROM facts""" for c in MIXED))
 def _(t: Tables):
-    return P.column_missingness(t["facts"], MIXED)
+    return P.column_missingness(t["facts"], MIXED).drop("DType")
+
+
+#: All columns of the facts stand-in; every line of its text ends with one.
+FACT_COLUMNS = re.findall(r"AS (\w+),?$", VIEWS["facts"].split("FROM {orders}")[0].strip(), re.M)
+_DTYPE = "CASE max(typeof({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'DATE' THEN 'date' WHEN 'VARCHAR' THEN 'string' END"
+
+
+@query("grp15_missingness_all_columns", cte("facts") + union(
+    f"""SELECT '{c}' AS "Column", count(*) AS RowCount, count({c}) AS NonMissingCount, count(*) - count({c}) AS MissingCount, count(DISTINCT {c}) AS UniqueNonNullCount,
+    count(CASE WHEN try_cast(CAST({c} AS VARCHAR) AS DOUBLE) = 0 THEN 1 END) AS ZeroCountNumericInterpretation, {pe(f'count(*) - count({c})', 'count(*)')} AS MissingPercent, {_DTYPE.format(c=c)} AS DType FROM facts""" for c in FACT_COLUMNS))
+def _(t: Tables):
+    return P.column_missingness(t["facts"])
 
 
 _Q = {"P01": 0.01, "P05": 0.05, "P25": 0.25, "Median": 0.5, "P75": 0.75, "P95": 0.95, "P99": 0.99}
@@ -55,6 +69,19 @@ def _(t):
     return P.field_profile(t["facts"], [*MIXED, "testId"])
 
 
+_STRINGS = [*TEXT, "SpecifiedBreakAgeIs28", "SpecifiedStrengthMissing"]
+
+
+@query("grp17_field_profile_all_columns", cte("facts") + union(
+    f"""SELECT '{c}' AS "Column", count(*) AS RowCount, count({c}) AS NonNullCount, count(DISTINCT {c}) AS UniqueCount, count(*) - count({c}) AS NullCount,
+    {pe(f'count(*) - count({c})', 'count(*)')} AS NullPercent, {pe(f'count(DISTINCT {c})', f'count({c})')} AS UniquePercentOfNonNull, count({c}) = 0 AS IsAllNull,
+    count(DISTINCT {c}) <= 1 AS IsConstant, count({c}) > 0 AND count(DISTINCT {c}) = count({c}) AS IsLikelyIdentifier,
+    {f'count(DISTINCT {_norm(c)})' if c in _STRINGS else 'CAST(NULL AS BIGINT)'} AS NormalizedUniqueCount,
+    {f'count(DISTINCT {c}) - count(DISTINCT {_norm(c)})' if c in _STRINGS else 'CAST(NULL AS BIGINT)'} AS PotentialFormattingDuplicateCount FROM facts""" for c in FACT_COLUMNS))
+def _(t):
+    return P.field_profile(t["facts"])
+
+
 @query("grp18_category_frequency", cte("facts") + union(
     f"""SELECT '{c}' AS "Column", coalesce({c}, '<missing>') AS "Value", count(*) AS TestCount, {pe('count(*)', '(SELECT count(*) FROM facts)')} AS Percent FROM facts GROUP BY 2""" for c in TEXT))
 def _(t):
@@ -131,6 +158,41 @@ def _(t):
     return df.select("testId", P.ambiguous_zero_count(df).alias("LegacyZeroNAAmbiguityCount"))
 
 
+# All 23 pairs, from the measured values and flags of the test table.
+_AUDITED = cte("concrete_tests") + """, a AS (SELECT *, testbaseId AS testId, waterAdded AS WaterAddedRaw, batchSize AS LoadBatchVolumeRaw, LoadBatchVolumneNA AS LoadBatchVolumeNA, ambientTemp AS AmbientTempRaw FROM concrete_tests)
+, p AS (""" + union(
+    f"SELECT '{label}' AS Field, '{raw}' AS RawColumn, '{na}' AS NAFlagColumn, testId, CAST(year(castDate) AS INT) AS CastYear, {raw} AS r, {na} AS f FROM a" for raw, na, label in S.NA_PAIRS
+) + ")"
+
+
+def audited(t: Tables):
+    named = {"testId": "testbaseId", "WaterAddedRaw": "waterAdded", "LoadBatchVolumeRaw": "batchSize", "LoadBatchVolumeNA": "LoadBatchVolumneNA", "AmbientTempRaw": "ambientTemp"}
+    return t["concrete_tests"].withColumns({n: F.col(c) for n, c in named.items()})
+
+
+@query("grp21_na_audit_all_pairs", _AUDITED + """
+SELECT Field, RawColumn, NAFlagColumn, count(*) AS TotalRows, count(r) AS RawNonMissingCount, count(*) - count(r) AS RawMissingCount, count(f) AS NAFlagPopulatedCount,
+ count(*) - count(f) AS NAFlagNullCount, count(CASE WHEN f = 1 THEN 1 END) AS NAFlagTrueCount, count(CASE WHEN f = 0 THEN 1 END) AS NAFlagFalseCount, count(CASE WHEN r = 0 THEN 1 END) AS RawZeroCount,
+ count(CASE WHEN r = 0 AND f = 1 THEN 1 END) AS ZeroWithNAFlagTrueCount, count(CASE WHEN r = 0 AND f = 0 THEN 1 END) AS ZeroWithNAFlagFalseCount,
+ count(CASE WHEN r = 0 AND f IS NULL THEN 1 END) AS ZeroWithNAFlagNull_AmbiguousCount, count(CASE WHEN r > 0 AND f = 1 THEN 1 END) AS PositiveValueWithNAFlagTrue_ConflictCount,
+ count(CASE WHEN r IS NULL AND f = 0 THEN 1 END) AS MissingRawWithNAFlagFalseCount FROM p GROUP BY 1, 2, 3""")
+def _(t):
+    return P.na_audit(audited(t))
+
+
+@query("grp22_na_audit_by_year_all_pairs", _AUDITED + """
+SELECT Field, CastYear, count(*) AS RowCount, count(r) AS RawPresentCount, count(f) AS NAFlagPresentCount, count(CASE WHEN f = 1 THEN 1 END) AS NAFlagTrueCount,
+ count(CASE WHEN r = 0 THEN 1 END) AS RawZeroCount, count(CASE WHEN r = 0 AND f IS NULL THEN 1 END) AS ZeroWithNAFlagNull_AmbiguousCount FROM p WHERE CastYear IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    return P.na_audit_by_year(audited(t))
+
+
+@query("grp22_row_ambiguity_all_pairs", _AUDITED + " SELECT testId, count(*) FILTER (r = 0 AND f IS NULL) AS LegacyZeroNAAmbiguityCount FROM p GROUP BY 1")
+def _(t):
+    df = audited(t)
+    return df.select("testId", P.ambiguous_zero_count(df).cast("long").alias("LegacyZeroNAAmbiguityCount"))
+
+
 # ---------------------------------------------------------------- curing
 def _has(kind: str, age: int) -> str:
     return f"coalesce({kind}Strength{age}SpecimenCount, 0) > 0"

@@ -78,6 +78,20 @@ def test_model_round_trip(spark, tmp_path, frame):
     assert W.model_parameters({"LinearRegression": lr}).where("Parameter = 'labelCol'").first()["Value"] == "y"
 
 
+def test_best_model_under_a_fixed_name(spark, tmp_path, frame):
+    df = frame([(float(i), 2.0 * i) for i in range(10)], "x double, y double")
+    for k, reg in enumerate((0.0, 5.0)):
+        model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y", regParam=reg)]).fit(df)
+        W.save_model(model, str(tmp_path / f"Day0__M{k}"), ["x"], {"target": "y", "model_name": f"M{k}"})
+    metrics = frame([("Day0", "M1", 5.0, 9.0), ("Day0", "M0", 5.0, 8.0)], "FeatureSet string, Model string, MAE double, RMSE double")
+    assert W.keep_best_model(spark, str(tmp_path), metrics) == ("Day0", "M0")
+    loaded, meta = W.load_model(spark, str(tmp_path / "best_holdout_model"))
+    assert (meta["model_name"], meta["feature_set"], meta["features"], meta["target"]) == ("M0", "Day0", "x", "y")
+    assert loaded.transform(df).first()["prediction"] == pytest.approx(0.0, abs=1e-6)
+    with pytest.raises(ValueError, match="no model"):
+        W.keep_best_model(spark, str(tmp_path), metrics.limit(0))
+
+
 def test_collisions_and_drop_list(frame):
     with pytest.raises(ValueError, match="duplicate"):
         C.assert_no_collisions(frame([(1, 2)], "a int, A_x int"))

@@ -29,6 +29,11 @@ class ExtractOptions:
     first_cast_day: str | None = None
     last_cast_day: str | None = None
 
+    @property
+    def narrow(self) -> bool:
+        """Whether the scope is one office or a stretch of cast days, a small part of all tests."""
+        return self.office_id is not None or self.first_cast_day is not None or self.last_cast_day is not None
+
 
 # --------------------------------------------------------------------------
 # Batch rows
@@ -372,11 +377,16 @@ RENAMES = {
 def build_extract(t: Mapping[str, DataFrame], o: ExtractOptions) -> DataFrame:
     """One row per concrete test in scope, with every derived column."""
     scoped = scope_filter(join_entities(t), o)
-    requirement = requirement_at_28(strength_by_age(t["strength_rows"]))
+    rows = {name: t[name] for name in ("batch_rows", "strength_rows", "specimen_rows")}
+    if o.narrow:
+        # Details of tests outside the scope are dropped before they are rolled up.
+        keys = scoped.select(F.col("ConcreteTestDataId").alias("concreteTestId")).distinct()
+        rows = {name: detail.join(keys, "concreteTestId", "left_semi") for name, detail in rows.items()}
+    requirement = requirement_at_28(strength_by_age(rows["strength_rows"]))
     details = [
-        roll_up_batch(classify_batch_rows(t["batch_rows"])),
+        roll_up_batch(classify_batch_rows(rows["batch_rows"])),
         requirement,
-        summarize_specimens(t["specimen_rows"], requirement),
+        summarize_specimens(rows["specimen_rows"], requirement),
     ]
     # The three joins below need this partitioning; asking for it once also spreads the
     # wide projections when a small detail table turns a join into a broadcast.

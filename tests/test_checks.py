@@ -53,3 +53,17 @@ def test_unseen_categories_use_the_whole_training_side(frame):
     rows = [(50, "train", "a"), (7, "train", "b"), (8, "test", "a"), (9, "test", "b"), (9, "test", "c"), (10, "test", "c")]
     found = unseen_categories(frame(rows, "projectId int, DatasetSplit string, SupplierPlantMixCategory string"))
     assert [r[0] for r in found.collect()] == ["c"]
+
+
+def test_narrow_extract_equals_the_whole_one_filtered(spark):
+    from pourstat.operators import extract as X
+    from pourstat.workload.standins import extract_tables
+
+    t = extract_tables(spark, "/root/testdata/sf0.001")
+    whole = X.build_extract(t, X.ExtractOptions("2001-06-30", first_valid_day="1995-02-01"))
+    narrow = X.build_extract(t, X.ExtractOptions("2001-06-30", first_valid_day="1995-02-01", office_id=3))
+    expected = whole.where("officeId = 3")
+    assert expected.count() == narrow.count() > 0
+    assert expected.exceptAll(narrow).count() == 0 and narrow.columns == whole.columns
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 3

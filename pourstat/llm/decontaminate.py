@@ -155,8 +155,11 @@ def leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str =
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that leak no item, with their own columns."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = keyed(docs, ident, text)
-    found = contaminated(rows.select("_key", text), items, text).select(F.col("key").alias("_leak")).distinct()
-    return rows.join(_near(durable(found)), F.col("_key") == F.col("_leak"), "left_anti").select(*names)
+    """The documents that leak no item, with their own columns, whatever their names.
+
+    NULL and empty texts leak nothing, repeated rows get the same verdict, an empty table stays empty.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = keyed(docs.select(whole, F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("body")), "ident", "body")
+    found = contaminated(rows.select("_key", "body"), items, "body").select(F.col("key").alias("_leak")).distinct()
+    return rows.join(_near(durable(found)), F.col("_key") == F.col("_leak"), "left_anti").select("whole.*")

@@ -275,27 +275,27 @@ def secret_digest(found: DataFrame) -> DataFrame:
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The table with every found span of ``text`` replaced by a mark and ``n_chars`` set anew.
 
-    Overlapping spans are merged. Columns and their order stay as they are; a NULL text
-    stays NULL. The texts are scanned twice, for the threshold and for the spans, because a
+    Overlapping spans are merged. Columns and their order stay as they are, whatever their
+    names; a NULL text stays NULL; an empty table stays empty. The texts are scanned twice, for the threshold and for the spans, because a
     checkpoint of whole texts would cost more disk than the second scan costs time.
     """
     names = df.columns
     learned = learn_limit(durable(scan(df, "text", [])))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     found = with_spans(scan(df.select(row, F.col("text")), "text", ["_row"]), *learned)
-    found = found.select("_row.*", F.col("spans").alias("_spans"))
+    found = found.select("_row", "spans")
+    body, hit = F.col("_row")["text"], F.size("spans") > 0
     # Pieces of text between the furthest end so far and the next start.
     cut = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["stop"] + 1).alias("at"),
-            F.when(s["start"] + 1 >= a["at"], F.concat(a["out"], F.substr(F.col("text"), a["at"], s["start"] + 1 - a["at"]), F.lit(mark)))
+            F.when(s["start"] + 1 >= a["at"], F.concat(a["out"], F.substr(body, a["at"], s["start"] + 1 - a["at"]), F.lit(mark)))
             .otherwise(a["out"]).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"])),
+        lambda a: F.concat(a["out"], F.substr(body, a["at"])),
     )
-    done = found.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*[F.col(f"`{c}`") for c in names])
+    done = found.withColumn("_text", F.when(hit, cut).otherwise(body))
+    changed = {"text": F.col("_text"), "n_chars": F.when(hit, F.length("_text").cast("long")).otherwise(F.col("_row")["n_chars"] if "n_chars" in names else None)}
+    return done.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in names])

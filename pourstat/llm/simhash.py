@@ -208,16 +208,16 @@ def first_of_groups(df: DataFrame, rooted: DataFrame, ident: str) -> DataFrame:
     """The row with the smallest id, then the smallest text hash, of each group, and rows with a NULL id.
 
     ``rooted`` has ``f`` and ``root`` for parts of the groups; ``f`` is the part's smallest ``first_place``.
-    Of rows equal in id and text one stays.
+    Of rows equal in id and text one stays. The row travels as a struct, so its columns may have any names.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     least = rooted.filter("f IS NOT NULL").groupBy("root").agg(F.min("f").alias("f"))
-    chosen = least.select(F.col("f.id").alias("_id"), F.col("f.th").alias("_th"))
-    rows = df.withColumn("_h", text_hash())
-    named = rows.join(chosen, (F.col(f"`{ident}`") == F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    order = Window.partitionBy(ident, "_h").orderBy("_h")
-    once = named.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    return once.select(*names).union(df.filter(F.col(f"`{ident}`").isNull()).select(*names))
+    chosen = least.select(F.col("f.id").alias("first_id"), F.col("f.th").alias("first_th"))
+    rows = df.select(whole.alias("whole"), F.col(f"`{ident}`").alias("id"), text_hash().alias("th"))
+    named = rows.join(chosen, (F.col("id") == F.col("first_id")) & (F.col("th") == F.col("first_th")), "left_semi")
+    order = Window.partitionBy("id", "th").orderBy("th")
+    once = named.withColumn("r", F.row_number().over(order)).filter("r = 1")
+    return once.select("whole.*").union(rows.filter("id IS NULL").select("whole.*"))
 
 
 def keep_representatives(df: DataFrame, ident: str = "doc_id") -> DataFrame:

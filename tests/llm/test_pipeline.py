@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pourstat.llm import jaccard, pieces, quality, secrets, simhash
+from pourstat.llm import jaccard, pieces, quality, secrets
 from pourstat.llm.catalog import PIECE_MODEL
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +17,8 @@ def test_pipeline_matches_brute_force(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     good = {r.doc_id for r in quality.quality(frame).filter("kept").collect()}
-    fps = {i: simhash.fingerprint(docs[i].text) for i in good}
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (docs[i].text or "").encode().lower()) for i in good}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     parent = {i: i for i in good}
 
     def root(x):
@@ -25,7 +28,7 @@ def test_pipeline_matches_brute_force(spark):
 
     for a in good:
         for b in good:
-            if a < b and ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= 4:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     left = {i for i in good if root(i) == i}
@@ -97,3 +100,20 @@ def _groups(n, pairs):
         x, y = label[a], label[b]
         label = [y if p == x else p for p in label]
     return [[k for k in range(n) if label[k] == p] for p in set(label)]
+
+
+CLASHING = ("_h", "_r", "_id", "_th", "_leak", "_key", "_spans", "_row", "_text", "_w", "id", "th", "r", "whole", "spans", "first_id", "body", "ident", "key")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_leave_columns_of_any_name_alone(spark, name, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = docs
+    for k, c in enumerate(CLASHING):
+        wide = wide.withColumn(c, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    plain = {(r.doc_id, r.text) for r in stage(spark, docs, SF).collect()}
+    out = stage(spark, wide, SF)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert {(r.doc_id, r.text) for r in rows} == plain and len(rows) == len(plain)
+    assert all(r[c] == f"{k}-{r.doc_id}" for r in rows for k, c in enumerate(CLASHING))

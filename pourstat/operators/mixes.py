@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,14 +183,94 @@ def round_report(df: DataFrame, exempt: Sequence[str], digits: int = 3) -> DataF
     )
 
 
-def evaluate_history(df: DataFrame, min_project: int = S.MIN_PROJECT_TESTS, min_group: int = S.MIN_GROUP_TESTS) -> DataFrame:
-    """Eligibility, group statistics, peer comparison, review flag and rank."""
-    rows = shared(evaluation_rows(df))
+def evaluate_history(
+    df: DataFrame,
+    min_project: int = S.MIN_PROJECT_TESTS,
+    min_group: int = S.MIN_GROUP_TESTS,
+    filters: HistoryFilters | None = None,
+) -> DataFrame:
+    """Eligibility, group statistics, peer comparison, review flag and rank of the wanted tests."""
+    rows = shared(evaluation_rows(filters.apply(df) if filters else df))
     groups = mix_groups(eligible_rows(rows, project_summary(rows, min_project)))
     compared = with_peer_median(groups.where(F.col("TestCount") >= min_group))
     return round_report(with_review_rank(with_review_flag(compared)), ["officeId", "projectId"])
 
 
+@dataclass(frozen=True)
+class HistoryFilters:
+    """Values a user wants to see; None takes all. Compared as trimmed text in any case."""
+
+    office: Sequence[object] | None = None
+    project: Sequence[object] | None = None
+    supplier: Sequence[object] | None = None
+    plant: Sequence[object] | None = None
+    mix: Sequence[object] | None = None
+
+    def conditions(self) -> dict[str, Column]:
+        """One condition per filter, in the order they are applied."""
+        columns = {"office": "officeId", "project": "projectId", "supplier": "SupplierName", "plant": "plantNumber", "mix": "mixNumber"}
+        out = {}
+        for name, column in columns.items():
+            values = getattr(self, name)
+            wanted = None if values is None else sorted({str(v).strip().lower() for v in values})
+            out[name] = F.lit(True) if wanted is None else E.known_true(F.lower(F.trim(F.col(column).cast("string"))).isin(*wanted))
+        return out
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for condition in self.conditions().values():
+            df = df.where(condition)
+        return df
+
+
+def history_audit(
+    df: DataFrame, filters: HistoryFilters = HistoryFilters(), min_project: int = S.MIN_PROJECT_TESTS, min_group: int = S.MIN_GROUP_TESTS
+) -> DataFrame:
+    """Rows, projects and groups left after every step of the evaluation, and rows per review flag.
+
+    One aggregate over the input for the filters and one short table per later step, as
+    (metric, value) rows.
+    """
+    conditions = filters.conditions()
+    named, kept = {}, F.lit(True)
+    for name, condition in conditions.items():
+        kept = kept & condition
+        named[name] = kept
+    complete = F.lit(True)
+    for c in [*GROUP[:5], S.TARGET, S.REQUIRED]:
+        complete = complete & F.col(c).isNotNull()
+    first = df.agg(
+        F.count(F.lit(1)).alias("input_rows"),
+        E.count_if(named["office"]).alias("rows_after_office_filter"),
+        E.count_if(named["project"]).alias("rows_after_project_filter"),
+        E.count_if(named["mix"]).alias("rows_after_all_user_filters"),
+        E.count_if(named["mix"] & ~complete).alias("rows_missing_identifier_strength_or_spec"),
+    )
+    rows = durable(evaluation_rows(filters.apply(df)))
+    projects = project_summary(rows, min_project)
+    sized = projects.agg(
+        F.coalesce(F.sum("ProjectTestCount"), F.lit(0)).alias("eligible_unique_test_rows"),
+        F.count(F.lit(1)).alias("projects_before_minimum_test_filter"),
+        E.count_if(F.col("EligibleProject")).alias("projects_meeting_minimum_test_count"),
+        F.coalesce(F.sum(F.when(F.col("EligibleProject"), F.col("ProjectTestCount"))), F.lit(0)).alias("rows_in_eligible_projects"),
+    )
+    groups = durable(mix_groups(eligible_rows(rows, projects)))
+    counted = groups.agg(
+        F.count(F.lit(1)).alias("mix_groups_before_minimum_test_filter"),
+        E.count_if(F.col("TestCount") >= min_group).alias("mix_groups_meeting_minimum_test_count"),
+    )
+    flagged = with_review_flag(with_peer_median(groups.where(F.col("TestCount") >= min_group)))
+    flags = flagged.groupBy(F.concat(F.lit("review_flag: "), F.col("ReviewFlag")).alias("metric")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    out = flags
+    for table in (first, sized, counted):
+        out = out.unionByName(metric_rows(table, table.columns))
+    return out.withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def review_candidates(evaluation: DataFrame) -> DataFrame:
+    """Groups that a materials engineer should look at: all but those to monitor."""
+    return evaluation.where(F.col("ReviewFlag").isin(S.FLAG_RISK, S.FLAG_OPTIMIZE, S.FLAG_BENCHMARK))
+
+
 # --------------------------------------------------------------------------
 # Mix review
 # --------------------------------------------------------------------------

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import types as T
-
 # --------------------------------------------------------------------------
 # Extract parameters
 # --------------------------------------------------------------------------
@@ -221,9 +219,6 @@ CONTEXT_CANDIDATES = {
     "Mix": ["MixNumber", "mixNumber", "MixNo", "mixNo"],
     "TestSubtype": ["testSubTypeId", "TestSubTypeId", "testSubtypeId"],
 }
-GROUP_CANDIDATES = ["SplitGroup", "projectId", "projectNo"]
-DAY7_AVERAGE_CANDIDATES = ["AverageActualStrength7_psi", "AverageActualStrength7"]
-DAY7_COUNT_CANDIDATES = ["ActualStrength7SpecimenCount", "StandardCuredStrength7SpecimenCount"]
 
 # Raw value, its not-applicable flag, and the label in the audit
 NA_PAIRS = [
@@ -275,22 +270,6 @@ SPECIMEN_COLUMNS = [
     "DesignStrengthRowCount",
     "calcCompressiveStrength",
 ]
-TEXT_COLUMNS = [
-    "OfficeName",
-    "projectNo",
-    "labNo",
-    "SupplierName",
-    "adMixture",
-    "plantNumber",
-    "mixNumber",
-    "WaterUnits",
-    "ApplicableStrengthType",
-    "initialCuringCondition",
-    "FinalCure",
-    "CloudType",
-    "PrecipitationType",
-    "WindType",
-]
 
 # Columns dropped from the test-level working set
 WORKING_SET_DROPS = [
@@ -382,11 +361,6 @@ class CandidateRule(NamedTuple):
     max_failure_rate: float
 
 
-def specimen_schema() -> T.StructType:
-    """Everything is read as text; typed columns are parsed afterwards."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in SPECIMEN_COLUMNS])
-
-
 # --------------------------------------------------------------------------
 # Comparisons of experiments
 # --------------------------------------------------------------------------

@@ -103,6 +103,37 @@ def _(t):
     return X.evaluate_history(recipe_rows(t), MIN_PROJECT, MIN_GROUP).select(*X.GROUP, "ReviewFlag", "RecommendedAction", "ProjectReviewRank", "TestCount", *_RE)
 
 
+OFFICES = [*range(10), *map(str, range(10, 22)), " 22 ", 23]
+_CHOSEN = "CAST(officeId AS VARCHAR) IN (" + ", ".join(f"'{str(o).strip()}'" for o in OFFICES) + ")"
+_OWN = FLAGGED.replace("FROM recipe WHERE officeId", f"FROM recipe WHERE {_CHOSEN} AND officeId")
+
+
+@query("sel09_review_candidates", _OWN + f" SELECT {_G}, ReviewFlag, ProjectReviewRank, TestCount, {', '.join(f'round_even({c} * 1000, 0) / 1000 AS {c}' for c in _RE)} FROM rk WHERE ReviewPriority < 4")
+def _(t):
+    evaluated = X.evaluate_history(recipe_rows(t), MIN_PROJECT, MIN_GROUP, X.HistoryFilters(office=OFFICES))
+    return X.review_candidates(evaluated).select(*X.GROUP, "ReviewFlag", "ProjectReviewRank", "TestCount", *_RE)
+
+
+_STEPS = {
+    "input_rows": "(SELECT count(*) FROM recipe)",
+    "rows_after_office_filter": f"(SELECT count(*) FROM recipe WHERE {_CHOSEN})",
+    "rows_after_project_filter": f"(SELECT count(*) FROM recipe WHERE {_CHOSEN})",
+    "rows_after_all_user_filters": f"(SELECT count(*) FROM recipe WHERE {_CHOSEN})",
+    "rows_missing_identifier_strength_or_spec": f"(SELECT count(*) FROM recipe WHERE {_CHOSEN} AND (projectId IS NULL OR SupplierName IS NULL OR plantNumber IS NULL OR mixNumber IS NULL OR ApplicableSpecifiedStrength28 IS NULL))",
+    "eligible_unique_test_rows": "(SELECT count(*) FROM er)",
+    "projects_before_minimum_test_filter": "(SELECT count(*) FROM pj)",
+    "projects_meeting_minimum_test_count": f"(SELECT count(*) FROM pj WHERE ProjectTestCount >= {MIN_PROJECT})",
+    "rows_in_eligible_projects": "(SELECT count(*) FROM el)",
+    "mix_groups_before_minimum_test_filter": "(SELECT count(*) FROM gr)",
+    "mix_groups_meeting_minimum_test_count": f"(SELECT count(*) FROM gr WHERE TestCount >= {MIN_GROUP})",
+}
+
+
+@query("sel09_history_audit", _OWN + union(f"SELECT '{n}' AS metric, CAST({q} AS DOUBLE) AS \"value\"" for n, q in _STEPS.items()) + " UNION ALL SELECT 'review_flag: ' || ReviewFlag, CAST(count(*) AS DOUBLE) FROM fl GROUP BY 1")
+def _(t):
+    return X.history_audit(recipe_rows(t), X.HistoryFilters(office=OFFICES), MIN_PROJECT, MIN_GROUP)
+
+
 # ---------------------------------------------------------------- mix review
 RULE = S.CandidateRule(min_tests=8, min_mean_margin=0.0, min_p05_margin=-3500.0, max_failure_rate=60.0)
 

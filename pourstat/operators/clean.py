@@ -250,23 +250,19 @@ def mark_candidates(df: DataFrame, first_day: str, last_day: str, unit_system: i
 # --------------------------------------------------------------------------
 # Suspicious values
 # --------------------------------------------------------------------------
-SUSPICIOUS_FLAGS = [
-    "NonPositive28DayStrength",
-    "NonPositiveRequiredStrength",
-    "NegativeSlump",
-    "NegativeSpread",
-    "NegativeAir",
-    "NonPositiveUnitWeight",
-    "NegativeWaterAddedPerVolume",
-    "NonPositiveLoadBatchVolume",
-    "BatchToSampleOver24Hours",
-    "BatchToCastOver24Hours",
-    "Extreme28DayStrength_IQRReview",
-]
+SUSPICIOUS_FLAGS = S.SUSPICIOUS_FLAGS
+
+
+SUSPICIOUS_COLUMNS = [
+    S.TARGET, S.REQUIRED, "EffectiveSlump_in", "EffectiveSpread_in", "EffectiveAir_percent", "EffectiveUnitWeight_lb_ft3",
+    "WaterAdded_gal_per_yd3", "LoadBatchVolumeRaw", "BatchToSampleMinutes", "BatchToCastMinutes",
+]
 
 
 def suspicious_flags(df: DataFrame) -> DataFrame:
-    """Ten value rules and a 3-IQR fence on strength (from 8 values on)."""
+    """Ten value rules and a 3-IQR fence on strength (from 8 values on). An absent column counts as missing."""
+    absent = {c: F.lit(None).cast("double") for c in SUSPICIOUS_COLUMNS if c not in df.columns}
+    df = df.withColumns(absent)
     quartiles = selected_quantiles(df, [], S.TARGET, {"q1": 0.25, "q3": 0.75})
     counted = df.agg(F.count(S.TARGET).alias("n"))
     fence = F.struct("q1", "q3")
@@ -289,7 +285,8 @@ def suspicious_flags(df: DataFrame) -> DataFrame:
     ]
     df = df.withColumns({n: E.flag(r) for n, r in zip(SUSPICIOUS_FLAGS, rules)}).drop("_fence", "_n")
     df = df.withColumn("SuspiciousValueFlagCount", sum((F.col(n) for n in SUSPICIOUS_FLAGS), F.lit(0)))
-    return df.withColumn("HasSuspiciousValue", E.flag(F.col("SuspiciousValueFlagCount") > 0))
+    df = df.withColumn("HasSuspiciousValue", E.flag(F.col("SuspiciousValueFlagCount") > 0))
+    return df.drop(*absent)
 
 
 # Review limits of a recipe

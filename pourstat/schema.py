@@ -395,3 +395,18 @@ R2_STEPS = [
         "D_05B_resplit_complete_rows_batch_only",
     ),
 ]
+
+# Names of the value checks, in the order of their rules
+SUSPICIOUS_FLAGS = [
+    "NonPositive28DayStrength",
+    "NonPositiveRequiredStrength",
+    "NegativeSlump",
+    "NegativeSpread",
+    "NegativeAir",
+    "NonPositiveUnitWeight",
+    "NegativeWaterAddedPerVolume",
+    "NonPositiveLoadBatchVolume",
+    "BatchToSampleOver24Hours",
+    "BatchToCastOver24Hours",
+    "Extreme28DayStrength_IQRReview",
+]

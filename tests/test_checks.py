@@ -67,3 +67,14 @@ def test_narrow_extract_equals_the_whole_one_filtered(spark):
     assert expected.exceptAll(narrow).count() == 0 and narrow.columns == whole.columns
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 3
+
+
+def test_suspicious_flags_without_some_columns(spark):
+    facts = view(spark, SF, "facts")
+    lost = ["EffectiveSpread_in", "LoadBatchVolumeRaw", "BatchToCastMinutes"]
+    whole, part = C.suspicious_flags(facts), C.suspicious_flags(facts.drop(*lost))
+    assert not set(lost) & set(part.columns)
+    same = [n for n in C.SUSPICIOUS_FLAGS if n not in ("NegativeSpread", "NonPositiveLoadBatchVolume", "BatchToCastOver24Hours")]
+    assert sorted(map(tuple, whole.select("testId", *same).collect())) == sorted(map(tuple, part.select("testId", *same).collect()))
+    gone = part.agg(*[F.sum(n).alias(n) for n in C.SUSPICIOUS_FLAGS if n not in same]).first()
+    assert set(gone) == {0}

@@ -222,3 +222,25 @@ def test_fold_summary(rows):
             assert r[f"{side}Rows"] == len(part) and r[f"{side}ProjectGroups"] == len({x.SplitGroup for x in part})
             assert r[f"{side}TargetMean"] == pytest.approx(np.mean(y)) and r[f"{side}TargetStd"] == pytest.approx(np.std(y, ddof=1))
         assert r.TrainTargetMedian == pytest.approx(np.median([x[S.TARGET] for x in train]))
+
+
+def test_encodings_are_worked_out_once_per_combination(rows, monkeypatch):
+    seen = []
+    cells = N.with_context_cells
+    monkeypatch.setattr(N, "with_context_cells", lambda df, *rest: seen.append(df) or cells(df, *rest))
+    alike = rows.withColumns({c: F.lit("A") for c in N.CONTEXT})
+    f = G.pack(alike, {"Context": SETS["Context"]})
+    assert [df.count() for df in seen] == [rows.select("Fold", "InnerFolds").distinct().count()]
+    assert f.rows.count() < 500 and f.rows.agg(F.sum(F.size("_id"))).first()[0] == 500  # passes read blocks, not rows
+
+
+def test_values_counted_in_tasks_give_the_medians(rows, monkeypatch):
+    monkeypatch.setattr(G, "HELD_VALUES", 16)
+    monkeypatch.setattr(G, "BLOCK_ROWS", 7)
+    f = G.pack(rows, {"Plain": PLAIN})
+    data = rows.collect()
+    for o in range(1, 6):
+        for k, c in enumerate(PLAIN):
+            assert f.medians[o - 1, k] == pytest.approx(np.median([r[c] for r in data if r.Fold != o and r[c] is not None]))
+    counts = G._value_counts(f).groupBy("Column").agg(F.sum("_rows").alias("n")).collect()
+    assert {r.Column: r.n for r in counts} == {0: 500} | {k + 1: sum(r[c] is not None for r in data) for k, c in enumerate(PLAIN)}

@@ -46,8 +46,12 @@ def merge_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], re
 
 
 def keep_best_models(predictions: DataFrame, best: DataFrame) -> DataFrame:
-    """Predictions of the best model of each feature set."""
-    return predictions.join(best.select("FeatureSet", "Model"), ["FeatureSet", "Model"], "left_semi")
+    """Predictions of the best model of each feature set.
+
+    A feature set and a model are all of a join key, so a shuffle would send every prediction
+    to a handful of tasks. The best models are one row per feature set and go to the rows.
+    """
+    return predictions.join(F.broadcast(best.select("FeatureSet", "Model")), ["FeatureSet", "Model"], "left_semi")
 
 
 def assert_models_present(predictions: DataFrame, best: DataFrame) -> None:
@@ -62,11 +66,23 @@ def align_predictions(regression: DataFrame, classification: DataFrame) -> DataF
     """Both out-of-fold tables on (Fold, FeatureSet, testId) with the predicted margin.
 
     The join is one to one: a test that a side has twice would be judged twice, so it raises.
+    Rows of both sides meet in one aggregate by key, which also counts them; a window and a join
+    would sort each side twice. A NULL in the key matches nothing.
     """
     keys = ["Fold", "FeatureSet", "testId"]
-    side = classification.select(*keys, M.FAILED, M.SCORE)
-    joined = unique_or_raise(regression.drop(M.FAILED, M.SCORE), keys).join(unique_or_raise(side, keys), keys)
-    return joined.withColumn("PredictedMargin_psi", F.col(M.PREDICTED) - F.col("RequiredStrength28_psi"))
+    left = regression.drop(M.FAILED, M.SCORE)
+    right = classification.select(*keys, M.FAILED, M.SCORE)
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    here = {c: F.col("_left") for c in left.columns if c not in keys} | {c: ~F.col("_left") for c in (M.FAILED, M.SCORE)}
+    met = both.groupBy(*keys).agg(
+        E.count_if(F.col("_left")).alias("_lefts"),
+        E.count_if(~F.col("_left")).alias("_rights"),
+        *[F.first(F.when(side, F.col(c)), ignorenulls=True).alias(c) for c, side in here.items()],
+    )
+    wrong = F.raise_error(F.lit(f"key {keys} is not unique"))
+    known = F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull() & F.col(keys[2]).isNotNull()
+    pair = F.when((F.col("_lefts") > 1) | (F.col("_rights") > 1), wrong).otherwise((F.col("_lefts") == 1) & (F.col("_rights") == 1) & known)
+    return met.where(pair).drop("_lefts", "_rights").withColumn("PredictedMargin_psi", F.col(M.PREDICTED) - F.col("RequiredStrength28_psi"))
 
 
 # --------------------------------------------------------------------------

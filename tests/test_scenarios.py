@@ -168,3 +168,31 @@ def test_aligned_predictions_need_unique_keys(frame):
         D.align_predictions(regression, one.unionByName(one)).collect()
     with pytest.raises(Exception, match="not unique"):
         D.align_predictions(regression.unionByName(regression), one).collect()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_models_go_to_the_predictions(spark, frame):
+    ddl = "FeatureSet string, Model string, v int"
+    predictions = frame([("a", "A", 1), ("a", "B", 2), ("b", "A", 3), (None, "A", 4)], ddl)
+    best = frame([("a", "B"), ("b", "A")], "FeatureSet string, Model string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = D.keep_best_models(predictions, best)
+        assert {r.v for r in kept.collect()} == {2, 3}
+        assert "hashpartitioning" not in _plan(kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_alignment_sorts_nothing_and_matches_no_null_key(frame):
+    ddl = "Fold int, FeatureSet string, testId bigint, PredictedStrength28_psi double, RequiredStrength28_psi double, ActualFailureFlag int, FailureProbability double"
+    regression = frame([(1, "f", 1, 5.0, 4.0, 9, 9.0), (1, "f", 2, 3.0, None, 9, 9.0), (1, "f", None, 3.0, 4.0, 9, 9.0), (1, "f", 3, 3.0, 4.0, 9, 9.0)], ddl)
+    classification = frame([(1, "f", 1, 0.0, 0.0, 1, 0.5), (1, "f", 2, 0.0, 0.0, None, None), (1, "f", None, 0.0, 0.0, 1, 0.5), (2, "f", 3, 0.0, 0.0, 1, 0.5)], ddl)
+    out = D.align_predictions(regression, classification)
+    assert out.columns == [*regression.columns, "PredictedMargin_psi"]
+    assert sorted(out.collect()) == [(1, "f", 1, 5.0, 4.0, 1, 0.5, 1.0), (1, "f", 2, 3.0, None, None, None, None)]
+    assert "Sort" not in _plan(out) and "Window" not in _plan(out)

@@ -332,7 +332,11 @@ def common_rows(predictions: DataFrame, variant: str, on: Sequence[str], key: st
 
 
 def experiment_results(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Error metrics and the distribution of the target per experiment."""
+    """Error metrics and the distribution of the target per experiment.
+
+    Six passes read the predictions, so they are kept, with no more than the columns of the metrics.
+    """
+    predictions = shared(predictions.select(*keys, M.ACTUAL, M.PREDICTED))
     target = {"TargetP01": 0.01, "TargetP50": 0.5, "TargetP99": 0.99}
     summary = predictions.groupBy(*keys).agg(
         F.avg(M.ACTUAL).alias("TargetMean"), F.stddev_pop(M.ACTUAL).alias("TargetStd"), F.min(M.ACTUAL).alias("TargetMin"), F.max(M.ACTUAL).alias("TargetMax")

@@ -586,10 +586,12 @@ def _(t):
     complete = F.lit(True)
     for c in _COMPLETE:
         complete = complete & F.col(c).isNotNull()
-    flags = grouped(t).select("testId", "SplitGroup", complete.alias("_complete"))
+    # Buckets are worked out once per test, not once per prediction and experiment.
+    seeds = {seed: L.percent_bucket("SplitGroup", seed).alias(f"_bucket{seed}") for _, seed, _ in _EXPERIMENTS.values()}
+    flags = grouped(t).select("testId", complete.alias("_complete"), *seeds.values())
     rows = t["predictions"].join(flags, "testId")
     named = [
-        F.when((F.col("FeatureSet") == f) & (L.percent_bucket("SplitGroup", seed) < 20) & (F.col("_complete") if whole else F.lit(True)), F.lit(n))
+        F.when((F.col("FeatureSet") == f) & (F.col(f"_bucket{seed}") < 20) & (F.col("_complete") if whole else F.lit(True)), F.lit(n))
         for n, (f, seed, whole) in _EXPERIMENTS.items()
     ]
     rows = rows.withColumn("Experiment", F.explode(F.array_compact(F.array(*named))))

@@ -196,3 +196,19 @@ def test_alignment_sorts_nothing_and_matches_no_null_key(frame):
     assert out.columns == [*regression.columns, "PredictedMargin_psi"]
     assert sorted(out.collect()) == [(1, "f", 1, 5.0, 4.0, 1, 0.5, 1.0), (1, "f", 2, 3.0, None, None, None, None)]
     assert "Sort" not in _plan(out) and "Window" not in _plan(out)
+
+
+def test_experiment_metrics_read_the_predictions_once(spark, frame):
+    rows = [("a", float(k), float(k + k % 3), "not needed") for k in range(50)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ddl = "e string, ActualStrength28_psi double, PredictedStrength28_psi double, other string"
+    predictions = frame(rows, ddl).mapInArrow(count, ddl)
+    (got,) = D.experiment_results(predictions, ["e"]).collect()
+    assert (got.RowCount, got.TargetP50, got.MAE) == (50, 24.5, 0.98)
+    assert seen.value == 50

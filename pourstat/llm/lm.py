@@ -37,6 +37,8 @@ SHARD = 1_500_000
 #: Words a Python worker remembers.
 CACHE = 250_000
 LEVELS = 1 << 16
+#: Frequent tokens that travel as two-byte codes instead of eight-byte hashes.
+COMMON = 1 << 16
 
 
 class Totals(NamedTuple):
@@ -44,6 +46,7 @@ class Totals(NamedTuple):
     types: int  # V, distinct training tokens with the end
     texts: int  # training texts
     hot: dict[int, int]  # counts of hot tokens
+    common: np.ndarray  # sorted numbers of the most frequent tokens
 
 
 class Words:
@@ -78,7 +81,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_totals(rows: DataFrame, folder: str) -> Totals:
-    """Unigram totals over all training rows (``train`` true); at most 1 / HOT counts reach the driver."""
+    """Unigram totals over all training rows (``train`` true); at most 1 / HOT counts and ``COMMON`` tokens reach the driver."""
     counts = stored(
         rows.filter("train").select("text").mapInArrow(_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")),
         folder, "unigrams",
@@ -86,7 +89,8 @@ def learn_totals(rows: DataFrame, folder: str) -> Totals:
     sums = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(F.when(F.col("token") == END, F.col("n"))).alias("texts")).first()
     tokens = sums["tokens"] or 0
     hot = counts.filter(F.col("n") > max(tokens * HOT, 1)).collect()
-    return Totals(tokens, sums["types"], sums["texts"] or 0, {r["token"] % (1 << 64): r["n"] for r in hot})
+    common = counts.orderBy(F.desc("n"), "token").select("token").limit(COMMON).toArrow()["token"].to_numpy().view(np.uint64)
+    return Totals(tokens, sums["types"], sums["texts"] or 0, {r["token"] % (1 << 64): r["n"] for r in hot}, np.sort(common))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,6 +109,24 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted whole numbers as narrow differences; ``np.cumsum`` restores them."""
+    return _narrow(np.diff(x.astype(np.int64), prepend=0))
+
+
+def _slim(tokens: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct tokens as steps between places among the common ones, and the others."""
+    at = np.searchsorted(common, tokens)
+    there = at < len(common)
+    there[there] = common[at[there]] == tokens[there]
+    return [_steps(at[there]), tokens[~there]]
+
+
+def _whole(steps: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The tokens that ``_slim`` packed."""
+    return np.sort(np.concatenate([common[np.cumsum(steps, dtype=np.int64)], others]))
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *[v for a in arrays for v in (a.dtype.num, len(a))]], np.int64)
     return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[a.tobytes() for a in arrays]]))
@@ -130,7 +152,7 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _parcels(chunk: int, ids: list[int | None], train: list[bool], texts: list[np.ndarray], hot: np.ndarray, shards: int) -> pa.RecordBatch:
+def _parcels(chunk: int, ids: list[int | None], train: list[bool], texts: list[np.ndarray], hot: np.ndarray, shards: int, common: np.ndarray) -> pa.RecordBatch:
     """A packed row per shard: the tokens of a chunk of texts with context and text, sorted by token.
 
     One more row carries the ids of the chunk's texts past the shards.
@@ -153,7 +175,8 @@ def _parcels(chunk: int, ids: list[int | None], train: list[bool], texts: list[n
         here, local = np.unique(owner[a:b], return_inverse=True)
         names, count = np.unique(token[a:b], return_counts=True)
         contexts, code = np.unique(context[a:b], return_inverse=True)
-        rows.append((k, chunk, None, pack([_narrow(here), fit[here], names, _narrow(count), contexts, _narrow(code), _narrow(local)])))
+        parts = [_steps(here), fit[here], *_slim(names, common), _narrow(count), *_slim(contexts, common), _narrow(code), _narrow(local)]
+        rows.append((k, chunk, None, pack(parts)))
     return _rows(["shard", "chunk", "ids", "blob"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()], rows)
 
 
@@ -221,9 +244,15 @@ class Trie:
         os.remove(self.path)
 
 
+def _opened(blob: bytes, common: np.ndarray) -> list[np.ndarray]:
+    """Texts, their role, tokens, counts, contexts, and per occurrence the places of context and text."""
+    here, fit, name_steps, names, count, context_steps, contexts, code, local = unpack(blob)
+    return [np.cumsum(here, dtype=np.int64), fit, _whole(name_steps, names, common), count, _whole(context_steps, contexts, common), code, local]
+
+
 def score_shard(blobs: list[bytes], total: Totals) -> list[bytes]:
     """For each packed row of a shard its texts' partial sums: text, tokens, known tokens, base and model score."""
-    parcels = [unpack(b) for b in blobs]
+    parcels = [_opened(b, total.common) for b in blobs]
     names = np.unique(np.concatenate([p[2] for p in parcels]))
     contexts = np.unique(np.concatenate([p[4] for p in parcels]))
     # Pairs are numbered by token and context within the shard; only these numbers are sorted.
@@ -255,10 +284,12 @@ def score_shard(blobs: list[bytes], total: Totals) -> list[bytes]:
         mine = pair[at : at + len(local)]
         at += len(local)
         n = len(here)
+        # Most texts have one token of a small shard, so few base scores differ.
+        bases, base_code = np.unique(np.bincount(local, weights=base[node[mine]], minlength=n), return_inverse=True)
         out.append(
             pack([
-                here, _narrow(np.bincount(local, minlength=n)), _narrow(np.bincount(local, weights=known[node[mine]], minlength=n)),
-                np.bincount(local, weights=base[node[mine]], minlength=n), np.bincount(local, weights=value[mine], minlength=n).astype(np.float32),
+                _steps(here), _narrow(np.bincount(local, minlength=n)), _narrow(np.bincount(local, weights=known[node[mine]], minlength=n)),
+                bases, _narrow(base_code), np.bincount(local, weights=value[mine], minlength=n).astype(np.float32),
             ])
         )
     return out
@@ -274,8 +305,9 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def whole(ids: list, blobs: list[bytes]) -> pa.RecordBatch:
         sums = [np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))]
         for blob in blobs:
-            here, *parts = unpack(blob)
-            for total, part in zip(sums, parts):
+            steps, n, known, bases, base_code, value = unpack(blob)
+            here = np.cumsum(steps, dtype=np.int64)
+            for total, part in zip(sums, (n, known, bases[base_code], value)):
                 total[here] += part.astype(total.dtype)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]
@@ -326,11 +358,11 @@ def score_texts(df: DataFrame, train, ident: str = "doc_id", text: str = "text")
                 texts.append(words.of(t))
                 size += len(texts[-1])
                 if size >= CHUNK:
-                    yield _parcels(chunk, ids, fit, texts, hot, shards)
+                    yield _parcels(chunk, ids, fit, texts, hot, shards, total.common)
                     chunk += 1
                     ids, fit, texts, size = [], [], [], 0
         if ids:
-            yield _parcels(chunk, ids, fit, texts, hot, shards)
+            yield _parcels(chunk, ids, fit, texts, hot, shards, total.common)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["chunk", "ids", "blob"], [pa.int64(), pa.list_(pa.int64()), pa.binary()]

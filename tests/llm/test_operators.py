@@ -294,6 +294,19 @@ def test_lm_scores(docs, empty):
     assert lm.scores_of_documents(empty).count() == 0
 
 
+def test_lm_parcels_carry_frequent_tokens_as_codes():
+    rng = np.random.default_rng(4)
+    common = np.unique(rng.integers(2, 1 << 63, 5000, dtype=np.uint64))
+    others = rng.integers(2, 1 << 63, 40, dtype=np.uint64)
+    for tokens in (common[::7], np.unique(np.concatenate([common[:900], others, [lm.END, lm.BEGIN]]).astype(np.uint64)), others[:0]):
+        for known in (common, common[:0]):
+            assert (lm._whole(*lm._slim(tokens, known), known) == tokens).all()
+    texts = [rng.choice(common, 300) for _ in range(50)]
+    hot = np.zeros(0, np.uint64)
+    size = [sum(len(b) for b in lm._parcels(0, list(range(50)), [True] * 50, texts, hot, 40, k).column(3).to_pylist() if b) for k in (common, common[:0])]
+    assert size[0] < 0.6 * size[1]
+
+
 def test_secret_patterns():
     spans = secrets.known_spans('API_KEY: "abcdefghijkl" token=short passwd="x.y/z+1234567" AKIA0123456789ABCD aKIA 00ff00ff00ff00ff ſecret=abcdefghijklmn')
     text = 'API_KEY: "abcdefghijkl" token=short passwd="x.y/z+1234567" AKIA0123456789ABCD aKIA 00ff00ff00ff00ff ſecret=abcdefghijklmn'

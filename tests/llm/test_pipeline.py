@@ -1,13 +1,15 @@
 """The pipeline against its stages applied by hand."""
 
+import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pourstat.llm import jaccard, pieces, quality, secrets
+from pourstat.llm import jaccard, pieces, quality, secrets, simhash
 from pourstat.llm.catalog import PIECE_MODEL
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +88,21 @@ def test_near_duplicates_reach_the_threshold(spark, monkeypatch):
         assert all(r.doc_id == min(ids[k] for k, p in enumerate(parent) if p == parent[rows.index(r.text)]) for r in got)
 
 
+def test_texts_are_told_apart_by_their_whole_digest(spark):
+    texts = ["a b", "", None, "A b", "äß"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", simhash.text_hash().alias("th")).collect()
+    assert {r.text: bytes(r.th) for r in rows} == {t: hashlib.sha256((t or "").encode()).digest() for t in texts}
+
+
+def test_a_place_shared_by_other_content_brings_no_set():
+    here, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    number = jaccard.set_number(jaccard.shingle_set(here, {}))
+    batch = pa.RecordBatch.from_arrays([pa.array([number, number]), pa.array([other, here])], names=["e", "text"])
+    (out,) = jaccard._set_rows(iter([batch]))
+    assert out.column(0).to_pylist() == [number]
+    assert out.column(1)[0].as_py() == jaccard.shingle_set(here, {}).view(np.int64).tolist()
+
+
 def test_set_links():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(40)] + [np.arange(k, k + 50) for k in (0, 2, 4, 200)]

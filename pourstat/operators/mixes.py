@@ -39,13 +39,17 @@ RECIPE_MEANS = {
 }
 
 
+def evaluation_columns() -> list[str]:
+    return ["testId", *GROUP, S.TARGET, *RECIPE_MEANS.values()]
+
+
 def evaluation_rows(df: DataFrame) -> DataFrame:
     """Identified tests with strength and requirement, one row per test, with margin.
 
     Only the columns of the evaluation are kept, because the rows are shared between
     branches and a persisted frame is not pruned any further.
     """
-    narrow = df.select("testId", *GROUP, S.TARGET, *RECIPE_MEANS.values())
+    narrow = df.select(*evaluation_columns())
     valid = narrow.dropna(how="any", subset=[*GROUP[:5], S.TARGET, S.REQUIRED])
     first = keep_first(valid, ["testId"], [F.col(c) for c in (*GROUP, S.TARGET)])
     margin = F.col(S.TARGET) - F.col(S.REQUIRED)
@@ -53,14 +57,25 @@ def evaluation_rows(df: DataFrame) -> DataFrame:
 
 
 def project_summary(rows: DataFrame, min_tests: int = S.MIN_PROJECT_TESTS) -> DataFrame:
-    """Size and failure rate per project, and whether it is large enough."""
-    out = rows.groupBy("officeId", "projectId").agg(
-        F.count_distinct("testId").alias("ProjectTestCount"),
+    """Size and failure rate per project, and whether it is large enough.
+
+    Rows are one per test, as ``evaluation_rows`` leaves them. They are combined per supplier, plant
+    and mix in the tasks first; distinct names are counted on that short table, not on the rows.
+    """
+    project = ["officeId", "projectId"]
+    combined = rows.groupBy(*project, "SupplierName", "plantNumber", "mixNumber").agg(
+        F.count("testId").alias("_tests"),
+        F.sum(S.TARGET).alias("_sum"),
+        F.count(S.TARGET).alias("_known"),
+        F.sum("StrengthFailure").alias("_failed"),
+    )
+    out = combined.groupBy(*project).agg(
+        F.sum("_tests").alias("ProjectTestCount"),
         F.count_distinct("SupplierName").alias("SupplierCount"),
         F.count_distinct("plantNumber").alias("PlantCount"),
         F.count_distinct("mixNumber").alias("MixCount"),
-        F.avg(S.TARGET).alias(S.TARGET),
-        F.sum("StrengthFailure").alias("FailureCount"),
+        E.safe_div(F.sum("_sum"), F.sum("_known")).alias(S.TARGET),
+        F.sum("_failed").alias("FailureCount"),
     )
     return out.withColumns(
         {
@@ -76,10 +91,10 @@ def eligible_rows(rows: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def mix_groups(rows: DataFrame) -> DataFrame:
-    """Strength, margin, failure and recipe statistics per mix group of a project."""
+    """Strength, margin, failure and recipe statistics per mix group of a project; rows are one per test."""
     rows = shared(rows)
     grouped = rows.groupBy(*GROUP).agg(
-        F.count_distinct("testId").alias("TestCount"),
+        F.count("testId").alias("TestCount"),
         F.avg(S.TARGET).alias("AverageActualStrength28_psi"),
         F.stddev_samp(S.TARGET).alias("StrengthStdDev_psi"),
         F.sum("StrengthFailure").alias("FailureCount"),
@@ -228,8 +243,9 @@ def history_audit(
     """Rows, projects and groups left after every step of the evaluation, and rows per review flag.
 
     One aggregate over the input for the filters and one short table per later step, as
-    (metric, value) rows.
+    (metric, value) rows. The columns of the evaluation are kept, so the input is worked out once.
     """
+    df = shared(df.select(*evaluation_columns()))
     conditions = filters.conditions()
     named, kept = {}, F.lit(True)
     for name, condition in conditions.items():
@@ -246,7 +262,7 @@ def history_audit(
         E.count_if(named["mix"] & ~complete).alias("rows_missing_identifier_strength_or_spec"),
     )
     rows = durable(evaluation_rows(filters.apply(df)))
-    projects = project_summary(rows, min_project)
+    projects = durable(project_summary(rows, min_project))
     sized = projects.agg(
         F.coalesce(F.sum("ProjectTestCount"), F.lit(0)).alias("eligible_unique_test_rows"),
         F.count(F.lit(1)).alias("projects_before_minimum_test_filter"),

@@ -104,16 +104,18 @@ def mix_groups(rows: DataFrame) -> DataFrame:
         F.count("EffectiveSlump_in").alias("SlumpMeasurementCount"),
         F.count("EffectiveAir_percent").alias("AirMeasurementCount"),
     )
-    grouped = with_quantiles(
+    # The requirement is part of the key, so margins rank like strengths and are not ranked again.
+    # An endless requirement leaves the same margin for every strength.
+    strength, required = F.col(S.TARGET).cast("double"), F.col(S.REQUIRED).cast("double")
+    margin = F.when(F.abs(required) < float("inf"), strength - required).otherwise(-required)
+    quantiles = exact_quantiles(
         rows,
-        grouped,
         GROUP,
-        {
-            S.TARGET: {"MedianActualStrength28_psi": 0.5},
-            "StrengthMargin_psi": {"MedianSpecMargin_psi": 0.5, "P10SpecMargin_psi": 0.1},
-        },
+        S.TARGET,
+        {"MedianActualStrength28_psi": 0.5},
+        {"MedianSpecMargin_psi": (margin, 0.5), "P10SpecMargin_psi": (margin, 0.1)},
     )
-    return grouped.withColumns(
+    return grouped.join(quantiles, GROUP, "left").withColumns(
         {
             "StrengthCV_percent": E.safe_div(F.col("StrengthStdDev_psi") * 100.0, "AverageActualStrength28_psi"),
             "FailureRate_percent": E.safe_div(F.col("FailureCount") * 100.0, "TestCount"),

@@ -101,22 +101,30 @@ def running_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    along: Mapping[str, tuple[Column, float]] | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key."""
+    """Exact quantiles with linear interpolation, one row per key.
+
+    ``along`` maps further names to (expression, probability). The expressions are of the value and
+    the keys and never fall as the value grows, so the ranks of the value are theirs too.
+    """
     ranks = running_sums(df, keys, value, {"_n": F.lit(1)})
     before, upto, total = F.col("_n_upto") - F.col("_n"), F.col("_n_upto"), F.col("_n_total")
     v = F.col(value).cast("double")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((before <= rank) & (rank < upto), v))
+    def at(rank: Column, expression: Column) -> Column:
+        return F.max(F.when((before <= rank) & (rank < upto), expression))
 
     aggs, outs = [], []
-    for name, p in probs.items():
+    for name, (expression, p) in ({n: (v, p) for n, p in probs.items()} | dict(along or {})).items():
         position = F.lit(float(p)) * (total - 1)
         aggs += [
-            at(F.floor(position)).alias(f"_{name}_lo"),
-            at(F.ceil(position)).alias(f"_{name}_hi"),
+            at(F.floor(position), expression).alias(f"_{name}_lo"),
+            at(F.ceil(position), expression).alias(f"_{name}_hi"),
             F.max(position - F.floor(position)).alias(f"_{name}_part"),
         ]
         low = F.col(f"_{name}_lo")

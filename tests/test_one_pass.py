@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
 
 from pourstat import schema as S
 from pourstat.operators import mixes as H
@@ -42,3 +44,17 @@ def test_distinct_names_are_counted_on_combinations(spark):
     found = {r["projectId"]: (r["ProjectTestCount"], r["SupplierCount"], r["PlantCount"], r["MixCount"], r["EligibleProject"]) for r in summary.collect()}
     assert found == {0: (20, 3, 1, 1, True), 1: (20, 3, 1, 1, True)}
     assert "testId" not in "".join(re.findall(r"Expand.*", plan(summary)))
+
+
+def test_margins_share_the_ranks_of_strengths(spark):
+    rows = H.evaluation_rows(history(spark))
+    groups = H.mix_groups(rows)
+    assert "unpivot" not in plan(groups, "analyzed").lower() and "Expand" not in plan(groups)
+    wanted = {
+        tuple(r[c] for c in H.GROUP): (r["n"], r["p50"], r["p10"])
+        for r in rows.groupBy(*H.GROUP).agg(F.count("testId").alias("n"), F.percentile("StrengthMargin_psi", 0.5).alias("p50"), F.percentile("StrengthMargin_psi", 0.1).alias("p10")).collect()
+    }
+    for r in groups.collect():
+        n, p50, p10 = wanted.pop(tuple(r[c] for c in H.GROUP))
+        assert r["TestCount"] == n and r["MedianSpecMargin_psi"] == pytest.approx(p50) and r["P10SpecMargin_psi"] == pytest.approx(p10)
+    assert not wanted

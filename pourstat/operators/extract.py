@@ -171,18 +171,18 @@ def summarize_specimens(specimens: DataFrame, requirement: DataFrame) -> DataFra
 # Joins
 # --------------------------------------------------------------------------
 def join_entities(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Office, project, sample, test and concrete test in one row."""
+    """Office, project, sample, test and concrete test in one row.
+
+    Tests find their office in narrow rows; the wide concrete tests take part in one join only.
+    """
     offices = t["offices"].withColumnRenamed("name", "OfficeName")
     samples = t["samples"].withColumnRenamed("id", "SampleId")
     tests = t["tests"].select("testId", F.col("sampleId").alias("SampleId"))
-    concrete = t["concrete_tests"].withColumnRenamed("id", "ConcreteTestDataId")
-    return (
-        concrete.withColumnRenamed("testbaseId", "testId")
-        .join(tests, "testId")
-        .join(samples, "SampleId")
-        .join(t["projects"], "projectId")
-        .join(offices, "officeId")
-    )
+    concrete = t["concrete_tests"].withColumnsRenamed({"id": "ConcreteTestDataId", "testbaseId": "testId"})
+    chain = tests.join(samples, "SampleId").join(t["projects"], "projectId").join(offices, "officeId")
+    keys = ["officeId", "projectId", "SampleId", "testId"]
+    measured, named = ([c for c in side.columns if c not in keys] for side in (concrete, chain))
+    return concrete.join(chain, "testId").select(*keys, *measured, *named)
 
 
 def join_lookups(df: DataFrame, lookup: DataFrame, outputs: Mapping[str, str], locale: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pourstat import schema as S
+from pourstat.operators import extract as X
 from pourstat.operators import mixes as H
 
 
@@ -58,3 +59,25 @@ def test_margins_share_the_ranks_of_strengths(spark):
         n, p50, p10 = wanted.pop(tuple(r[c] for c in H.GROUP))
         assert r["TestCount"] == n and r["MedianSpecMargin_psi"] == pytest.approx(p50) and r["P10SpecMargin_psi"] == pytest.approx(p10)
     assert not wanted
+
+
+def test_wide_concrete_tests_take_part_in_one_join(frame):
+    t = {
+        "offices": frame([(1, "north")], "officeId int, name string"),
+        "projects": frame([(5, "P-5", 1), (6, "P-6", None)], "projectId int, projectNo string, officeId int"),
+        "samples": frame([(10, "L10", 5), (11, "L11", 6), (None, "L", 5)], "id int, labNo string, projectId int"),
+        "tests": frame([(100, 10), (100, 10), (101, 11), (102, None)], "testId int, sampleId int"),
+        "concrete_tests": frame([(1, 100, "a"), (1, 100, "b"), (None, 100, "c"), (2, 101, "d"), (3, 102, "e"), (4, None, "f")], "id int, testbaseId int, wide string"),
+    }
+    df = X.join_entities(t)
+    assert df.columns == ["officeId", "projectId", "SampleId", "testId", "ConcreteTestDataId", "wide", "labNo", "projectNo", "OfficeName"]
+    assert sorted(r["wide"] for r in df.collect()) == ["a", "a", "b", "b", "c", "c"]
+    lines = plan(df).splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    at = max(i for i, line in enumerate(lines) if "wide#" in line)
+    above, joins = depth[at], 0
+    for i in range(at, -1, -1):
+        if depth[i] < above:
+            above = depth[i]
+            joins += "Join" in lines[i]
+    assert joins == 1

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pourstat import schema as S
+from pourstat.operators import clean as C
 from pourstat.operators import extract as X
 from pourstat.operators import mixes as H
 
@@ -81,3 +82,11 @@ def test_wide_concrete_tests_take_part_in_one_join(frame):
             above = depth[i]
             joins += "Join" in lines[i]
     assert joins == 1
+
+
+def test_specimens_are_not_buffered_in_an_aggregate(frame):
+    rows = [(1, "a", 10.0, 28), (1, "a", 12.0, 28), (1, "b", 14.0, 27), (1, None, 20.0, None), (2, None, 5.0, 28), (None, "z", 1.0, 1), (None, "z", 3.0, 1)]
+    out = C.strength_target(frame(rows, "testId int, SpecimenRowId string, calcCompressiveStrength double, ActualAgeDays int"))
+    found = {r["testId"]: (r["StandardCuredSpecimenCount28"], r["UniqueStandardCuredSpecimenCount28"], r["AverageActualStrength28_psi"]) for r in out.collect()}
+    assert found == {1: (4, 2, 14.0), 2: (1, 0, 5.0), None: (2, 1, 2.0)}
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*SpecimenRowId", plan(out, "sparkPlan"))

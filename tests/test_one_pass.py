@@ -9,6 +9,7 @@ from pourstat import schema as S
 from pourstat.operators import clean as C
 from pourstat.operators import extract as X
 from pourstat.operators import mixes as H
+from pourstat.operators import models as L
 
 
 def plan(df, kind="optimizedPlan"):
@@ -90,3 +91,13 @@ def test_specimens_are_not_buffered_in_an_aggregate(frame):
     found = {r["testId"]: (r["StandardCuredSpecimenCount28"], r["UniqueStandardCuredSpecimenCount28"], r["AverageActualStrength28_psi"]) for r in out.collect()}
     assert found == {1: (4, 2, 14.0), 2: (1, 0, 5.0), None: (2, 1, 2.0)}
     assert not re.search(r"Aggregate\(keys=\[[^\]]*SpecimenRowId", plan(out, "sparkPlan"))
+
+
+def test_test_rows_are_read_once_for_all_models(frame):
+    rows = [(i, "test" if i % 4 == 0 else "train", float(i % 7), float(i % 5), 3000.0 + 10 * (i % 7)) for i in range(80)]
+    df = frame(rows, "testId int, Role string, x double, z double, y double")
+    specs = {n: s for n, s in L.regressors(L.Size(trees=2, rounds=2, depth=2)).items() if n in ("DummyMean", "Ridge", "RandomForest")}
+    out = L.evaluate_split(df, {"f": ["x", "z"]}, specs, "y", ["testId"])
+    assert out.columns == ["testId", "FeatureSet", "Model", "ActualStrength28_psi", "PredictedStrength28_psi"]
+    assert out.count() == 60 and out.groupBy("testId").count().where("count != 3").isEmpty()
+    assert "Union" not in plan(out)

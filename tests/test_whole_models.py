@@ -23,3 +23,31 @@ def test_holdout_regression_has_whole_ensembles(spark, frames, monkeypatch):
     specs = REGISTRY["mod06_07_10_holdout_regression"].run(spark, "")
     forest, boosting = (specs[m].build(100, 1.0) for m in ("RandomForest", "GradientBoosting"))
     assert (forest.getNumTrees(), forest.getMaxDepth(), boosting.getMaxIter()) == (300, 12, 300)
+
+
+def _passed(monkeypatch, module, name, answer):
+    """Parameters of a call, defaults included."""
+    import inspect
+
+    real, seen = getattr(module, name), {}
+
+    def stub(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return answer
+
+    monkeypatch.setattr(module, name, stub)
+    return seen
+
+
+class _Scores:
+    def withColumnRenamed(self, *a):
+        return self
+
+
+def test_holdout_boosting_has_all_rounds(spark, frames, monkeypatch):
+    monkeypatch.setattr(Q.L, "holdout_rows", lambda *a: None)
+    seen = _passed(monkeypatch, Q.B, "boost", (_Scores(), None, None))
+    REGISTRY["mod07_10_holdout_boosting"].run(spark, "")
+    assert seen["params"] == B.BoostParams(rounds=300, rate=0.05, leaves=31) and len(seen["feature_sets"]) == 4

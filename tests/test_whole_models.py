@@ -51,3 +51,10 @@ def test_holdout_boosting_has_all_rounds(spark, frames, monkeypatch):
     seen = _passed(monkeypatch, Q.B, "boost", (_Scores(), None, None))
     REGISTRY["mod07_10_holdout_boosting"].run(spark, "")
     assert seen["params"] == B.BoostParams(rounds=300, rate=0.05, leaves=31) and len(seen["feature_sets"]) == 4
+
+
+def test_surrogates_have_all_rounds_and_trees(spark, frames, monkeypatch):
+    seen = _passed(monkeypatch, Q.U, "train", (None, None))
+    REGISTRY["mod12_mix_surrogates"].run(spark, "")
+    assert seen["boosting"] == B.BoostParams(rounds=300, rate=0.06) and seen["forest"] == B.ForestParams(trees=300, depth=12)
+    assert seen["targets"] == U.TARGETS

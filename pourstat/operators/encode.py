@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pourstat import schema as S
 from pourstat.functions import exprs as E
 from pourstat.operators.order_stats import join_on, selected_quantiles, unpivot
+from pourstat.session import stored
 
 CONTEXT = [
     "SupplierCategory",
@@ -134,12 +135,13 @@ def with_encodings(
     """Adds columns made from ``_cells``, the fold and the inner folds, and ``_prior`` where given.
 
     Rows alike in categories and folds have the same encodings, so these are worked out once
-    per combination and joined to the rows.
+    per combination and joined to the rows. The combinations are stored first: where they are
+    few, the join then leaves the rows in place.
     """
     keys = [*columns, fold, inner]
     made = with_context_cells(df.select(*keys).distinct(), columns, cube)
     made = (made if prior is None else made.withColumn("_prior", prior)).withColumns(dict(new)).select(*keys, *new)
-    return join_on(df.drop(*new), made, keys, "left", null_safe=True)
+    return join_on(df.drop(*new), stored(made), keys, "left", null_safe=True)
 
 
 def fold_priors(cube: DataFrame, column: str) -> dict[int, float]:

@@ -34,7 +34,7 @@ from pourstat.operators import encode as N
 from pourstat.operators import metrics as M
 from pourstat.operators.order_stats import leave_out_quantiles
 from pourstat.operators.splits import group_folds
-from pourstat.session import durable, ship_package
+from pourstat.session import durable, ship_package, stored
 
 PARTS = ("TargetMean", "LogCount", "Unknown")
 #: Partial sums that go to the driver at most; beyond it tasks add them up first.
@@ -48,7 +48,8 @@ class Frame:
 
     A row of ``rows`` is one block. Lists hold its _id, _fold, _y, _label (0/1), ``_required``
     and extra columns; _x (plain features, NaN where missing) and _context (per outer fold the
-    encoded columns, empty without context) are the bytes of matrices, which tasks read in place.
+    encoded columns of every label, empty without context) are the bytes of matrices, which tasks
+    read in place.
     """
 
     rows: DataFrame
@@ -62,6 +63,14 @@ class Frame:
     shift_context: np.ndarray
     tasks: int = 1  # partitions of the rows
     extra: tuple[str, ...] = ()  # columns that predictions carry along
+    labels: tuple[str, ...] = ()  # context is encoded with the means of each
+    label: int = 0  # the one whose encodings are read
+    shifts_context: tuple[np.ndarray, ...] = ()  # by label
+
+    def encoded_by(self, label: str) -> Frame:
+        """The same frame with the encodings of another of its labels."""
+        k = self.labels.index(label)
+        return replace(self, label=k, shift_context=self.shifts_context[k])
 
     @property
     def width(self) -> int:
@@ -83,15 +92,17 @@ def pack(
     rows: DataFrame,
     feature_sets: Mapping[str, Sequence[str]],
     folds: int = 5,
-    label: str = S.TARGET,
+    label: str | Sequence[str] = S.TARGET,
     fold: str = "Fold",
     inner: str = "InnerFolds",
     ident: str = "testId",
     extra: Sequence[str] = (),
 ) -> Frame:
     """The model frame of rows that carry ``Fold`` and ``InnerFolds`` and, where a feature set
-    asks for it, context categories. Context is encoded with the mean of ``label``.
+    asks for it, context categories. Context is encoded with the mean of ``label``; of several
+    labels the frame has the encodings of each and starts with the first.
     """
+    labels = (label,) if isinstance(label, str) else tuple(label)
     ship_package(rows.sparkSession)
     context = tuple(f"{c}_{p}" for c in N.CONTEXT for p in PARTS)
     named = list(dict.fromkeys(c for f in feature_sets.values() for c in f))
@@ -104,45 +115,58 @@ def pack(
         F.col(ident).alias("_id"),
         F.col(fold).alias("Fold"),
         F.col(inner).alias("InnerFolds"),
-        F.array(*[F.col(c).cast("double") for c in plain]).alias("_x"),
+        *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(plain)],
         F.col(S.TARGET).cast("double").alias("_y"),
         F.col(S.FAILURE).cast("int").alias("_label"),
         F.col(S.REQUIRED).cast("double").alias("_required"),
-        F.col(label).cast("double").alias("_encoded"),
+        *[F.col(c).cast("double").alias(f"_encoded{k}") for k, c in enumerate(labels)],
         *([F.col(c) for c in N.CONTEXT] if used else []),
         *[F.col(c).alias(f"_extra_{c}") for c in extra],
     )
-    narrow = durable(narrow)
-    shift_context = np.zeros(len(used))
+    narrow = stored(narrow)
+    shifts = tuple(np.zeros(len(used)) for _ in labels)
+    context_column = F.lit(None).cast("array<array<double>>")
     if used:
-        cube = durable(N.context_cube(narrow, N.CONTEXT, "_encoded"))
-        priors = N.fold_priors(cube, N.CONTEXT[0])
-        shift_context[:: len(PARTS)] = np.mean(list(priors.values()))
-        new = {"_context": N.grid_encodings(N.CONTEXT, priors)}
-        narrow = N.with_encodings(narrow, N.CONTEXT, cube, new, "Fold", "InnerFolds").drop(*N.CONTEXT)
-    else:
-        narrow = narrow.withColumn("_context", F.lit(None).cast("array<array<double>>"))
-    packed = durable(_blocks(narrow.withColumnRenamed("Fold", "_fold").drop("InnerFolds", "_encoded")))
+        made = []
+        for k, shift in enumerate(shifts):
+            cube = durable(N.context_cube(narrow, N.CONTEXT, f"_encoded{k}"))
+            priors = N.fold_priors(cube, N.CONTEXT[0])
+            shift[:: len(PARTS)] = np.mean(list(priors.values()))
+            made.append((cube, {f"_context{k}": N.grid_encodings(N.CONTEXT, priors)}))
+        for cube, new in made:
+            narrow = N.with_encodings(narrow, N.CONTEXT, cube, new, "Fold", "InnerFolds")
+        context_column = F.col("_context0")
+        for k in range(1, len(labels)):
+            context_column = F.zip_with(context_column, F.col(f"_context{k}"), lambda a, b: F.concat(a, b))
+    heads = ["_id", F.col("Fold").alias("_fold"), "_y", "_label", "_required", *[f"_extra_{c}" for c in extra]]
+    packed = durable(_blocks(narrow.select(*heads, *[f"_x{k}" for k in range(len(plain))], context_column.alias("_context")), len(plain)))
     nothing = np.full((folds, len(plain)), np.nan)
     tasks = packed.rdd.getNumPartitions()
-    f = Frame(packed, plain, used, folds, nothing, nothing[:, 0], np.zeros(len(plain)), 0.0, shift_context, tasks, tuple(extra))
+    f = Frame(
+        packed, plain, used, folds, nothing, nothing[:, 0], np.zeros(len(plain)), 0.0, shifts[0], tasks, tuple(extra), labels, 0, shifts
+    )
     sums = add_up(f, lambda b: {"s": np.nansum(b.values, axis=0), "n": (~np.isnan(b.values)).sum(axis=0).astype(float)})
-    shifts = sums["s"] / np.maximum(sums["n"], 1.0) if sums else np.zeros(1 + len(plain))
-    medians = leave_out_quantiles(_value_counts(f), ["Column"], "_fold", "Value", {"m": 0.5}, "_rows")
+    means = sums["s"] / np.maximum(sums["n"], 1.0) if sums else np.zeros(1 + len(plain))
+    medians = leave_out_quantiles(stored(_value_counts(f)), ["Column"], "_fold", "Value", {"m": 0.5}, "_rows")
     table = np.full((folds, 1 + len(plain)), np.nan)
     for r in medians.where(F.col("_fold") <= folds).collect():  # folds x features numbers
         table[r["_fold"] - 1, r["Column"]] = r["m"]
-    return replace(f, medians=table[:, 1:], median_target=table[:, 0], shift=shifts[1:], shift_y=float(shifts[0]))
+    return replace(f, medians=table[:, 1:], median_target=table[:, 0], shift=means[1:], shift_y=float(means[0]))
 
 
 def pack_holdout(
-    rows: DataFrame, feature_sets: Mapping[str, Sequence[str]], label: str = S.TARGET, group: str = "SplitGroup", inner: int = 5, extra: Sequence[str] = ()
+    rows: DataFrame,
+    feature_sets: Mapping[str, Sequence[str]],
+    label: str | Sequence[str] = S.TARGET,
+    group: str = "SplitGroup",
+    inner: int = 5,
+    extra: Sequence[str] = (),
 ) -> Frame:
     """The model frame of rows that carry ``Role``: one outer fold that holds the test rows.
 
     Context of the training rows is encoded over folds of their own groups.
     """
-    within = group_folds(rows.where(F.col("Role") == "train"), group, inner, "_within")
+    within = stored(group_folds(rows.where(F.col("Role") == "train"), group, inner, "_within"))
     train = F.col("Role") == "train"
     placed = rows.join(within, group, "left").withColumns(
         {"_outer": F.when(train, F.lit(2)).otherwise(F.lit(1)), "_inners": F.array(F.when(train, F.col("_within")))}
@@ -175,34 +199,38 @@ BLOCK_ROWS = 2048
 HELD_VALUES = 1 << 16
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of the rows, see ``Frame``."""
-    lists = [c for c in rows.columns if c not in ("_x", "_context")]
+def _blocks(rows: DataFrame, plain: int) -> DataFrame:
+    """Blocks of the rows, see ``Frame``; plain features are the columns ``_x0``, ``_x1`` and so on."""
+    values = [f"_x{k}" for k in range(plain)]
+    lists = [c for c in rows.columns if c not in (*values, "_context")]
     types = {r.name: r.dataType.simpleString() for r in rows.schema}
 
-    def matrix(column: pa.Array) -> bytes:
+    def numbers(column: pa.Array) -> np.ndarray:
         while pa.types.is_list(column.type):
             column = column.flatten()
-        return column.to_numpy(zero_copy_only=False).astype(float).tobytes()
+        return column.to_numpy(zero_copy_only=False).astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(start, BLOCK_ROWS)
                 held = [pa.ListArray.from_arrays([0, part.num_rows], pa.concat_arrays([part.column(c)])) for c in lists]
-                bytes_ = [pa.array([matrix(part.column(c))], pa.binary()) for c in ("_x", "_context")]
+                x = np.column_stack([numbers(part.column(c)) for c in values]) if values else np.zeros((part.num_rows, 0))
+                bytes_ = [pa.array([v.tobytes()], pa.binary()) for v in (x, numbers(part.column("_context")))]
                 yield pa.RecordBatch.from_arrays([*held, *bytes_], [*lists, "_x", "_context"])
 
     ddl = ", ".join(f"`{c}` array<{types[c]}>" for c in lists)
-    return rows.select(*lists, "_x", "_context").mapInArrow(run, f"{ddl}, _x binary, _context binary")
+    return rows.mapInArrow(run, f"{ddl}, _x binary, _context binary")
 
 
 def _read(batch: pa.RecordBatch, f: Frame) -> Iterator[Block]:
-    """The blocks of a batch."""
+    """The blocks of a batch, with the encodings of the frame's label."""
+    q = len(f.context)
     for k in range(batch.num_rows):
         fold, y, label = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("_fold", "_y", "_label"))
         x, context = (np.frombuffer(batch.column(c)[k].as_buffer() or b"", float) for c in ("_x", "_context"))
-        yield Block(fold, y, label, x.reshape(len(fold), len(f.plain)), context.reshape(len(fold), f.folds if f.context else 0, len(f.context)))
+        context = context.reshape(len(fold), f.folds if q else 0, q * len(f.labels))[:, :, f.label * q : (f.label + 1) * q]
+        yield Block(fold, y, label, x.reshape(len(fold), len(f.plain)), context)
 
 
 def _batch_arrays(b: Block, f: Frame) -> tuple[np.ndarray, ...]:
@@ -466,8 +494,10 @@ class _Cell:
 
     design: Design
     beta: np.ndarray  # weights, then the constant
+    flat: float  # loss of the zero weights
     last: np.ndarray | None = None
     loss: float = math.inf
+    move: float = math.inf
     done: bool = False
 
 
@@ -483,7 +513,8 @@ def fit_logistic(
 
     One pass adds up loss, gradient and Hessian of all fits that have not converged. A step
     that raises a loss is halved. ``penalty`` acts on half the squared weights, not on the
-    constant, next to the sum of weighted losses.
+    constant, next to the sum of weighted losses. Fits start from the linear discriminant, which
+    the cross-products give without a pass, or from zero where that has the lower loss.
     """
     moments = moments or training_moments(f)
     w, light = f.width, _light(f)
@@ -500,7 +531,7 @@ def fit_logistic(
         weights[o] = (own.rows / (2 * zeros), own.rows / (2 * ones))
         for name, features in feature_sets.items():
             d = design(f, own, o, features)
-            cells[name, o] = _Cell(d, np.zeros(d.transform.shape[1] + 1))
+            cells[name, o] = _Cell(d, _discriminant(f, own, d, ones, zeros, penalty), own.rows * math.log(2.0))
     for _ in range(steps):
         active = {k: c for k, c in cells.items() if not c.done}
         if not active:
@@ -511,21 +542,37 @@ def fit_logistic(
             key, size = f"{name}|{o}|", len(c.beta)
             inner = penalty * np.append(np.ones(size - 1), 0.0)
             loss = float(sums[key + "loss"][0] + 0.5 * (inner * c.beta**2).sum())
+            if c.last is None and not loss <= c.flat * (1 + 1e-9):
+                c.beta = np.zeros(size)
+                continue
             if c.last is not None and loss > c.loss * (1 + 1e-12):
-                c.beta = (c.beta + c.last) / 2
+                c.beta, c.move = (c.beta + c.last) / 2, math.inf
                 c.done = np.abs(c.beta - c.last).max() < tolerance
                 continue
             gradient = sums[key + "gradient"] + inner * c.beta
             hessian = sums[key + "hessian"].reshape(size, size) + np.diag(inner)
             move = np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0]
             c.last, c.loss, c.beta = c.beta, loss, c.beta - move
-            c.done = np.abs(move).max() < tolerance
+            # Steps shrink as their squares near the end: the next one is foreseen, with a hundredfold margin.
+            largest, before = float(np.abs(move).max()), c.move
+            c.move = largest
+            c.done = largest < tolerance or (largest < 0.05 * before < math.inf and 100 * largest**3 < tolerance * before**2)
     for (name, o), c in cells.items():
         d = c.design
         out.append(Linear(name, "LogisticRegression", o, float(c.beta[-1] - d.centre @ c.beta[:-1]), d.transform @ c.beta[:-1]))
     return out
 
 
+def _discriminant(f: Frame, own: Moments, d: Design, ones: float, zeros: float, penalty: float) -> np.ndarray:
+    """Weights and constant of the linear discriminant between both classes, which count alike."""
+    w, n = f.width, own.rows
+    of_ones = own.total[1 : 1 + w, 2 + w] @ d.transform - ones * d.centre  # standardised columns add up to zero
+    one, zero = of_ones / ones, -of_ones / zeros
+    within = (_centred(f, own, d)[0] - ones * np.outer(one, one) - zeros * np.outer(zero, zero) + penalty * np.eye(len(one))) / n
+    weights = np.linalg.lstsq(within, one - zero, rcond=1e-9)[0]
+    return np.append(weights, -weights @ (one + zero) / 2)
+
+
 def _logit(share: float) -> float:
     if share <= 0.0 or share >= 1.0:
         return math.copysign(math.inf, share - 0.5)

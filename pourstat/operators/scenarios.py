@@ -7,7 +7,7 @@ tests without a seven-day strength.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from pourstat.operators import metrics as M
 from pourstat.operators import models as L
 from pourstat.operators import splits as P
 from pourstat.operators.clean import with_day7
-from pourstat.session import durable
+from pourstat.session import durable, stored
 
 UNSEEN = ("UnseenSupplier", "UnseenSupplierPlantMix")
 
@@ -54,9 +54,9 @@ def labelled_rows(facts: DataFrame) -> DataFrame:
 
 
 def scenario_rows(facts: DataFrame) -> DataFrame:
-    """The columns of labelled rows that roles, stages and models use, checkpointed: every scenario, stage and task reads them."""
+    """The columns of labelled rows that roles, stages and models use, stored: every scenario, stage and task reads them."""
     names = [*S.DAY0_FEATURES, *S.DAY7_FEATURES, S.TARGET, S.REQUIRED, S.FAILURE, "testId", "castDate", "SplitGroup", *N.CONTEXT]
-    return durable(labelled_rows(facts).select(*dict.fromkeys(names)))
+    return stored(labelled_rows(facts).select(*dict.fromkeys(names)))
 
 
 def external_roles(rows: DataFrame, train_until: int, first: int, last: int) -> DataFrame:
@@ -92,14 +92,28 @@ def split_summary(rows: DataFrame, roles: DataFrame, scenario: str) -> DataFrame
     return out.withColumns({"RowsExcludedForMissingContext": excluded, "Scenario": F.lit(scenario)})
 
 
-def _holdout(rows: DataFrame, stage: Stage, classify: bool, keep: Sequence[str], boosting: B.BoostParams | None) -> DataFrame:
-    rows = rows.where(F.col("Day7AverageStrength_psi") > 0) if stage.needs_day7 else rows
+def _of_stage(rows: DataFrame, stage: Stage) -> DataFrame:
+    return rows.where(F.col("Day7AverageStrength_psi") > 0) if stage.needs_day7 else rows
+
+
+def frames(rows: DataFrame, keep: Sequence[str] = (), of: Sequence[Stage] | None = None) -> dict[str, G.Frame]:
+    """The model frame of every stage with the encodings of both tasks, which ``evaluate`` then shares."""
+    return {
+        stage.name: G.pack_holdout(_of_stage(rows, stage), {stage.name: list(stage.features)}, (S.TARGET, S.FAILURE), extra=keep)
+        for stage in of or stages()
+    }
+
+
+def _holdout(
+    rows: DataFrame, stage: Stage, classify: bool, keep: Sequence[str], boosting: B.BoostParams | None, packed: G.Frame | None
+) -> DataFrame:
+    rows = _of_stage(rows, stage)
     sets = {stage.name: list(stage.features)}
-    f = G.pack_holdout(rows, sets, label=S.FAILURE if classify else S.TARGET, extra=keep)
+    label = S.FAILURE if classify else S.TARGET
+    f = G.pack_holdout(rows, sets, label=label, extra=keep) if packed is None else packed.encoded_by(label)
     models = G.fit_logistic(f, sets) if classify else G.fit_regressions(f, sets, {"Ridge": G.RIDGE_PENALTY})
     out = G.predict(f, models, classify).drop("Fold")
     if boosting is not None:
-        label = S.FAILURE if classify else S.TARGET
         encoded = durable(L.holdout_rows(rows, sets, label, keep))
         weighted = N.class_weights(encoded.where("Role = 'train'"), label).select("testId", "ClassWeight") if classify else None
         if weighted is not None:
@@ -117,16 +131,22 @@ def _holdout(rows: DataFrame, stage: Stage, classify: bool, keep: Sequence[str],
 
 
 def evaluate(
-    rows: DataFrame, classify: bool, keep: Sequence[str] = (), boosting: B.BoostParams | None = None, of: Sequence[Stage] | None = None
+    rows: DataFrame,
+    classify: bool,
+    keep: Sequence[str] = (),
+    boosting: B.BoostParams | None = None,
+    of: Sequence[Stage] | None = None,
+    packed: Mapping[str, G.Frame] | None = None,
 ) -> DataFrame:
     """Test predictions of all stages and models for rows that carry ``Role``.
 
     Regression has the mean, the median and ridge, classification the prior and balanced
-    logistic regression; with ``boosting`` both have leaf-wise boosting too.
+    logistic regression; with ``boosting`` both have leaf-wise boosting too. ``packed`` has the
+    ``frames`` of the same rows, columns and stages where both tasks are evaluated.
     """
     out: DataFrame | None = None
     for stage in of or stages():
-        part = _holdout(rows, stage, classify, keep, boosting)
+        part = _holdout(rows, stage, classify, keep, boosting, packed[stage.name] if packed else None)
         out = part if out is None else out.unionByName(part)
     return out
 

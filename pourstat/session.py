@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing Parquet below the checkpoint folder and reading it back.
+
+    Later passes read only the columns they use, and a short table is known to be short when
+    joins are planned. Columns must have types and names that Parquet takes.
+    """
+    path = os.path.join(checkpoint_folder(df.sparkSession), f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Keep a result on the executors because several branches of one job read it.
 

@@ -20,7 +20,7 @@ from pourstat.operators import scenarios as V
 from pourstat.operators import splits as P
 from pourstat.operators import surrogates as U
 from pourstat.operators.order_stats import leave_out_quantiles, unpivot
-from pourstat.session import durable
+from pourstat.session import durable, stored
 from pourstat.workload.model_queries import CONTEXT, GROUP_SQL, bucket
 from pourstat.workload.registry import R, Tables, query, rounded
 from pourstat.workload.standins import cte
@@ -232,9 +232,9 @@ def external(t: Tables):
 
 def both_tasks(rows, keys, keep):
     """Metrics of both tasks in one long table: (task, keys, metric, value)."""
-    out = None
+    out, packed = None, V.frames(rows, keep)
     for classify in (False, True):
-        predictions = durable(V.evaluate(rows, classify, keep))  # every kind of metric reads them
+        predictions = stored(V.evaluate(rows, classify, keep, packed=packed))  # every kind of metric reads them
         table = V.metrics(predictions, classify, keys)
         values = [c for c in table.columns if c not in keys]
         part = unpivot(table, keys, values, "Metric", "Value").withColumn("Task", F.lit("Classification" if classify else "Regression"))

@@ -244,3 +244,30 @@ def test_values_counted_in_tasks_give_the_medians(rows, monkeypatch):
             assert f.medians[o - 1, k] == pytest.approx(np.median([r[c] for r in data if r.Fold != o and r[c] is not None]))
     counts = G._value_counts(f).groupBy("Column").agg(F.sum("_rows").alias("n")).collect()
     assert {r.Column: r.n for r in counts} == {0: 500} | {k + 1: sum(r[c] is not None for r in data) for k, c in enumerate(PLAIN)}
+
+
+def test_one_frame_has_the_encodings_of_both_labels(rows):
+    sets = {"Context": SETS["Context"]}
+    both = G.pack(rows, sets, label=(S.TARGET, S.FAILURE))
+    for label in (S.TARGET, S.FAILURE):
+        alone, shared = (G.training_moments(f) for f in (G.pack(rows, sets, label=label), both.encoded_by(label)))
+        for o in alone:
+            assert np.allclose(alone[o].total, shared[o].total, rtol=1e-9, atol=1e-6)
+
+
+def test_logistic_starts_from_the_discriminant(rows, monkeypatch):
+    sets = {"Context": SETS["Context"]}
+    f = G.pack(rows, sets, label=S.FAILURE)
+    moments, add_up, passes = G.training_moments(f), G.add_up, []
+    monkeypatch.setattr(G, "add_up", lambda *a: passes.append(1) or add_up(*a))
+    weights = {}
+    start = G._discriminant
+    for name, begin in (("far", lambda *a: start(*a) + 40.0), ("zero", lambda *a: start(*a) * 0.0), ("near", start)):
+        monkeypatch.setattr(G, "_discriminant", begin)
+        passes.clear()
+        weights[name] = [m for m in G.fit_logistic(f, sets, moments=moments) if m.model == "LogisticRegression"]
+        weights[f"{name} passes"] = len(passes)
+    for a, b, c in zip(weights["near"], weights["zero"], weights["far"]):
+        for other in (b, c):
+            assert np.allclose(a.weights, other.weights, rtol=1e-6, atol=1e-7) and a.constant == pytest.approx(other.constant, rel=1e-6, abs=1e-6)
+    assert weights["near passes"] < weights["zero passes"] < weights["far passes"]

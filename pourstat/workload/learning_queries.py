@@ -262,10 +262,10 @@ def _(t):
 
 # Which rows every stage and task is judged on, and what the baselines say there.
 def _baselines(t, roles, keep):
-    out = None
+    out, packed = None, V.frames(roles, keep)
     for classify in (False, True):
         value = M.SCORE if classify else M.PREDICTED
-        part = V.evaluate(roles, classify, keep).where(F.col("Model").startswith("Dummy")).select(
+        part = V.evaluate(roles, classify, keep, packed=packed).where(F.col("Model").startswith("Dummy")).select(
             "Stage", "Model", "testId", *keep, F.col(M.FAILED if classify else M.ACTUAL).cast("double").alias("Actual"), F.col(value).alias("Predicted")
         )
         out = part if out is None else out.unionByName(part)

@@ -32,3 +32,8 @@ def packs(spark, monkeypatch):
 def test_unseen_groups_pack_once_for_both_tasks(spark, packs):
     tasks = {r.Task for r in REGISTRY["mod11_unseen_groups"].run(spark, "").collect()}
     assert tasks == {"Regression", "Classification"} and packs == list(Q.V.UNSEEN)
+
+
+def test_external_baselines_pack_once_for_both_tasks(spark, packs):
+    rows = REGISTRY["mod11_external_baselines"].run(spark, "").collect()
+    assert {r.Model for r in rows} == {"DummyMean", "DummyPrior"} and packs == ["external"]

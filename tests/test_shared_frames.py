@@ -37,3 +37,9 @@ def test_unseen_groups_pack_once_for_both_tasks(spark, packs):
 def test_external_baselines_pack_once_for_both_tasks(spark, packs):
     rows = REGISTRY["mod11_external_baselines"].run(spark, "").collect()
     assert {r.Model for r in rows} == {"DummyMean", "DummyPrior"} and packs == ["external"]
+
+
+def test_unseen_baselines_pack_once_for_both_tasks(spark, packs):
+    rows = REGISTRY["mod11_unseen_baselines"].run(spark, "").collect()
+    assert {(r.Model, r.Scenario) for r in rows} == {(m, s) for m in ("DummyMean", "DummyPrior") for s in Q.V.UNSEEN}
+    assert packs == list(Q.V.UNSEEN)

@@ -146,7 +146,8 @@ def _(t):
 
 @query("mod04_09_regression_cross_validation")
 def _(t):
-    return M.regression_metrics(G.cross_validate_linear(rows(t), L.four_feature_sets()), ["FeatureSet", "Model", "Fold"])
+    out = G.cross_validate_linear(rows(t), L.four_feature_sets()).select("FeatureSet", "Model", "Fold", M.ACTUAL, M.PREDICTED)
+    return M.regression_metrics(stored(out), ["FeatureSet", "Model", "Fold"])  # every step of the metrics reads them
 
 
 @query("mod05_09_risk_cross_validation")

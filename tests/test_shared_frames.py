@@ -43,3 +43,12 @@ def test_unseen_baselines_pack_once_for_both_tasks(spark, packs):
     rows = REGISTRY["mod11_unseen_baselines"].run(spark, "").collect()
     assert {(r.Model, r.Scenario) for r in rows} == {(m, s) for m in ("DummyMean", "DummyPrior") for s in Q.V.UNSEEN}
     assert packs == list(Q.V.UNSEEN)
+
+
+def test_cross_validation_metrics_read_stored_predictions(spark, monkeypatch):
+    made = spark.createDataFrame([("f", "m", 1, 2.0, 3.0, 7)], f"FeatureSet string, Model string, Fold int, {M.ACTUAL} double, {M.PREDICTED} double, testId int")
+    monkeypatch.setattr(Q, "rows", lambda t: None)
+    monkeypatch.setattr(Q.G, "cross_validate_linear", lambda rows, sets: made)
+    monkeypatch.setattr(Q.M, "regression_metrics", lambda out, keys: out)
+    out = REGISTRY["mod04_09_regression_cross_validation"].run(spark, "")
+    assert out.inputFiles() and "testId" not in out.columns and out.count() == 1
